@@ -108,9 +108,10 @@ def resolve_section(
     """
     names = section.filter(F.length("section_name") > 0).select("section_id", "section_name")
     if names.limit(small_rows + 1).count() <= small_rows:
-        table = names.agg(F.array_sort(F.collect_list(F.struct("section_id", "section_name"))).alias("t"))
-        found = F.filter(table.select("t").scalar(), lambda s: F.contains(F.col(text), s["section_name"]))
-        return df.withColumn("resolved_section_id", F.try_element_at(found, F.lit(1))["section_id"])
+        table = names.agg(F.array_sort(F.collect_list(F.struct("section_id", "section_name")))).scalar()
+        found = F.filter("_names", lambda s: F.contains(F.col(text), s["section_name"]))
+        first = F.try_element_at(found, F.lit(1))["section_id"]
+        return df.withColumn("_names", table).withColumn("resolved_section_id", first).drop("_names")
     lengths = [r[0] for r in names.select(F.length("section_name")).distinct().collect()]
     texts = df.select(text).filter(F.col(text).isNotNull()).distinct()
     cut = F.array(*[F.lit(n) for n in sorted(lengths)])
