@@ -42,3 +42,22 @@ def stream_retention(stream: DataFrame, days: int = 90, now=None, watermark: str
     timed = stream.withColumn("_ts", F.col("created_at").cast("timestamp")).withWatermark("_ts", watermark)
     recent = timed.filter(F.col("_ts") > at - F.expr(f"interval {days} days"))
     return recent.dropDuplicatesWithinWatermark([key]).drop("_ts")
+
+
+def run_hourly_flow(stream: DataFrame, out: str, state: str, watermark: str = "2 hours", ts: str = "entrance_time") -> None:
+    """Runs the hourly flow over all available input, writing the changed hours of every batch to ``out``.
+
+    A batch that is run again overwrites its own folder, so a lost executor or a restart adds nothing twice.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    flow = stream_hourly_flow(stream, watermark, ts)
+    writer = flow.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", state)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_flow(written: DataFrame) -> DataFrame:
+    """The last figure written for every section and hour."""
+    return written.groupBy("section_id", "hour").agg(F.max_by("truck_count", "version").alias("truck_count"))
