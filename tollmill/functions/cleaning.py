@@ -10,7 +10,6 @@ from tollmill.functions import constants as K
 
 # Java parses "12d" and "0x1p3" as numbers; only plain decimal notation counts here.
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_INTEGER = r"^[+-]?[0-9]+$"
 _ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
@@ -26,8 +25,37 @@ def as_number(c: Column) -> Column:
 
 def as_whole(c: Column) -> Column:
     """The text as a bigint, NULL unless it is written as a whole number ('9.0' is not)."""
-    t = _text(c)
-    return F.when(t.rlike(_INTEGER), t.try_cast("bigint"))
+    return c.cast("string").try_cast("bigint")
+
+
+PARSED = "_whole_"
+
+
+def whole_of(df: DataFrame, name: str, default=None) -> Column:
+    """A column as whole numbers, by the shortest way its type allows; a default where it is missing.
+
+    A column that ``parse_whole`` has read already is not read again.
+    """
+    if PARSED + name in df.columns:
+        return F.col(PARSED + name)
+    if name not in df.columns:
+        return F.lit(default).cast("bigint")
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(name).try_cast("bigint")
+    return as_whole(F.col(name))
+
+
+def parse_whole(df: DataFrame, *names: str) -> DataFrame:
+    """Reads text columns once, for rules that look at them many times. Drop with ``drop_parsed``."""
+    new = {
+        PARSED + n: as_whole(F.col(n)) for n in names
+        if n in df.columns and PARSED + n not in df.columns and isinstance(df.schema[n].dataType, T.StringType)
+    }
+    return df.withColumns(new) if new else df
+
+
+def drop_parsed(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(PARSED)])
 
 
 def safe_int(c: Column, default: int = 0, strict: bool = False) -> Column:

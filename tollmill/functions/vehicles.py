@@ -35,12 +35,19 @@ def vehicle_category(c: Column, default: str | None = K.PASSENGER, strict: bool
 
 
 def is_passenger(c: Column) -> Column:
-    return F.coalesce(as_whole(c).between(1, 4), F.lit(False))
+    return passenger_code(as_whole(c))
 
 
 def is_truck(c: Column) -> Column:
     """Trucks and special vehicles."""
-    code = as_whole(c)
+    return truck_code(as_whole(c))
+
+
+def passenger_code(code: Column) -> Column:
+    return F.coalesce(code.between(1, 4), F.lit(False))
+
+
+def truck_code(code: Column) -> Column:
     return F.coalesce(code.between(11, 16) | code.between(21, 26), F.lit(False))
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
-from tollmill.functions.cleaning import as_whole, is_present, seconds_between, time_of
-from tollmill.functions.vehicles import axle_limit, expected_fee, is_truck
+from tollmill.functions.cleaning import drop_parsed, is_present, parse_whole, seconds_between, time_of, whole_of
+from tollmill.functions.vehicles import axle_limit, expected_fee, truck_code
 from tollmill.operators.quality import field
 
 
@@ -24,8 +24,8 @@ def quality_of(df: DataFrame) -> Column:
         .when(hours.between(0.5, 6), 1.0).otherwise(0.8)
     )
 
-    fee, discount = as_whole(F.col("pay_fee")), as_whole(F.col("discount_fee"))
-    mileage = as_whole(F.col("fee_mileage"))
+    fee, discount = whole_of(df, "pay_fee"), whole_of(df, "discount_fee")
+    mileage = whole_of(df, "fee_mileage")
     readable = fee.isNotNull() & discount.isNotNull() & mileage.isNotNull()
     expected = expected_fee(mileage, F.col("vehicle_type"))
     ratio = fee / F.nullif(expected, F.lit(0).cast("bigint"))
@@ -33,7 +33,7 @@ def quality_of(df: DataFrame) -> Column:
     amount = F.when(~readable, 0.6).when(fair, 1.0).otherwise(0.7)
     rebate = F.when(readable & (discount > fee), 0.4).otherwise(1.0)
 
-    kind = as_whole(F.col("vehicle_type"))
+    kind = whole_of(df, "vehicle_type")
     two = F.col("axle_count").eqNullSafe(F.lit("2"))
     vehicle = F.when(kind.isNull(), 0.7).when(kind.between(1, 4) & ~two, 0.6).otherwise(1.0)
     return complete * time * amount * rebate * vehicle
@@ -44,15 +44,15 @@ def exemplar_quality(df: DataFrame) -> DataFrame:
 
 
 def _over_limit(df: DataFrame) -> Column:
-    weight = as_whole(field(df, "total_weight", "0"))
+    weight = whole_of(df, "total_weight", 0)
     return F.coalesce(weight > axle_limit(field(df, "axle_count", "2")), F.lit(False))
 
 
 def similarity_of(df: DataFrame, condition: dict) -> Column:
     """Match with a condition on class (0.4), scenario (0.3) and period (0.3); an unset part gives half."""
     kind, scenario, period = (condition.get(k) for k in ("vehicle_type", "scenario", "time_period"))
-    readable = as_whole(F.col("vehicle_type")).isNotNull()
-    truck = is_truck(F.col("vehicle_type"))
+    readable = whole_of(df, "vehicle_type").isNotNull()
+    truck = truck_code(whole_of(df, "vehicle_type"))
     wanted = {K.TRUCK: truck, K.PASSENGER: ~truck}.get(kind, F.lit(False))
     a = F.lit(0.2) if not kind else F.when(readable & wanted, 0.4).otherwise(0.0)
 
@@ -80,8 +80,8 @@ def similarity(df: DataFrame, condition: dict) -> DataFrame:
 
 def difficulty_of(df: DataFrame) -> Column:
     """0.5, raised for trucks, special vehicles, weights near the limit, state 2 and unusual transactions."""
-    kind = as_whole(F.col("vehicle_type"))
-    ratio = as_whole(F.col("total_weight")) / axle_limit(F.col("axle_count"))
+    kind = whole_of(df, "vehicle_type")
+    ratio = whole_of(df, "total_weight") / axle_limit(F.col("axle_count"))
     by_class = F.when(kind.between(11, 16), 0.15).when(kind.between(21, 26), 0.25).otherwise(0.0)
     near = F.when(ratio.between(0.85, 1.15), 0.2).otherwise(0.0)
     state = F.when(field(df, "pass_state").eqNullSafe(F.lit("2")), 0.15).otherwise(0.0)
@@ -95,11 +95,12 @@ def difficulty(df: DataFrame) -> DataFrame:
 
 def rank_exemplars(df: DataFrame, condition: dict) -> DataFrame:
     """Rows of quality 0.5 or more with their combined score (0.4 quality, 0.4 similarity, 0.2 difficulty)."""
+    df = parse_whole(df, "vehicle_type", "total_weight", "fee_mileage")
     scored = df.withColumns(
         {"quality": quality_of(df), "similarity": similarity_of(df, condition), "difficulty": difficulty_of(df)}
     )
     total = F.col("quality") * 0.4 + F.col("similarity") * 0.4 + F.col("difficulty") * 0.2
-    return scored.filter(F.col("quality") >= 0.5).withColumn("exemplar_score", total)
+    return drop_parsed(scored.filter(F.col("quality") >= 0.5).withColumn("exemplar_score", total))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -125,7 +126,7 @@ def select_exemplars(df: DataFrame, condition: dict, k: int = 2, order: list | N
     packed = F.struct(
         (-F.col("exemplar_score")).alias("rank"), *(order or columns),
         F.struct(*columns, "exemplar_score").alias("row"),
-        as_whole(F.col("vehicle_type")).alias("kind"), as_whole(F.col("fee_mileage")).alias("mileage"),
+        whole_of(df, "vehicle_type").alias("kind"), whole_of(df, "fee_mileage").alias("mileage"),
         F.hour(time_of(df, "transaction_time")).alias("hour"),
     )
     sorted_pool = pool.agg(F.array_sort(F.collect_list(packed)).alias("pool"))

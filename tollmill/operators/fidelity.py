@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
-from tollmill.functions.cleaning import as_number, as_whole, is_present, seconds_between, time_of
+from tollmill.functions.cleaning import as_number, is_present, seconds_between, time_of, whole_of
 from tollmill.functions.vehicles import axle_limit, expected_fee, time_period
 from tollmill.operators.ordering import top_n_per_group
 from tollmill.operators.profiling import diversity_counts, fee_mileage_pairs, unpivot
@@ -201,7 +201,7 @@ def _ratio(a: str, b: str) -> Column:
 def task_anomaly(df: DataFrame) -> DataFrame:
     """Share of state-2 rows that really are over their limit."""
     marked = F.col("pass_state").eqNullSafe(F.lit("2"))
-    over = as_whole(F.col("total_weight")) > axle_limit(F.col("axle_count"))
+    over = whole_of(df, "total_weight") > axle_limit(F.col("axle_count"))
     return df.agg(
         F.count(F.lit(1)).alias("total_samples"), F.count(F.when(marked, 1)).alias("anomaly_samples"),
         F.count(F.when(marked & over, 1)).alias("true_positives"),
@@ -213,7 +213,7 @@ def task_fee(df: DataFrame) -> DataFrame:
     kind = F.coalesce(F.col("vehicle_type").isin(*K.PASSENGER_CODES), F.lit(False))
     rows = df.select(
         F.when(kind, "passenger").otherwise("truck").alias("vehicle_class"),
-        as_whole(F.col("pay_fee")).alias("fee"), as_whole(F.col("fee_mileage")).alias("mileage"),
+        whole_of(df, "pay_fee").alias("fee"), whole_of(df, "fee_mileage").alias("mileage"),
     )
     readable = F.col("fee").isNotNull() & F.col("mileage").isNotNull()
     no_mileage = readable & (F.col("mileage") == 0)
@@ -238,7 +238,7 @@ def task_fee(df: DataFrame) -> DataFrame:
 
 def task_fee_formula(df: DataFrame) -> DataFrame:
     """1 - mean relative error against the tariff; a tariff of 0 counts as no error."""
-    fee, mileage = as_whole(F.col("pay_fee")), as_whole(F.col("fee_mileage"))
+    fee, mileage = whole_of(df, "pay_fee"), whole_of(df, "fee_mileage")
     expected = expected_fee(mileage, F.col("vehicle_type"))
     off = F.abs(fee - expected) / F.nullif(expected, F.lit(0).cast("bigint"))
     error = F.when(fee.isNotNull() & mileage.isNotNull(), F.when(expected > 0, off).otherwise(0.0))
@@ -249,7 +249,7 @@ def task_fee_formula(df: DataFrame) -> DataFrame:
 
 def task_vehicle(df: DataFrame) -> DataFrame:
     """Passenger cars with two axles and 2-5 t, trucks within 1.2 times their limit."""
-    kind, weight = as_whole(F.col("vehicle_type")), as_whole(F.col("total_weight"))
+    kind, weight = whole_of(df, "vehicle_type"), whole_of(df, "total_weight")
     readable = kind.isNotNull() & weight.isNotNull()
     light = kind.between(1, 4) & F.col("axle_count").eqNullSafe(F.lit("2")) & weight.between(2000, 5000)
     heavy = kind.between(11, 16) & (weight <= axle_limit(F.col("axle_count")) * F.lit(1.2))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tollmill.functions.cleaning import safe_float, safe_int, weight_kg
 from tollmill.operators.profiling import exact_percentiles
 from tollmill.operators.quality import field
+from tollmill.session import freeze
 
 FEATURES = ["vehicle_type", "pay_fee", "fee_mileage", "total_weight", "axle_count", "fee_per_km", "weight_per_axle"]
 
@@ -36,43 +37,56 @@ def feature_vector(df: DataFrame, out: str = "features", prefix: str = "f_") ->
 def _fee_inputs(df: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    return VectorAssembler(inputCols=["f_vehicle_type", "f_fee_mileage"], outputCol="_x").transform(features(df))
+    return VectorAssembler(inputCols=["f_vehicle_type", "f_fee_mileage"], outputCol="_x").transform(df)
 
 
 def fit_fee_model(ref: DataFrame, trees: int = 100, depth: int = 5, step: float = 0.1, seed: int = 42):
-    """Gradient-boosted trees for the fee given vehicle type and mileage, from rows where both amounts are positive."""
+    """Gradient-boosted trees for the fee given vehicle type and mileage, from rows where both amounts are positive.
+
+    Under squared error the mean fee of equal inputs, weighted by their number, gives the same
+    trees as the single rows. So the rows are first reduced to one per vehicle type and mileage,
+    and the training set no longer grows with the table.
+    """
     from pyspark.ml.regression import GBTRegressor
 
-    rows = _fee_inputs(ref).filter((F.col("f_fee_mileage") > 0) & (F.col("f_pay_fee") > 0))
+    rows = features(ref).filter((F.col("f_fee_mileage") > 0) & (F.col("f_pay_fee") > 0))
+    means = rows.groupBy("f_vehicle_type", "f_fee_mileage").agg(
+        F.avg("f_pay_fee").alias("f_pay_fee"), F.count(F.lit(1)).cast("double").alias("_rows")
+    )
     gbt = GBTRegressor(
-        featuresCol="_x", labelCol="f_pay_fee", predictionCol="predicted_fee", maxIter=trees, maxDepth=depth,
-        stepSize=step, seed=seed,
+        featuresCol="_x", labelCol="f_pay_fee", predictionCol="predicted_fee", weightCol="_rows", maxIter=trees,
+        maxDepth=depth, stepSize=step, seed=seed,
     )
-    return gbt.fit(rows.select("_x", "f_pay_fee"))
+    return gbt.fit(freeze(_fee_inputs(means).select("_x", "f_pay_fee", "_rows")))
 
 
 def predict_fee(model, df: DataFrame) -> DataFrame:
     """Adds the predicted fee, and whether the fee is missing or more than half off."""
-    out = model.transform(_fee_inputs(df))
+    out = model.transform(_fee_inputs(features(df)))
     off = F.abs(F.col("f_pay_fee") - F.col("predicted_fee")) / F.nullif(F.col("predicted_fee"), F.lit(0.0))
     odd = F.coalesce((F.col("f_pay_fee") <= 0) | (off > 0.5), F.lit(True))
     return out.withColumn("fee_anomalous", odd).drop("_x", *[f"f_{f}" for f in FEATURES])
 
 
-def squared_distance(df: DataFrame, stats: Column) -> Column:
-    """Sum of squared standard scores of the features against reference means and deviations."""
-    total = F.lit(0.0)
-    for name, c in feature_columns(df).items():
-        z = (c - stats[f"{name}_mean"]) / F.nullif(stats[f"{name}_std"], F.lit(0.0))
-        total = total + F.coalesce(z * z, F.lit(0.0))
-    return total
-
-
 def feature_stats(ref: DataFrame) -> DataFrame:
+    """Mean and deviation of every feature, as one struct."""
+    rows = features(ref)
     figures = []
-    for name, c in feature_columns(ref).items():
+    for name in FEATURES:
+        c = F.col(f"f_{name}")
         figures += [F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std")]
-    return ref.agg(F.struct(*figures).alias("stats"))
+    return rows.agg(F.struct(*figures).alias("stats"))
+
+
+def with_distance(df: DataFrame, stats: Column, name: str = "distance") -> DataFrame:
+    """Adds the sum of squared standard scores of the features against reference figures."""
+    rows = features(df).withColumn("_stats", stats)
+    total = F.lit(0.0)
+    for f in FEATURES:
+        mean, std = F.col("_stats")[f"{f}_mean"], F.col("_stats")[f"{f}_std"]
+        z = (F.col(f"f_{f}") - mean) / F.nullif(std, F.lit(0.0))
+        total = total + F.coalesce(F.pow(z, F.lit(2.0)), F.lit(0.0))
+    return rows.withColumn(name, total).drop("_stats", *[f"f_{f}" for f in FEATURES])
 
 
 def distance_anomaly(df: DataFrame, ref: DataFrame, contamination: float = 0.1) -> DataFrame:
@@ -80,10 +94,10 @@ def distance_anomaly(df: DataFrame, ref: DataFrame, contamination: float = 0.1)
 
     A distance rule in standard scores, in place of an isolation forest, which Spark does not have.
     """
-    stats = feature_stats(ref).select("stats").scalar()
-    distances = ref.select(F.lit("distance").alias("field"), squared_distance(ref, stats).alias("value"))
+    stats = freeze(feature_stats(ref)).select("stats").scalar()
+    distances = with_distance(ref, stats).select(F.lit("distance").alias("field"), F.col("distance").alias("value"))
     limit = exact_percentiles(distances, [1.0 - contamination]).select("percentile").scalar()
-    scored = df.withColumn("distance", squared_distance(df, stats)).withColumn("_limit", limit)
+    scored = with_distance(df, stats).withColumn("_limit", limit)
     confidence = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("distance") / F.col("_limit") - 1.0))
     return scored.withColumns({"distance_anomalous": F.col("distance") > F.col("_limit"), "confidence": confidence}).drop("_limit")
 

@@ -14,6 +14,7 @@ from tollmill.functions import constants as K
 from tollmill.functions.cleaning import as_number, day_label, is_present, round_half_even, safe_int, time_of
 from tollmill.functions.vehicles import freight_class, time_period
 from tollmill.operators.ordering import chunk_of, with_share
+from tollmill.session import freeze
 
 
 def unpivot(df: DataFrame, exprs: dict[str, Column], kind: str = "string") -> DataFrame:
@@ -111,14 +112,15 @@ _LEVEL = 4096
 def exact_percentiles(numbers: DataFrame, probs: list[float]) -> DataFrame:
     """Exact percentiles with linear interpolation of (field, value) pairs.
 
-    Values are counted first. Each field's range is cut into equal cells, and the counts
-    per cell tell which cells hold the wanted ranks; those cells are cut once more. Only
-    the values of the last cells are ordered, so no task ever holds a whole column.
+    Each field's range is cut into equal cells, and the counts per cell tell which cells hold
+    the wanted ranks; those cells are cut once more. Every pass is a scan that ends in a small
+    count per cell, so the values are never shuffled; only those of the last cells are, counted
+    by value. The tables carried along have two rows per field and percentile.
     """
-    counts = numbers.filter(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy("field").agg(
-        F.sum("n").alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    )
+    numbers = numbers.filter(F.col("value").isNotNull())
+    ends = freeze(numbers.groupBy("field").agg(
+        F.count(F.lit(1)).alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    ))
     want = [F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at")) for p in probs]
     wanted = ends.select("field", F.explode(F.array(*want)).alias("w")).select("field", "w.p", "w.at")
     # a percentile lies between two neighbouring ranks, so each one asks for both
@@ -127,17 +129,18 @@ def exact_percentiles(numbers: DataFrame, probs: list[float]) -> DataFrame:
     asked = wanted.select("field", "p", "at", F.explode(F.array(below, above)).alias("r"))
     asked = asked.select("field", "p", "at", "r.side", "r.rank")
 
-    cells = counts.join(ends.select("field", "lo", "hi"), "field").withColumns({"c1": _cell("lo", "hi")})
+    cells = numbers.join(F.broadcast(ends.select("field", "lo", "hi")), "field").withColumn("c1", _cell("lo", "hi"))
     size1 = cells.groupBy("field", "c1").agg(
-        F.sum("n").alias("n1"), F.min("value").alias("lo1"), F.max("value").alias("hi1")
+        F.count(F.lit(1)).alias("n1"), F.min("value").alias("lo1"), F.max("value").alias("hi1")
     )
-    hit1 = _locate(asked, size1, ["field"], "c1", "n1", ["lo1", "hi1"])
-    inner = cells.drop("lo", "hi").join(hit1.select("field", "c1", "lo1", "hi1").distinct(), ["field", "c1"])
-    inner = inner.withColumn("c2", _cell("lo1", "hi1"))
-    size2 = inner.groupBy("field", "c1", "c2").agg(F.sum("n").alias("n2"))
-    hit2 = _locate(hit1.drop("lo1", "hi1"), size2, ["field", "c1"], "c2", "n2", [])
-    last = inner.join(hit2.select("field", "c1", "c2").distinct(), ["field", "c1", "c2"])
-    found = _locate(hit2, last.select("field", "c1", "c2", "value", "n"), ["field", "c1", "c2"], "value", "n", [])
+    hit1 = freeze(_locate(asked, size1, ["field"], "c1", "n1", ["lo1", "hi1"]))
+    near = hit1.select("field", "c1", "lo1", "hi1").distinct()
+    inner = cells.drop("lo", "hi").join(F.broadcast(near), ["field", "c1"]).withColumn("c2", _cell("lo1", "hi1"))
+    size2 = inner.groupBy("field", "c1", "c2").agg(F.count(F.lit(1)).alias("n2"))
+    hit2 = freeze(_locate(hit1.drop("lo1", "hi1"), size2, ["field", "c1"], "c2", "n2", []))
+    near2 = hit2.select("field", "c1", "c2").distinct()
+    last = inner.join(F.broadcast(near2), ["field", "c1", "c2"]).groupBy("field", "c1", "c2", "value")
+    found = _locate(hit2, last.agg(F.count(F.lit(1)).alias("n")), ["field", "c1", "c2"], "value", "n", [])
     ends_of = found.groupBy("field", "p", "at").agg(
         F.max(F.when(F.col("side") == "a", F.col("value"))).alias("a"),
         F.max(F.when(F.col("side") == "b", F.col("value"))).alias("b"),

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollmill.functions import constants as K
-from tollmill.functions.cleaning import as_number, as_whole, is_present, seconds_between, time_of
-from tollmill.functions.vehicles import axle_limit, expected_axles, freight_class, is_passenger, is_truck, lookup
+from tollmill.functions.cleaning import (
+    as_number, as_whole, drop_parsed, is_present, parse_whole, seconds_between, time_of, whole_of,
+)
+from tollmill.functions.vehicles import axle_limit, expected_axles, freight_class, lookup, passenger_code, truck_code
 from tollmill.operators.ordering import number_rows, top_k
 from tollmill.operators.relational import repair_section
 
@@ -40,7 +42,7 @@ def time_issue(df: DataFrame, max_hours: float = 6) -> Column:
 
 
 def fee_issue(df: DataFrame) -> Column:
-    fee, discount = as_whole(field(df, "pay_fee", 0)), as_whole(field(df, "discount_fee", 0))
+    fee, discount = whole_of(df, "pay_fee", 0), whole_of(df, "discount_fee", 0)
     return (
         F.when(fee.isNull() | discount.isNull(), K.ISSUE_FEE_FORMAT)
         .when((discount > fee) | (fee < 0), K.ISSUE_FEE)
@@ -48,8 +50,8 @@ def fee_issue(df: DataFrame) -> Column:
 
 
 def vehicle_issue(df: DataFrame, slack: float = 1.5) -> Column:
-    kind, axles = as_whole(field(df, "vehicle_type", "1")), field(df, "axle_count", "2")
-    weight = as_whole(field(df, "total_weight", "0"))
+    kind, axles = whole_of(df, "vehicle_type", 1), field(df, "axle_count", "2")
+    weight = whole_of(df, "total_weight", 0)
     freight = kind.between(11, 16) | kind.between(21, 26)
     return (
         F.when(kind.isNull(), K.ISSUE_VEHICLE_FORMAT)
@@ -74,12 +76,19 @@ def score_of(n_issues: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - n_issues * F.lit(0.2))
 
 
-def check_rules(df: DataFrame, max_hours: float = 6) -> DataFrame:
-    """Adds the issues found, their number and the score. Thresholds go by the number, which is exact."""
+_TEXT_NUMBERS = ["vehicle_type", "total_weight", "fee_mileage"]
+
+
+def _scored(df: DataFrame, max_hours: float = 6) -> DataFrame:
     found = df.withColumn("issues", issues(df, max_hours))
     return found.withColumn("n_issues", F.size("issues")).withColumn("score", score_of(F.col("n_issues")))
 
 
+def check_rules(df: DataFrame, max_hours: float = 6) -> DataFrame:
+    """Adds the issues found, their number and the score. Thresholds go by the number, which is exact."""
+    return drop_parsed(_scored(parse_whole(df, *_TEXT_NUMBERS), max_hours))
+
+
 def accept(df: DataFrame, max_issues: int = 2) -> DataFrame:
     """Rows with at most two issues, i.e. a score of 0.6 or more (one issue is 0.8)."""
     return df.filter(F.col("n_issues") <= max_issues)
@@ -118,7 +127,7 @@ def repair(df: DataFrame, gantry_map: DataFrame | None = None) -> DataFrame:
     The entrance is moved half an hour to two hours before the transaction, by a span that
     follows from the row itself, so reruns agree. Unknown gantries are flagged, not replaced.
     """
-    fee, discount = as_whole(F.col("pay_fee")), as_whole(F.col("discount_fee"))
+    fee, discount = whole_of(df, "pay_fee"), whole_of(df, "discount_fee")
     start, end = _times(df)
     back = F.lit(1800) + F.pmod(F.xxhash64("gantry_transaction_id", "transaction_time"), F.lit(5401))
     moved = F.timestamp_add("SECOND", -back, end)
@@ -130,7 +139,7 @@ def repair(df: DataFrame, gantry_map: DataFrame | None = None) -> DataFrame:
                 F.col("discount_fee")
             ),
             "entrance_time": F.when(start >= end, moved).otherwise(F.col("entrance_time")),
-            "axle_count": F.when(is_passenger(F.col("vehicle_type")), "2").otherwise(F.col("axle_count")),
+            "axle_count": F.when(passenger_code(whole_of(df, "vehicle_type")), "2").otherwise(F.col("axle_count")),
         }
     )
     return fixed if gantry_map is None else repair_section(fixed, gantry_map)
@@ -150,8 +159,8 @@ def fill_knowledge(df: DataFrame, media_text: bool = False) -> DataFrame:
     none = F.col("discount_fee").cast("string") == "0"
     if isinstance(df.schema["discount_fee"].dataType, T.NumericType):
         none = F.col("discount_fee") == 0
-    over = is_truck(F.col("vehicle_type")) & (as_whole(F.col("total_weight")) > axle_limit(F.col("axle_count")))
-    share = _typed(df, "discount_fee", _share_of_fee(as_whole(F.col("pay_fee"))))
+    over = truck_code(whole_of(df, "vehicle_type")) & (whole_of(df, "total_weight") > axle_limit(F.col("axle_count")))
+    share = _typed(df, "discount_fee", _share_of_fee(whole_of(df, "pay_fee")))
     return df.withColumns(
         {
             "discount_fee": F.when(obu & none, share).otherwise(F.col("discount_fee")),
@@ -165,8 +174,9 @@ def recover(df: DataFrame, gantry_map: DataFrame | None = None, media_text: bool
 
     ``_recovered`` marks the second kind. Scoring, repair and second scoring are one pass.
     """
-    before = check_rules(df).withColumnRenamed("n_issues", "_n_before").drop("issues", "score")
-    after = check_rules(fill_knowledge(repair(before, gantry_map), media_text))
+    parsed = parse_whole(df, *_TEXT_NUMBERS)
+    before = _scored(parsed).withColumnRenamed("n_issues", "_n_before").drop("issues", "score")
+    after = drop_parsed(_scored(fill_knowledge(repair(before, gantry_map), media_text)))
     kept = after.filter((F.col("_n_before") <= 2) | (F.col("n_issues") <= 2))
     return kept.withColumn("_recovered", F.col("_n_before") > 2).drop("_n_before")
 
@@ -185,8 +195,8 @@ def class_counts(df: DataFrame) -> Column:
 
 
 def static_weights(df: DataFrame, targets: dict | None = None) -> DataFrame:
-    weight = class_weight(class_counts(df), targets or K.CLASS_TARGET)
-    return df.withColumn("_quality_weight", weight)
+    weight = class_weight(F.col("_counts"), targets or K.CLASS_TARGET)
+    return df.withColumn("_counts", class_counts(df)).withColumn("_quality_weight", weight).drop("_counts")
 
 
 def reinforced(weight: Column, n_issues: Column, rounds: int = 5, lr: float = 0.1) -> Column:
@@ -210,9 +220,10 @@ def iterative_weights(
     n = numbered.count()
     cut = int(n * head) if n > 20 else 0
     first = F.col("_row") <= cut
-    counts = class_counts(numbered.filter(first))
-    weight = reinforced(class_weight(counts, targets or K.CLASS_TARGET), F.col("n_issues"), rounds, lr)
-    return numbered.withColumn("_quality_weight", F.when(first, weight).otherwise(1.0)).drop("_row")
+    start = class_weight(F.col("_counts"), targets or K.CLASS_TARGET)
+    weighted = numbered.withColumn("_counts", class_counts(numbered.filter(first))).withColumn("_start", start)
+    weight = reinforced(F.col("_start"), F.col("n_issues"), rounds, lr)
+    return weighted.withColumn("_quality_weight", F.when(first, weight).otherwise(1.0)).drop("_row", "_counts", "_start")
 
 
 def by_weight(df: DataFrame) -> DataFrame:
@@ -233,7 +244,7 @@ def tier_summary(df: DataFrame) -> DataFrame:
 
 def verify_vehicle(df: DataFrame) -> DataFrame:
     """Rule-based check of axles and passenger weights; ``_auxiliary_fixed`` names the last column changed."""
-    kind, weight = as_whole(F.col("vehicle_type")), as_whole(F.col("total_weight"))
+    kind, weight = whole_of(df, "vehicle_type"), whole_of(df, "total_weight")
     readable = kind.isNotNull() & weight.isNotNull()
     passenger = readable & kind.between(1, 4)
     expected = F.when(readable & kind.between(11, 16), expected_axles(F.col("vehicle_type"))).when(passenger, "2")
@@ -259,7 +270,7 @@ def zscore_fix(df: DataFrame, ref: DataFrame, cols=("pay_fee", "fee_mileage", "t
         f.alias(f"{c}_{n}") for c in cols
         for n, f in (("mean", F.avg(as_number(F.col(c)))), ("std", F.stddev_samp(as_number(F.col(c)))))
     ]
-    stats = ref.agg(F.struct(*figures)).scalar()
+    rows, stats = df.withColumn("_stats", ref.agg(F.struct(*figures)).scalar()), F.col("_stats")
     changes, log = {}, []
     for c in cols:
         mean = stats[f"{c}_mean"]
@@ -271,12 +282,12 @@ def zscore_fix(df: DataFrame, ref: DataFrame, cols=("pay_fee", "fee_mileage", "t
             F.lit(c).alias("field"), F.col(c).cast("string").alias("old"), new.alias("new"), z.alias("z_score")
         )
         log.append(F.when(far, note))
-    return df.withColumns({**changes, "_corrections": F.array_compact(F.array(*log))})
+    return rows.withColumns({**changes, "_corrections": F.array_compact(F.array(*log))}).drop("_stats")
 
 
 def fee_deviation(df: DataFrame) -> DataFrame:
     """Flags fees more than half off a rough estimate; an estimate of 0 flags nothing."""
-    fee, mileage = as_whole(F.col("pay_fee")), as_whole(F.col("fee_mileage"))
+    fee, mileage = whole_of(df, "pay_fee"), whole_of(df, "fee_mileage")
     factor = F.coalesce(lookup(K.FEE_COEFFICIENT, F.col("vehicle_type")), F.lit(1.0))
     value = mileage / F.lit(1000.0) * F.lit(K.BASE_RATE) * factor * F.lit(100.0)
     expected = value.try_cast("bigint")
@@ -289,8 +300,8 @@ def legacy_issues(df: DataFrame, max_hours: float = 4) -> Column:
     """Number of issues of the older checks, in which code 2 is the truck."""
     start, end = _times(df)
     time = start.isNull() | end.isNull() | (start >= end) | (_hours(start, end) > max_hours)
-    fee = as_whole(F.col("discount_fee")) > as_whole(F.col("pay_fee"))
-    over = as_whole(F.col("total_weight")) > axle_limit(F.col("axle_count")) * F.lit(1.5)
+    fee = whole_of(df, "discount_fee") > whole_of(df, "pay_fee")
+    over = whole_of(df, "total_weight") > axle_limit(F.col("axle_count")) * F.lit(1.5)
     heavy = F.col("vehicle_type").eqNullSafe(F.lit("2")) & over
     return sum((F.coalesce(c.cast("int"), F.lit(0)) for c in (time, fee, heavy)), F.lit(0))
 
@@ -298,7 +309,7 @@ def legacy_issues(df: DataFrame, max_hours: float = 4) -> Column:
 def _legacy_twentieths(df: DataFrame, max_hours: float) -> Column:
     """Overall score in twentieths, so thresholds compare whole numbers."""
     light = F.col("vehicle_type").eqNullSafe(F.lit("1")) & F.col("axle_count").eqNullSafe(F.lit("2"))
-    paid = F.coalesce(as_whole(F.col("pay_fee")) > 0, F.lit(False))
+    paid = F.coalesce(whole_of(df, "pay_fee") > 0, F.lit(False))
     fidelity = F.greatest(F.lit(0), F.lit(10) - 2 * legacy_issues(df, max_hours))
     return fidelity + 5 * (light.cast("int") + paid.cast("int"))
 
@@ -309,9 +320,10 @@ def legacy_quality(df: DataFrame, max_hours: float = 4) -> DataFrame:
     A repaired row is kept from 0.48 on. The repair covers discounts over the fee and times
     in the wrong order, which are set back by one to two hours.
     """
+    df = parse_whole(df, *_TEXT_NUMBERS)
     scored = df.withColumn("_first", _legacy_twentieths(df, max_hours))
     low = F.col("_first") < 12
-    fee, discount = as_whole(F.col("pay_fee")), as_whole(F.col("discount_fee"))
+    fee, discount = whole_of(df, "pay_fee"), whole_of(df, "discount_fee")
     start, end = _times(df)
     back = F.lit(3600) + F.pmod(F.xxhash64("gantry_transaction_id", "transaction_time"), F.lit(3601))
     moved = F.timestamp_add("SECOND", -back, end)
@@ -326,7 +338,7 @@ def legacy_quality(df: DataFrame, max_hours: float = 4) -> DataFrame:
     )
     again = fixed.withColumn("_second", _legacy_twentieths(fixed, max_hours))
     # 0.48 is 9.6 twentieths, so 10 whole ones are needed
-    return again.withColumns(
+    return drop_parsed(again).withColumns(
         {
             "overall": F.when(low, F.col("_second")).otherwise(F.col("_first")) / F.lit(20.0),
             "repaired": low,
@@ -339,5 +351,5 @@ def valid_only(df: DataFrame) -> DataFrame:
     """Rows whose times are not in the wrong order and whose discount is within the fee; unreadable times pass."""
     start, end = _times(df)
     late = F.coalesce(start >= end, F.lit(False))
-    over = F.coalesce(as_whole(F.col("discount_fee")) > as_whole(F.col("pay_fee")), F.lit(False))
+    over = F.coalesce(whole_of(df, "discount_fee") > whole_of(df, "pay_fee"), F.lit(False))
     return df.filter(~late & ~over)
