@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from tollmill.functions import constants as K
 
-# Java parses "12d" and "0x1p3" as numbers; only plain decimal notation counts here.
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Java parses "12d", "0x1p3" and "Infinity" as numbers; only plain decimal notation counts
+# here. Digits, signs, the point and the exponent are all a plain number is made of.
+_PLAIN = "+-.0123456789eE"
 _ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
@@ -20,7 +21,8 @@ def _text(c: Column) -> Column:
 def as_number(c: Column) -> Column:
     """The text as a double, NULL when it is no plain number."""
     t = _text(c)
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+    rest = F.translate(t, _PLAIN, "")
+    return F.when(rest == "", t.try_cast("double"))
 
 
 def as_whole(c: Column) -> Column:
@@ -28,6 +30,13 @@ def as_whole(c: Column) -> Column:
     return c.cast("string").try_cast("bigint")
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """A column as a double, by the shortest way its type allows."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(name).cast("double")
+    return as_number(F.col(name))
+
+
 PARSED = "_whole_"
 
 

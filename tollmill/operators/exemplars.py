@@ -28,8 +28,9 @@ def quality_of(df: DataFrame) -> Column:
     mileage = whole_of(df, "fee_mileage")
     readable = fee.isNotNull() & discount.isNotNull() & mileage.isNotNull()
     expected = expected_fee(mileage, F.col("vehicle_type"))
-    ratio = fee / F.nullif(expected, F.lit(0).cast("bigint"))
-    fair = F.coalesce((fee > 0) & (expected > 0) & ratio.between(0.7, 1.3), F.lit(False))
+    # a tariff of 0 gives NULL; fees and tariffs are never negative where both are positive
+    ratio = F.try_divide(F.when(fee > 0, fee), expected)
+    fair = F.coalesce(ratio.between(0.7, 1.3), F.lit(False))
     amount = F.when(~readable, 0.6).when(fair, 1.0).otherwise(0.7)
     rebate = F.when(readable & (discount > fee), 0.4).otherwise(1.0)
 
@@ -39,8 +40,16 @@ def quality_of(df: DataFrame) -> Column:
     return complete * time * amount * rebate * vehicle
 
 
+_TEXT_NUMBERS = ["vehicle_type", "total_weight", "fee_mileage"]
+
+
+def _with(df: DataFrame, name: str, score) -> DataFrame:
+    parsed = parse_whole(df, *_TEXT_NUMBERS)
+    return drop_parsed(parsed.withColumn(name, score(parsed)))
+
+
 def exemplar_quality(df: DataFrame) -> DataFrame:
-    return df.withColumn("quality", quality_of(df))
+    return _with(df, "quality", quality_of)
 
 
 def _over_limit(df: DataFrame) -> Column:
@@ -75,7 +84,7 @@ def similarity_of(df: DataFrame, condition: dict) -> Column:
 
 
 def similarity(df: DataFrame, condition: dict) -> DataFrame:
-    return df.withColumn("similarity", similarity_of(df, condition))
+    return _with(df, "similarity", lambda d: similarity_of(d, condition))
 
 
 def difficulty_of(df: DataFrame) -> Column:
@@ -90,12 +99,12 @@ def difficulty_of(df: DataFrame) -> Column:
 
 
 def difficulty(df: DataFrame) -> DataFrame:
-    return df.withColumn("difficulty", difficulty_of(df))
+    return _with(df, "difficulty", difficulty_of)
 
 
 def rank_exemplars(df: DataFrame, condition: dict) -> DataFrame:
     """Rows of quality 0.5 or more with their combined score (0.4 quality, 0.4 similarity, 0.2 difficulty)."""
-    df = parse_whole(df, "vehicle_type", "total_weight", "fee_mileage")
+    df = parse_whole(df, *_TEXT_NUMBERS)
     scored = df.withColumns(
         {"quality": quality_of(df), "similarity": similarity_of(df, condition), "difficulty": difficulty_of(df)}
     )

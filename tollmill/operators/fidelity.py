@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
-from tollmill.functions.cleaning import as_number, is_present, seconds_between, time_of, whole_of
+from tollmill.functions.cleaning import is_present, number_of, seconds_between, time_of, whole_of
 from tollmill.functions.vehicles import axle_limit, expected_fee, time_period
 from tollmill.operators.ordering import top_n_per_group
 from tollmill.operators.profiling import diversity_counts, fee_mileage_pairs, unpivot
@@ -82,7 +82,7 @@ def kl_js_smoothed(a: DataFrame, b: DataFrame, cols=None) -> DataFrame:
 
 def _amount(df: DataFrame, name: str) -> Column:
     """Whole number of a present value. The number 0 is absent, the text '0' is not."""
-    return F.when(is_present(df, name), as_number(F.col(name)).try_cast("bigint"))
+    return F.when(is_present(df, name), number_of(df, name).try_cast("bigint"))
 
 
 def numeric_moments(df: DataFrame, cols) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
-from tollmill.functions.cleaning import as_number, day_label, is_present, round_half_even, safe_int, time_of
+from tollmill.functions.cleaning import as_number, day_label, is_present, number_of, round_half_even, safe_int, time_of
 from tollmill.functions.vehicles import freight_class, time_period
 from tollmill.operators.ordering import chunk_of, with_share
 from tollmill.session import freeze
@@ -164,7 +164,7 @@ def _locate(asked: DataFrame, sizes: DataFrame, keys: list[str], cell: str, n: s
 
 
 def _numbers(df: DataFrame, cols) -> DataFrame:
-    return unpivot(df, {c: as_number(F.col(c)) for c in cols}, "double").filter(F.col("value").isNotNull())
+    return unpivot(df, {c: number_of(df, c) for c in cols}, "double").filter(F.col("value").isNotNull())
 
 
 def profile_numeric(df: DataFrame, cols=None, probs=(0.25, 0.5, 0.75), sample_std: bool = False) -> DataFrame:

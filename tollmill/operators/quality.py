@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tollmill.functions import constants as K
 from tollmill.functions.cleaning import (
-    as_number, as_whole, drop_parsed, is_present, parse_whole, seconds_between, time_of, whole_of,
+    as_whole, drop_parsed, is_present, number_of, parse_whole, seconds_between, time_of, whole_of,
 )
 from tollmill.functions.vehicles import axle_limit, expected_axles, freight_class, lookup, passenger_code, truck_code
 from tollmill.operators.ordering import number_rows, top_k
@@ -68,10 +68,6 @@ def missing_issue(df: DataFrame) -> Column:
     return F.when(~complete, K.ISSUE_MISSING)
 
 
-def issues(df: DataFrame, max_hours: float = 6) -> Column:
-    return F.array_compact(F.array(time_issue(df, max_hours), fee_issue(df), vehicle_issue(df), missing_issue(df)))
-
-
 def score_of(n_issues: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - n_issues * F.lit(0.2))
 
@@ -80,8 +76,14 @@ _TEXT_NUMBERS = ["vehicle_type", "total_weight", "fee_mileage"]
 
 
 def _scored(df: DataFrame, max_hours: float = 6) -> DataFrame:
-    found = df.withColumn("issues", issues(df, max_hours))
-    return found.withColumn("n_issues", F.size("issues")).withColumn("score", score_of(F.col("n_issues")))
+    """Scores without parsing. Each rule is a column first: a list is put together row by row
+    outside generated code, so only finished labels go into it."""
+    rules = [time_issue(df, max_hours), fee_issue(df), vehicle_issue(df), missing_issue(df)]
+    names = [f"_rule{i}" for i in range(len(rules))]
+    found = df.withColumns(dict(zip(names, rules)))
+    n = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
+    counted = found.withColumns({"issues": F.array_compact(F.array(*names)), "n_issues": n}).drop(*names)
+    return counted.withColumn("score", score_of(F.col("n_issues")))
 
 
 def check_rules(df: DataFrame, max_hours: float = 6) -> DataFrame:
@@ -268,13 +270,13 @@ def zscore_fix(df: DataFrame, ref: DataFrame, cols=("pay_fee", "fee_mileage", "t
     cols = [c for c in cols if c in df.columns and c in ref.columns]
     figures = [
         f.alias(f"{c}_{n}") for c in cols
-        for n, f in (("mean", F.avg(as_number(F.col(c)))), ("std", F.stddev_samp(as_number(F.col(c)))))
+        for n, f in (("mean", F.avg(number_of(ref, c))), ("std", F.stddev_samp(number_of(ref, c))))
     ]
     rows, stats = df.withColumn("_stats", ref.agg(F.struct(*figures)).scalar()), F.col("_stats")
     changes, log = {}, []
     for c in cols:
         mean = stats[f"{c}_mean"]
-        z = F.abs(as_number(F.col(c)) - mean) / (stats[f"{c}_std"] + F.lit(1e-10))
+        z = F.abs(number_of(df, c) - mean) / (stats[f"{c}_std"] + F.lit(1e-10))
         new = mean.try_cast("bigint").cast("string")
         far = (z > k) & ~F.col(c).cast("string").eqNullSafe(new)
         changes[c] = F.when(far, _typed(df, c, new)).otherwise(F.col(c))

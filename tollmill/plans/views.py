@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollmill.sources.readers import load
+from tollmill.sources.readers import load, spread
 
 
 def _code(k: Column) -> Column:
@@ -29,10 +29,17 @@ def _text(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def _gantry_id(key: str) -> Column:
+    return F.concat(F.lit("GT"), F.lpad(_text(key), 8, "0")).alias("gantry_id")
+
+
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+_FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
+
+
 class TollViews:
     """Section, station, gantry, transactions and audit log over one directory of test tables."""
 
@@ -42,6 +49,10 @@ class TollViews:
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.directory, name)
 
+    def facts(self, name: str) -> DataFrame:
+        """A large table, spread over the cores where it is stored in too few parts."""
+        return spread(self.table(name), _FACT_KEYS[name])
+
     @cached_property
     def _section(self) -> DataFrame:
         side = F.when(F.col("n_regionkey") % 2 == 0, "G").otherwise("S")
@@ -69,15 +80,15 @@ class TollViews:
         k = F.col("s_suppkey")
         s = self.table("supplier").join(self._section, F.col("s_nationkey") == F.col("nk"))
         return s.select(
-            F.concat(F.lit("GT"), F.lpad(_text("s_suppkey"), 8, "0")).alias("gantry_id"),
+            _gantry_id("s_suppkey"),
             F.col("s_name").alias("gantry_name"), "section_id", _text(1 + k % 3).alias("gantry_type"),
             F.when(k % 11 == 0, _null("string")).when(k % 13 == 0, "").otherwise(_text(2 + k % 4)).alias("lane_count"),
-            k.alias("sk"), "section_name",
+            "section_name",
         )
 
     @cached_property
     def gantry(self) -> DataFrame:
-        return self._gantry.drop("sk", "section_name")
+        return self._gantry.drop("section_name")
 
     @cached_property
     def gantry_map(self) -> DataFrame:
@@ -86,7 +97,7 @@ class TollViews:
     @cached_property
     def entrance(self) -> DataFrame:
         k = F.col("o_orderkey")
-        o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        o = self.facts("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         return o.join(self._section, F.col("c_nationkey") == F.col("nk")).select(
             F.concat(F.lit("EN"), _text(k)).alias("entrance_transaction_id"),
             F.concat(F.lit("P"), _text(k)).alias("pass_id"), _code(k).alias("vehicle_class"),
@@ -96,7 +107,7 @@ class TollViews:
     @cached_property
     def exit(self) -> DataFrame:
         k = F.col("o_orderkey")
-        closed = self.table("orders").filter(F.col("o_orderstatus") != "O")
+        closed = self.facts("orders").filter(F.col("o_orderstatus") != "O")
         o = closed.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         place = F.when(k % 7 == 0, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
         toll = F.col("o_totalprice").cast("decimal(12,2)")
@@ -118,15 +129,17 @@ class TollViews:
         )
 
     @cached_property
-    def gtx(self) -> DataFrame:
+    def gtx_named(self) -> DataFrame:
+        """Gantry transactions with the name of their section."""
         o, p, line = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
         price = F.col("l_extendedprice") / 10
         at = (o * 31 + line * 977) % 1440
         late = F.when(p % 53 == 0, 600).otherwise(0)
-        g = self._gantry.select("gantry_id", "section_id", "sk")
-        return self.table("lineitem").join(g, F.col("l_suppkey") == F.col("sk")).select(
+        # table by table: the size of a stored table is known, that of a join of two is not
+        rows = self.facts("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        return rows.join(self._section, F.col("s_nationkey") == F.col("nk")).select(
             F.concat(F.lit("GX"), _text(o), F.lit("-"), _text(line)).alias("gantry_transaction_id"),
-            "gantry_id", "section_id", _code(p).alias("vehicle_type"),
+            _gantry_id("s_suppkey"), "section_id", _code(p).alias("vehicle_type"),
             _plus_minutes("l_shipdate", at).alias("transaction_time"),
             F.when(p % 101 == 0, _null("timestamp_ntz"))
             .otherwise(_plus_minutes("l_shipdate", at - 20 - p % 400 + late)).alias("entrance_time"),
@@ -137,13 +150,12 @@ class TollViews:
             _text(1000 + (o * 97) % 60000).alias("total_weight"),
             F.when(F.col("l_returnflag") == "R", "1").otherwise("2").alias("media_type"),
             F.when(F.col("l_linestatus") == "F", "1").otherwise("2").alias("pass_state"),
-            o.alias("ok"),
+            o.alias("ok"), "section_name",
         )
 
     @cached_property
-    def gtx_named(self) -> DataFrame:
-        """Gantry transactions with the name of their section."""
-        return self.gtx.join(self.section, "section_id")
+    def gtx(self) -> DataFrame:
+        return self.gtx_named.drop("section_name")
 
     @cached_property
     def even(self) -> DataFrame:
@@ -160,7 +172,7 @@ class TollViews:
         e = F.col("event_id")
         parent = e - e % 7 + F.floor((e % 7 - 1) / 2).cast("bigint")
         ms = F.floor("value").cast("int")
-        return self.table("events").select(
+        return self.facts("events").select(
             e.alias("id"), F.col("ts").alias("created_at"), ms.alias("response_time_ms"),
             _text("user_id").alias("user_id"), F.concat(F.lit("/api/"), F.col("event_type")).alias("api_endpoint"),
             F.when(F.col("event_type") == "error", False).otherwise(True).alias("is_success"),

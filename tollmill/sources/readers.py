@@ -20,6 +20,16 @@ def load(spark: SparkSession, directory: str, name: str, schema: T.StructType |
     return reader.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals out the rows of a fact table that is stored in fewer parts than the session has cores.
+
+    A table of one small file would otherwise be worked on by one task. Large tables have more
+    parts than that and are left as they are. Not for dimensions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def get(df: DataFrame, key: str, value) -> DataFrame:
     """The row with a key, or no row."""
     return df.filter(F.col(key) == F.lit(value)).limit(1)
