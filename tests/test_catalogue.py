@@ -7,7 +7,7 @@ from tollmill.plans import registry
 
 registry.load_all()
 
-# the tree ensembles are covered with fewer trees in test_learn.py
+# the tree ensembles are covered with fewer trees in test_sampling.py
 SLOW = {"m2_predict_fee", "m4_verify"}
 MAY_BE_EMPTY = {
     "a26_gantry_section_dependency", "pv8_k_violations", "a1_traffic_flow_filtered", "f1_optional_filters",
@@ -23,7 +23,7 @@ def _rows(records, order):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(name, spark, duck):
     if name in SLOW:
-        pytest.skip("covered in test_learn.py")
+        pytest.skip("covered in test_sampling.py")
     df = registry.QUERIES[name](spark, DATA)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [word for word in BANNED if word in plan]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BOM = "\ufeff"
+
 
 def drop_internal(df: DataFrame) -> DataFrame:
     """Without the working columns, whose names start with an underscore."""
@@ -20,7 +22,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", bom: bool = Tru
     out = drop_internal(df)
     if bom and out.columns:
         first = out.columns[0]
-        out = out.withColumnRenamed(first, "﻿" + first)
+        out = out.withColumnRenamed(first, BOM + first)
     out.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
 
 
