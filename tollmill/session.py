@@ -15,7 +15,8 @@ def build_session(app: str = "tollmill", master: str = "local[*]", **conf) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
-        # the JIT skips methods over 8000 bytes, so wide rule sets run faster in split code
+        # the JIT skips methods over 8000 bytes: keep generated code below that, and let it try the rest
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():

@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from tollmill.functions import constants as K
 from tollmill.sources import schemas
 
-_ROWS_KEPT_BY_TOPK = 100_000
+# a top-k keeps this many rows of every part in one place; larger samples go by hash cells
+_ROWS_KEPT_BY_TOPK = 1_000
+_DEFAULT_SAMPLE = 100_000
 
 
 def load(spark: SparkSession, directory: str, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -84,7 +86,7 @@ def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` random rows (``-1`` stands for 100000), the same ones for the same seed."""
     from tollmill.operators.sampling import smallest_by_hash
 
-    n = _ROWS_KEPT_BY_TOPK if n == -1 else n
+    n = _DEFAULT_SAMPLE if n == -1 else n
     if n <= _ROWS_KEPT_BY_TOPK:
         return df.orderBy(F.xxhash64(F.lit(seed), *map(F.col, df.columns)), *df.columns).limit(n)
     return smallest_by_hash(df, [], F.lit(n), seed=seed)
