@@ -130,11 +130,22 @@ def is_present(df: DataFrame, name: str) -> Column:
     return c.isNotNull()
 
 
+def clock_text(ts: Column, upto: int = 19) -> Column:
+    """The first characters of 'yyyy-MM-dd HH:mm:ss'. Pattern formatting would read a wall-clock
+    time in the session zone and move the hour that a change to summer time leaves out."""
+    return F.left(ts.cast("string"), F.lit(upto))
+
+
+def micro_text(ts: Column) -> Column:
+    """Six digits of the fraction of a second."""
+    return F.rpad(F.substring(ts.cast("string"), 21, 6), 6, "0")
+
+
 def iso_text(c: Column) -> Column:
     """ISO text of a timestamp, with microseconds only where there are any."""
-    micros = F.date_format(c, "SSSSSS")
+    micros = micro_text(c)
     return F.concat(
-        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.replace(clock_text(c), F.lit(" "), F.lit("T")),
         F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)),
     )
 
@@ -198,11 +209,11 @@ def day_fraction(ts: Column) -> Column:
 
 
 def hour_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH")
+    return clock_text(ts, 13)
 
 
 def day_label(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+    return clock_text(ts, 10)
 
 
 def minutes_between(start: Column, end: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
+from tollmill.functions.cleaning import clock_text
 
 
 def mask_id(c: Column) -> Column:
@@ -75,7 +76,7 @@ def elapsed_ms(start: Column, end: Column) -> Column:
 def composite_id(prefix, ts: Column, number: Column, width: int) -> Column:
     """Id made of a prefix, a time stamp and a zero-padded number."""
     head = F.lit(prefix) if isinstance(prefix, str) else prefix
-    return F.concat(head, F.date_format(ts, "yyyyMMddHHmmss"), F.lpad(number.cast("string"), width, "0"))
+    return F.concat(head, F.translate(clock_text(ts), "-: ", ""), F.lpad(number.cast("string"), width, "0"))
 
 
 def row_json(*columns: str) -> Column:

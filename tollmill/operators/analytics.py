@@ -188,7 +188,7 @@ def discount_rate(exit_: DataFrame, section_id=None, start=None, end=None, exact
 def peak_hours(entrance: DataFrame, section_id=None, start=None, end=None, k: int = 3) -> DataFrame:
     """Busiest hours of the day per section; the earlier hour wins a tie."""
     rows = trucks_only(scoped(entrance, "entrance_time", section_id, start, end), "vehicle_class")
-    hourly = rows.groupBy("section_id", F.date_format("entrance_time", "HH").alias("hour"))
+    hourly = rows.groupBy("section_id", F.substring(hour_label(F.col("entrance_time")), 12, 2).alias("hour"))
     counts = hourly.agg(F.count("entrance_transaction_id").alias("truck_count"))
     return top_n_per_group(counts, "section_id", [F.desc("truck_count"), F.asc("hour")], k)
 

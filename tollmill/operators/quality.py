@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tollmill.functions import constants as K
 from tollmill.functions.cleaning import (
-    as_whole, drop_parsed, is_present, number_of, parse_whole, seconds_between, time_of, whole_of,
+    as_whole, day_label, drop_parsed, iso_text, is_present, number_of, parse_whole, seconds_between, time_of, whole_of,
 )
 from tollmill.functions.vehicles import axle_limit, expected_axles, freight_class, lookup, passenger_code, truck_code
 from tollmill.operators.ordering import number_rows, top_k
@@ -102,7 +102,7 @@ def issue_top(df: DataFrame, k: int = 5) -> DataFrame:
 
 def with_date_error(df: DataFrame, dates: DataFrame) -> DataFrame:
     """Flags rows of a known section on a day that is not one of its days. Unknown sections pass."""
-    day = F.date_format(time_of(df, "transaction_time"), "yyyy-MM-dd")
+    day = day_label(time_of(df, "transaction_time"))
     valid = dates.select("section_id", F.col("date").alias("_date"), F.lit(True).alias("_valid"))
     known = dates.select("section_id").distinct().withColumn("_known", F.lit(True))
     joined = df.withColumn("_date", day).join(valid, ["section_id", "_date"], "left").join(known, "section_id", "left")
@@ -134,7 +134,7 @@ def repair(df: DataFrame, gantry_map: DataFrame | None = None) -> DataFrame:
     back = F.lit(1800) + F.pmod(F.xxhash64("gantry_transaction_id", "transaction_time"), F.lit(5401))
     moved = F.timestamp_add("SECOND", -back, end)
     if isinstance(df.schema["entrance_time"].dataType, T.StringType):
-        moved = F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss")
+        moved = iso_text(moved)
     fixed = df.withColumns(
         {
             "discount_fee": F.when(discount > fee, _typed(df, "discount_fee", _share_of_fee(fee))).otherwise(
@@ -330,7 +330,7 @@ def legacy_quality(df: DataFrame, max_hours: float = 4) -> DataFrame:
     back = F.lit(3600) + F.pmod(F.xxhash64("gantry_transaction_id", "transaction_time"), F.lit(3601))
     moved = F.timestamp_add("SECOND", -back, end)
     if isinstance(df.schema["entrance_time"].dataType, T.StringType):
-        moved = F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss")
+        moved = iso_text(moved)
     less = _typed(df, "discount_fee", _share_of_fee(fee))
     fixed = scored.withColumns(
         {

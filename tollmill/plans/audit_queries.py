@@ -170,17 +170,17 @@ _BODY = """case when id % 3 = 0 then concat('{"success": true, "count": ', cast(
 
 @query("c16_response_summary", f"""
     with b as (select id, {_BODY.replace('{t}', 'varchar')} as body from v_audit)
-    select id, cast(json_extract_string(body, '$.success') as boolean) as success,
-           cast(json_extract_string(body, '$.count') as bigint) as count,
-           cast(json_extract_string(body, '$.total') as bigint) as total,
-           cast(case when json_type(body, '$.data') = 'ARRAY' then json_array_length(body, '$.data') end as bigint) as data_count,
+    select id, json_extract_string(body, '$.success') as success,
+           json_extract_string(body, '$.count') as count,
+           json_extract_string(body, '$.total') as total,
+           cast(case when json_type(body, '$.data') = 'ARRAY' then json_array_length(body, '$.data') end as varchar) as data_count,
            left(json_extract_string(body, '$.error'), 200) as error
     from b""")
 def c16(v):
     body = F.expr(_BODY.replace("{t}", "string"))
     s = X.response_summary(body)
     return v.audit.select(
-        "id", *[s[c].alias(c) for c in ("success", "count", "total", "data_count", "error")]
+        "id", *[s[c].cast("string").alias(c) for c in ("success", "count", "total", "data_count", "error")]
     )
 
 

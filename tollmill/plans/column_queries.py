@@ -43,7 +43,7 @@ _ISO = """case ok % 6 when 0 then {iso} when 1 then concat({iso}, 'Z') when 2 th
     with r as (select gantry_transaction_id, ok, {_ISO.replace('{iso}', "strftime(transaction_time, '%Y-%m-%dT%H:%M:%S')")} as raw from v_gtx)
     select gantry_transaction_id, raw, {sql_moment("try_cast(replace(trim(raw), 'Z', '') as timestamp)")} as value from r""")
 def c3(v):
-    iso = _ISO.replace("{iso}", "date_format(transaction_time, \"yyyy-MM-dd'T'HH:mm:ss\")")
+    iso = _ISO.replace("{iso}", "replace(left(cast(transaction_time as string), 19), ' ', 'T')")
     rows = v.gtx.select("gantry_transaction_id", F.expr(iso).alias("raw"))
     return rows.select("gantry_transaction_id", "raw", moment(C.safe_timestamp(F.col("raw"))).alias("value"))
 
@@ -141,12 +141,12 @@ def c10(v):
 
 @query("c11_expected_fee", f"""
     select gantry_transaction_id,
-           cast(trunc(try_cast(fee_mileage as double) / 1000.0::double * (case vehicle_type when '1' then 0.45::double when '2' then 0.75::double
-                when '3' then 1.05::double when '4' then 1.25::double else {K.FREIGHT_RATE!r}::double end) * 100.0::double) as bigint) as expected
+           trunc(try_cast(fee_mileage as double) / 1000.0::double * (case vehicle_type when '1' then 0.45::double when '2' then 0.75::double
+                when '3' then 1.05::double when '4' then 1.25::double else {K.FREIGHT_RATE!r}::double end) * 100.0::double) as expected
     from v_gtx""")
 def c11(v):
     mileage = C.as_whole(F.col("fee_mileage"))
-    return v.gtx.select("gantry_transaction_id", V.expected_fee(mileage, F.col("vehicle_type")).alias("expected"))
+    return v.gtx.select("gantry_transaction_id", V.expected_fee(mileage, F.col("vehicle_type")).cast("double").alias("expected"))
 
 
 @query("c12_time_parts", """

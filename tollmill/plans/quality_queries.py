@@ -118,13 +118,13 @@ _REPAIRED = f"""r as (select d.ok, d.gantry_transaction_id, d.gantry_id, d.vehic
 @query("q5_repair", f"""
     with {D}, {_REPAIRED}
     select gantry_transaction_id, ok, discount_fee, axle_count, section_id, section_name,
-           old_entrance >= transaction_time as moved, coalesce(entrance_time < transaction_time, false) as in_order
+           coalesce(old_entrance >= transaction_time, false) as moved, coalesce(entrance_time < transaction_time, false) as in_order
     from r""")
 def q5(v):
     rows = dirty(v).withColumn("_old", F.col("entrance_time"))
     fixed = Q.repair(rows, v.gantry_map)
     seconds = F.timestamp_diff("SECOND", F.col("entrance_time"), F.col("transaction_time"))
-    moved = F.col("_old") >= F.col("transaction_time")
+    moved = F.coalesce(F.col("_old") >= F.col("transaction_time"), F.lit(False))
     right = F.when(moved, seconds.between(1800, 7200)).otherwise(F.col("entrance_time") < F.col("transaction_time"))
     return fixed.select(
         "gantry_transaction_id", "ok", "discount_fee", "axle_count", "section_id", "section_name",
@@ -138,20 +138,23 @@ _FILLED = f"""f as (select * replace (
 
 
 @query("q6_fill_knowledge", f"""
-    with {D}, {_FILLED.format('d')} select gantry_transaction_id, ok, discount_fee, pass_state from f""")
+    with {D}, {_FILLED.format('d')} select gantry_transaction_id, ok, cast(discount_fee as double) as discount_fee, pass_state from f""")
 def q6(v):
-    return Q.fill_knowledge(dirty(v), media_text=True).select("gantry_transaction_id", "ok", "discount_fee", "pass_state")
+    return Q.fill_knowledge(dirty(v), media_text=True).select(
+        "gantry_transaction_id", "ok", F.col("discount_fee").cast("double").alias("discount_fee"), "pass_state"
+    )
 
 
 @query("q7_recover", f"""
     with {D}, b as (select *, {COUNT} as n_before from d), {_REPAIRED.replace('from d join', 'from b d join').replace('d.ok,', 'd.ok, d.n_before,')},
     {_FILLED.format('r')}
-    select gantry_transaction_id, ok, n_before > 2 as recovered, {COUNT} as n_issues, discount_fee, pass_state
+    select gantry_transaction_id, ok, n_before > 2 as recovered, {COUNT} as n_issues, cast(discount_fee as double) as discount_fee, pass_state
     from f where n_before <= 2 or {COUNT} <= 2""")
 def q7(v):
     kept = Q.recover(dirty(v), v.gantry_map, media_text=True)
     return kept.select(
-        "gantry_transaction_id", "ok", F.col("_recovered").alias("recovered"), "n_issues", "discount_fee", "pass_state"
+        "gantry_transaction_id", "ok", F.col("_recovered").alias("recovered"), "n_issues",
+        F.col("discount_fee").cast("double").alias("discount_fee"), "pass_state",
     )
 
 
@@ -260,7 +263,7 @@ _ZS = {c: _z(c, n) for c, n in _ZF.items()}
 @query("q12_zscore_fix", f"""
     with {D}, z as (select {', '.join(s for s, _ in _ZS.values())} from d where ok % 2 = 0)
     select gantry_transaction_id, ok,
-           case when {_ZS['pay_fee'][1]} then cast(trunc(pay_fee_m) as int) else pay_fee end as pay_fee,
+           case when {_ZS['pay_fee'][1]} then trunc(pay_fee_m) else cast(pay_fee as double) end as pay_fee,
            case when {_ZS['fee_mileage'][1]} then cast(cast(trunc(fee_mileage_m) as bigint) as varchar) else fee_mileage end as fee_mileage,
            case when {_ZS['total_weight'][1]} then cast(cast(trunc(total_weight_m) as bigint) as varchar) else total_weight end as total_weight,
            ({_ZS['pay_fee'][1]})::int + ({_ZS['fee_mileage'][1]})::int + ({_ZS['total_weight'][1]})::int as n_corrections
@@ -269,7 +272,7 @@ def q12(v):
     rows = dirty(v)
     fixed = Q.zscore_fix(rows.filter("ok % 2 = 1"), rows.filter("ok % 2 = 0"), k=1.5)
     return fixed.select(
-        "gantry_transaction_id", "ok", "pay_fee", "fee_mileage", "total_weight", F.size("_corrections").alias("n_corrections")
+        "gantry_transaction_id", "ok", F.col("pay_fee").cast("double").alias("pay_fee"), "fee_mileage", "total_weight", F.size("_corrections").alias("n_corrections")
     )
 
 
@@ -291,11 +294,11 @@ _COEF = """case vehicle_type when '11' then 1.5::double when '12' then 1.5::doub
 @query("q14_fee_deviation", f"""
     with {D}, e as (select *, cast(trunc({whole('fee_mileage')} / 1000.0::double * 0.45::double * {_COEF} * 100.0::double) as bigint) as expected from d)
     select gantry_transaction_id, ok, coalesce(pay_fee > 0 and abs(pay_fee - expected) / nullif(expected, 0)::double > 0.5, false) as fee_anomaly,
-           case when pay_fee > 0 and abs(pay_fee - expected) / nullif(expected, 0)::double > 0.5 then expected end as expected_fee
+           case when pay_fee > 0 and abs(pay_fee - expected) / nullif(expected, 0)::double > 0.5 then cast(expected as double) end as expected_fee
     from e""")
 def q14(v):
     return Q.fee_deviation(dirty(v)).select(
-        "gantry_transaction_id", "ok", F.col("_fee_anomaly").alias("fee_anomaly"), F.col("_expected_fee").alias("expected_fee")
+        "gantry_transaction_id", "ok", F.col("_fee_anomaly").alias("fee_anomaly"), F.col("_expected_fee").cast("double").alias("expected_fee")
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollmill.functions.cleaning import clock_text, micro_text
 from tollmill.plans.views import TollViews, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +35,8 @@ def six(df: DataFrame, *cols: str) -> DataFrame:
 
 def moment(c: str):
     """A timestamp as text with microseconds."""
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    ts = F.col(c) if isinstance(c, str) else c
+    return F.concat(clock_text(ts), F.lit("."), micro_text(ts))
 
 
 def sql_moment(c: str) -> str:

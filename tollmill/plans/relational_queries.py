@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
+from tollmill.functions.cleaning import day_label
 from tollmill.operators import filters as R
 from tollmill.operators import ordering as O
 from tollmill.operators import privacy as P
@@ -200,7 +201,7 @@ def j10(v):
     dates = section_dates(v.gtx.filter("ok % 10 <> 0"))
     wrong = section_date_errors(v.gtx, dates)
     return wrong.select(
-        "gantry_transaction_id", "section_id", F.date_format("transaction_time", "yyyy-MM-dd").alias("date")
+        "gantry_transaction_id", "section_id", day_label(F.col("transaction_time")).alias("date")
     )
 
 
@@ -357,8 +358,8 @@ def s3(v):
     select strftime(entrance_time, '%Y-%m-%d') as date from v_entrance
     union select strftime(exit_time, '%Y-%m-%d') from v_exit""")
 def s4(v):
-    a = v.entrance.select(F.date_format("entrance_time", "yyyy-MM-dd").alias("date"))
-    return J.all_values(a, v.exit.select(F.date_format("exit_time", "yyyy-MM-dd").alias("date")), "date")
+    a = v.entrance.select(day_label(F.col("entrance_time")).alias("date"))
+    return J.all_values(a, v.exit.select(day_label(F.col("exit_time")).alias("date")), "date")
 
 
 @query("s5_partition_pass_fail", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,24 @@ def _streamed(v) -> StreamedViews:
     return StreamedViews(v.spark, v.directory)
 
 
+@contextmanager
+def state_partitions(spark):
+    """No more state partitions than cores while a stream starts: each one is a store of its own."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _append(stream: DataFrame, v) -> DataFrame:
     """Runs a stream to its end in append mode and reads what it wrote."""
     out, state = scratch_path(v.spark, "out"), scratch_path(v.spark, "state")
     sink = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state)
-    sink.trigger(availableNow=True).start(out).awaitTermination()
+    with state_partitions(v.spark):
+        sink.trigger(availableNow=True).start(out).awaitTermination()
     return v.spark.read.schema(stream.schema).parquet(out)
 
 
@@ -40,7 +55,8 @@ def _append(stream: DataFrame, v) -> DataFrame:
     from v_entrance where vehicle_class in {TRUCKS} group by 1, 2""")
 def st1(v):
     out = scratch_path(v.spark, "flow")
-    flows.run_hourly_flow(_streamed(v).entrance, out, scratch_path(v.spark, "state"))
+    with state_partitions(v.spark):
+        flows.run_hourly_flow(_streamed(v).entrance, out, scratch_path(v.spark, "state"))
     return flows.latest_flow(v.spark.read.parquet(out))
 
 
