@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollmill.functions.cleaning import safe_float, safe_int, weight_kg
-from tollmill.operators.profiling import exact_percentiles
+from tollmill.operators.profiling import exact_percentiles, unpivot
 from tollmill.operators.quality import field
 from tollmill.session import freeze
 
@@ -95,7 +95,7 @@ def distance_anomaly(df: DataFrame, ref: DataFrame, contamination: float = 0.1)
     A distance rule in standard scores, in place of an isolation forest, which Spark does not have.
     """
     stats = freeze(feature_stats(ref)).select("stats").scalar()
-    distances = with_distance(ref, stats).select(F.lit("distance").alias("field"), F.col("distance").alias("value"))
+    distances = unpivot(with_distance(ref, stats), {"distance": F.col("distance")}, "double")
     limit = exact_percentiles(distances, [1.0 - contamination]).select("percentile").scalar()
     scored = with_distance(df, stats).withColumn("_limit", limit)
     confidence = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("distance") / F.col("_limit") - 1.0))
