@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,22 +25,29 @@ def build_session(app: str = "tollmill", master: str = "local[*]", **conf) -> Sp
     return spark
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """The frame written to the shared checkpoint folder and read back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A folder of
-    this machine is used only where none is named, as in tests.
+    A local session that names none gets a folder beside its warehouse; on a cluster that is an error, because
+    other machines would not see the files.
     """
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+
+
+def freeze(df: DataFrame) -> DataFrame:
+    """The frame written to the shared checkpoint folder and read back from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tollmill-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder, for tables that a job writes and reads back."""
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    root = root or tempfile.mkdtemp(prefix="tollmill-scratch-")
-    return f"{root.rstrip('/')}/tollmill-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, for tables that a job writes and reads back."""
+    return f"{shared_folder(spark)}/tollmill-{uuid.uuid4().hex}/{name}"
