@@ -3,11 +3,13 @@
 Texts are cut at ASCII white space. No token of the vocabulary spans white space, and normalisation does not look across
 it, so the ids of a text are the ids of its words in order, and each distinct word is encoded once:
 
-1. words are counted on Spark, and each distinct word gets its ids; pieces come from a map-side join with the vocabulary;
-2. the most frequent words (at most ``hot_words``, none longer than ``HOT_CHARS``) are broadcast: their number is a
-   parameter, so the broadcast is bounded. They cover most occurrences, so no frequent key is ever shuffled;
-3. a text becomes an array of word numbers; occurrences of all other words are joined with the word table by word and come
-   back to their text by position.
+1. a block of documents (about ``BLOCK_BYTES`` of text) becomes a list of its distinct words and, per text, the array of
+   their numbers in that list;
+2. the word lists of all blocks are dealt out by the hash of the word and met in one table of distinct words, where each
+   word is encoded; a word goes there once from a block, however often it occurs, so frequent words are no hot keys;
+3. the ids go back to the blocks and take the places of the word numbers; texts never move, only arrays of numbers.
+
+Decoding joins each id with its piece. The vocabulary has a fixed size, so its side is at hand in every task.
 
 Null texts count as empty: no ids, empty decoded text. An empty table gives an empty result. Rows that repeat an id and
 its text get equal results; a null id stays null. Further columns of the input are not looked at.
@@ -15,16 +17,14 @@ its text get equal results; a null id stays null. Further columns of the input a
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollmill.llm.common import chunks, keyed, same_row, stored, table
+from tollmill.llm.common import chunks, keyed, table
 
-HOT_CHARS = 64
+BLOCK_BYTES = 16 << 20
 _TOKENIZERS: dict = {}
 
 
@@ -40,6 +40,14 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def pieces_of(path: str) -> np.ndarray:
+    """Pieces by id."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    pieces = np.full(max(vocab.values()) + 1, "", dtype=object)
+    pieces[list(vocab.values())] = list(vocab.keys())
+    return pieces
+
+
 def split_words(text: str) -> list[bytes]:
     """Words of a text as UTF-8. The vocabulary folds case; folding ASCII early saves distinct words.
 
@@ -48,120 +56,137 @@ def split_words(text: str) -> list[bytes]:
     return (text.lower() if text.isascii() and "<|" not in text else text).encode().split()
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
+def _pack(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four compressed byte planes."""
+    import zstandard
 
-    def count(batches):
-        seen: Counter = Counter()
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-        def flush():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-            )
 
-        for batch in chunks(batches):
-            for text in batch.column("text").to_pylist():
-                seen.update(split_words(text))
-            if len(seen) > 500_000:
-                yield flush()
-                seen.clear()
-        if seen:
-            yield flush()
+def _unpack(data: bytes) -> np.ndarray:
+    import zstandard
 
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): ids as little-endian unsigned 32-bit numbers."""
+_DOCS = "array<struct<id:{0}, codes:binary>>"
+_WORDS = "array<struct<bucket:int, words:binary>>"
 
-    def encode(batches):
-        t = tokenizer(path)
-        for batch in batches:
-            for part in (batch.slice(i, 20_000) for i in range(0, batch.num_rows, 20_000)):
-                texts = [w.decode() for w in part.column("word").to_pylist()]
-                ids = [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
-    return words.mapInArrow(encode, "word binary, n long, ids binary")
+def number_words(texts: DataFrame, buckets: int) -> DataFrame:
+    """(block, docs, bucket_of, dictionary): texts as word numbers, and the words of each block by bucket.
 
+    Numbers follow the frequency in the block. The same rows give the same blocks and numbers each time.
+    """
+    id_type = texts.schema["id"].dataType.simpleString()
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Word numbers below 2**24 in three byte planes, compressed."""
-    import zstandard
+    def number(batches):
+        import zstandard
+        from xxhash import xxh64_intdigest
+
+        for block in chunks(batches, most=BLOCK_BYTES):
+            numbers: dict[bytes, int] = {}
+            coded = []
+            for text in block.column("text").to_pylist():
+                words = split_words(text)
+                coded.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.uint32, count=len(words)))
+            words = np.empty(len(numbers), dtype=object)
+            words[:] = list(numbers)
+            numbers.clear()
+            together = np.concatenate(coded)
+            by_count = np.argsort(-np.bincount(together, minlength=len(words)), kind="stable")
+            renumber = np.empty(len(words), dtype=np.uint32)
+            renumber[by_count] = np.arange(len(words), dtype=np.uint32)
+            words = words[by_count]
+            bucket_of = np.fromiter((xxh64_intdigest(w) % buckets for w in words), dtype=np.uint32, count=len(words))
+            order = np.argsort(bucket_of, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket_of[order])) + 1
+            dictionary = [
+                {"bucket": int(bucket_of[part[0]]), "words": zstandard.ZstdCompressor(level=3).compress(b"\n".join(words[part]))}
+                for part in np.split(order, cuts) if len(part)
+            ]
+            keys = np.asarray(block.column("h")).tobytes() + repr(block.column("id").to_pylist()).encode()
+            docs = [{"id": i, "codes": _pack(renumber[c])} for i, c in zip(block.column("id").to_pylist(), coded)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([np.uint64(xxh64_intdigest(keys)).astype(np.int64)]),
+                 pa.array([docs], pa.list_(pa.struct([("id", block.schema.field("id").type), ("codes", pa.binary())]))),
+                 pa.array([_pack(bucket_of)], pa.binary()),
+                 pa.array([dictionary], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))],
+                ["block", "docs", "bucket_of", "dictionary"],
+            )
 
-    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return texts.mapInArrow(number, f"block long, docs {_DOCS.format(id_type)}, bucket_of binary, dictionary {_WORDS}")
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
+def encode_words(dictionaries: DataFrame, path: str) -> DataFrame:
+    """(block, bucket, counts, ids) from (block, bucket, words): the ids of each list of words, each distinct word encoded once."""
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(3, -1).astype(np.uint32)
-    return raw[0] | (raw[1] << 8) | (raw[2] << 16)
+    def encode(pdf):
+        import pandas as pd
+        import zstandard
 
+        lists = [zstandard.ZstdDecompressor().decompress(w).split(b"\n") for w in pdf["words"]]
+        distinct = sorted(set().union(*lists))
+        at = {w: i for i, w in enumerate(distinct)}
+        ids: list[np.ndarray] = []
+        for i in range(0, len(distinct), 20_000):
+            batch = tokenizer(path).encode_batch([w.decode() for w in distinct[i : i + 20_000]], add_special_tokens=False)
+            ids += [np.array(e.ids, dtype=np.uint32) for e in batch]
+        out = []
+        for words in lists:
+            own = [ids[at[w]] for w in words]
+            out.append((_pack(np.array([len(x) for x in own], dtype=np.uint32)), _pack(np.concatenate(own))))
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "counts": [a for a, _ in out], "ids": [b for _, b in out]})
 
-def encode_decode(docs: DataFrame, path: str, hot_words: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids, decoded) of every text: ids as little-endian unsigned 32-bit numbers, decoded as a string."""
-    spark = docs.sparkSession
-    texts = keyed(docs, id_col, text_col)
-    words = stored(encode_words(count_words(texts), path), "words")
-    hot = (
-        words.filter(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(min(hot_words, (1 << 24) - 1))
-        .select("word", "ids").toArrow()
-    )
-    hot_list, hot_ids = hot.column("word").to_pylist(), hot.column("ids").to_pylist()
-    words_b, ids_b = spark.sparkContext.broadcast(hot_list), spark.sparkContext.broadcast(hot_ids)
+    return dictionaries.groupBy("bucket").applyInPandas(encode, "block long, bucket int, counts binary, ids binary")
 
-    def number(batches):
-        """Word numbers of each text (0: not a hot word), and the other words with their positions."""
-        numbers = {w: i + 1 for i, w in enumerate(words_b.value)}
-        for batch in chunks(batches):
-            packed, rare = [], []
-            for text in batch.column("text").to_pylist():
-                found = split_words(text)
-                codes = np.fromiter((numbers.get(w, 0) for w in found), dtype=np.uint32, count=len(found))
-                packed.append(_pack(codes))
-                rare.append([{"pos": i, "word": found[i]} for i in np.flatnonzero(codes == 0).tolist()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("h"), pa.array(packed, pa.binary()),
-                 pa.array(rare, pa.list_(pa.struct([("pos", pa.int32()), ("word", pa.binary())])))],
-                ["id", "h", "codes", "rare"],
-            )
 
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_tokens, ids, decoded) of every text: ids as little-endian unsigned 32-bit numbers, decoded as a string."""
+    texts = keyed(docs, id_col, text_col)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = number_words(texts, buckets)
+    words = numbered.select("block", F.explode("dictionary").alias("d")).select("block", "d.bucket", "d.words")
+    back = encode_words(words, path).groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "ids")).alias("ids"))
+    # a block may occur twice if its rows do: its ids are the same then
+    joined = numbered.select("block", "docs", "bucket_of").join(back, "block", "left")
     id_type = texts.schema["id"].dataType.simpleString()
-    numbered = texts.mapInArrow(number, f"id {id_type}, h long, codes binary, rare array<struct<pos:int, word:binary>>")
-    # the same rows twice: once for the word numbers, once for the other words
-    rare = numbered.select("id", "h", F.explode("rare").alias("r")).select("id", "h", "r.pos", "r.word")
-    found = rare.join(words.select("word", "ids"), "word").groupBy("id", "h").agg(F.collect_set(F.struct("pos", "ids")).alias("rare"))
-    coded = numbered.select("id", "h", "codes")
-    joined = coded.join(found, same_row(coded, found), "left").select(coded["id"], "codes", "rare")
 
     def assemble(batches):
-        t = tokenizer(path)
-        pieces = np.empty(max(t.get_vocab(with_added_tokens=True).values()) + 1, dtype=object)
-        for piece, i in t.get_vocab(with_added_tokens=True).items():
-            pieces[i] = piece
-
-        def decode(ids: bytes) -> str:
-            return " ".join(pieces[np.frombuffer(ids, dtype="<u4")])
-
-        ids_of = [b"", *ids_b.value]
-        text_of = ["", *map(decode, ids_b.value)]
+        pieces = pieces_of(path)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                out_ids, out_text = [], []
-                for data, others in zip(part.column("codes").to_pylist(), part.column("rare").to_pylist()):
-                    codes = _unpack(data).tolist()
-                    ids, text = [ids_of[c] for c in codes], [text_of[c] for c in codes]
-                    for other in others or ():
-                        ids[other["pos"]], text[other["pos"]] = other["ids"], decode(other["ids"])
-                    out_ids.append(b"".join(ids))
-                    out_text.append(" ".join(filter(None, text)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(x) // 4 for x in out_ids], pa.int64()), pa.array(out_ids, pa.binary()),
-                     pa.array(out_text, pa.string())],
-                    [id_col, "n_tokens", "ids", "decoded"],
-                )
+            for row in range(batch.num_rows):
+                docs = batch.column("docs")[row].as_py()
+                bucket_of = _unpack(batch.column("bucket_of")[row].as_py())
+                lists = {x["bucket"]: x for x in batch.column("ids")[row].as_py() or ()}
+                counts = np.zeros(len(bucket_of), dtype=np.int64)
+                order = np.argsort(bucket_of, kind="stable")
+                flat = [np.zeros(0, dtype=np.uint32)]
+                for part in np.split(order, np.flatnonzero(np.diff(bucket_of[order])) + 1):
+                    if len(part):
+                        found = lists[int(bucket_of[part[0]])]
+                        counts[part] = _unpack(found["counts"])
+                        flat.append(_unpack(found["ids"]))
+                flat = np.concatenate(flat)
+                starts = np.zeros(len(bucket_of), dtype=np.int64)
+                starts[order] = np.cumsum(counts[order]) - counts[order]
+                for i in range(0, len(docs), 256):
+                    part = docs[i : i + 256]
+                    encoded = []
+                    for d in part:
+                        codes = _unpack(d["codes"])
+                        n = counts[codes]
+                        ends = np.cumsum(n)
+                        encoded.append(flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d["id"] for d in part], batch.schema.field("docs").type.value_type.field("id").type),
+                         pa.array([len(x) for x in encoded], pa.int64()),
+                         pa.array([x.astype("<u4").tobytes() for x in encoded], pa.binary()),
+                         pa.array([" ".join(pieces[x]) for x in encoded], pa.string())],
+                        [id_col, "n_tokens", "ids", "decoded"],
+                    )
 
     return joined.mapInArrow(assemble, f"`{id_col}` {id_type}, n_tokens long, ids binary, decoded string")
 
