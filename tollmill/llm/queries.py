@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tollmill.llm.bpe import op2_bpe
+from tollmill.llm.fingerprints import op7_fingerprints
+from tollmill.llm.html import op4_html
+from tollmill.llm.sharding import op3_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_sharding": op3_sharding,
+    "op4_html": op4_html,
+    "op7_fingerprints": op7_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
