@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tollmill.llm.bpe import op2_bpe
+from tollmill.llm.decontamination import op1_decontamination
 from tollmill.llm.fingerprints import op7_fingerprints
 from tollmill.llm.html import op4_html
+from tollmill.llm.jaccard import op10_jaccard
 from tollmill.llm.lines import op5_lines
 from tollmill.llm.quality import op8_quality
 from tollmill.llm.sharding import op3_sharding
 from tollmill.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op4_html": op4_html,
@@ -22,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
