@@ -116,6 +116,7 @@ def kd_shards(
         high = F.struct("c", "th", "ih") > F.struct("at_c", "at_th", "at_ih")
         placed = rows.join(F.broadcast(cuts), "node", "left").withColumn("c", cell)
         rows = placed.withColumn("node", F.col("node") + F.when(high, F.coalesce("left", F.lit(0))).otherwise(F.lit(0))).select(*rows.columns)
+        rows = stored(rows, "level")  # each level reads narrow rows: plans do not nest
         leaves = {b: m for a, k in leaves.items() for b, m in (((a, k // 2), (a + k // 2, k - k // 2)) if k > 1 else ((a, k),))}
     rows = rows.select("id", "size", "crc", F.col("node").alias("shard"))
     groups = max(1, n // (_ROWS_PER_SLOT_GROUP * shards))
