@@ -11,6 +11,7 @@ from tollmill.llm.decontamination import op1_decontamination
 from tollmill.llm.fingerprints import op7_fingerprints
 from tollmill.llm.html import op4_html
 from tollmill.llm.jaccard import op10_jaccard
+from tollmill.llm.licenses import op9_licenses
 from tollmill.llm.lines import op5_lines
 from tollmill.llm.quality import op8_quality
 from tollmill.llm.sharding import op3_sharding
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op9_licenses": op9_licenses,
     "op10_jaccard": op10_jaccard,
 }
 
