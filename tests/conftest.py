@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import duckdb
 import pytest
@@ -15,8 +16,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.mkdtemp(prefix="tests-")
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions=8, spark__driver__memory="8g",
+        "tests", "local[8]", spark__checkpoint__dir=f"file://{shared}", spark__sql__shuffle__partitions=8, spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
     )
     yield session

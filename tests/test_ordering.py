@@ -61,8 +61,9 @@ def test_shares_keep_null_groups(spark):
 
 def test_top_fraction(spark):
     df = spark.range(23)
-    assert values(O.top_fraction(df, [F.desc("id")]), "id") == sorted([(i,) for i in (22, 21, 20, 19)], key=repr)
-    assert O.top_fraction(spark.range(1000), [F.desc("id")]).count() == 50
+    assert values(O.top_fraction(df, [F.desc("id")], cap=50), "id") == sorted([(i,) for i in (22, 21, 20, 19)], key=repr)
+    assert O.top_fraction(spark.range(1000), [F.desc("id")], cap=50).count() == 50
+    assert O.top_fraction(spark.range(1000), [F.desc("id")]).count() == 200
     assert O.top_fraction(spark.range(4), [F.desc("id")]).count() == 0
 
 
@@ -93,14 +94,35 @@ def test_trace_with_several_calls_and_parents(spark):
     )
 
 
-def test_resolve_section_both_ways(spark):
+def test_resolve_section(spark):
     section = spark.createDataFrame([("S2", "North Road"), ("S1", "Road"), ("S3", "Bay")], "section_id string, section_name string")
     texts = spark.createDataFrame([("take the North Road",), ("Bay to Road",), ("nothing",), (None,), ("B",)], "t string")
-    small = J.resolve_section(texts, section, "t")
-    large = J.resolve_section(texts, section, "t", small_rows=1)
+    found = J.resolve_section(texts, section, "t")
     want = sorted([("take the North Road", "S1"), ("Bay to Road", "S1"), ("nothing", None), (None, None), ("B", None)], key=repr)
-    assert values(small, "t", "resolved_section_id") == want
-    assert values(large, "t", "resolved_section_id") == want
+    assert values(found, "t", "resolved_section_id") == want
+    many = section.unionByName(spark.range(3000).select(F.concat(F.lit("X"), F.col("id")).alias("section_id"), F.concat(F.lit("Way no "), F.col("id")).alias("section_name")))
+    assert values(J.resolve_section(texts, many, "t"), "t", "resolved_section_id") == want
+    assert J.resolve_section(texts, section.limit(0), "t").filter("resolved_section_id is not null").count() == 0
+
+
+def _tree(spark, rows):
+    log = spark.createDataFrame(rows, "id int, trace_id string, parent_trace_id string")
+    return values(U.trace_tree(log), "id", "root", "path")
+
+
+def test_trace_tree_resolves_each_call(spark):
+    assert _tree(spark, [(1, "p", None), (2, "t", None), (3, "t", "p")]) == sorted([(1, "p", "p"), (2, "t", "t"), (3, "p", "p>t")], key=repr)
+
+
+def test_trace_tree_ends_on_circles(spark):
+    rows = [(1, "a", "b"), (2, "a", "c"), (3, "b", "a"), (4, "c", "a"), (5, "p", None), (6, "q", "p"), (7, "s", "s")]
+    assert _tree(spark, rows) == sorted([(5, "p", "p"), (6, "p", "p>q")], key=repr)
+
+
+def test_trace_tree_keeps_calls_below_a_shared_id(spark):
+    rows = [(1, "p", None), (2, "q", None), (3, "t", "p"), (4, "t", "q"), (5, "x", "t"), (6, "y", "t")]
+    got = _tree(spark, rows)
+    assert {i for i, _, _ in got} == {1, 2, 3, 4, 5, 6} and len(got) == 8
 
 
 def test_match_tags_default(spark):

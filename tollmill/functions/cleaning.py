@@ -192,9 +192,17 @@ def numeric_clean(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def round_half_even(c: Column, digits: int | None) -> Column:
-    """Rounding of shown figures; ``digits=None`` leaves the value as it is."""
-    return c if digits is None else F.bround(c, digits)
+def shown_ratio(part: Column, whole: Column, digits: int, scale: int = 1) -> Column:
+    """``part * scale / whole`` with so many decimals, for counts and sums that are whole numbers from 0; NULL for 0 wholes.
+
+    The quotient is rounded in whole numbers, so the figure does not depend on how a fraction is stored; exact halves
+    go to the even digit.
+    """
+    a, b = part.cast("bigint") * F.lit(2 * scale * 10**digits), F.nullif(whole.cast("bigint") * F.lit(2), F.lit(0).cast("bigint"))
+    down = F.floor((a - a % b) / b).cast("bigint")
+    rest = (a % b) * F.lit(2)
+    up = F.when((rest > b) | ((rest == b) & (down % 2 == 1)), F.lit(1)).otherwise(F.lit(0))
+    return (down + up) / F.lit(10.0**digits)
 
 
 def section_code(c: Column) -> Column:
@@ -230,7 +238,10 @@ def stable_uniform(seed: int, *keys: Column) -> Column:
     """A number in (0, 1) that depends on the keys and the seed only.
 
     ``rand`` follows the partition layout, so a recomputed task could draw other
-    numbers; a keyed hash gives the same draw however often a task is rerun.
+    numbers; a keyed digest gives the same draw however often a task is rerun,
+    and on every engine.
     """
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), *keys), 11)
-    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    parts = [F.coalesce(k.cast("string"), F.lit("\\N")) for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    bits = F.conv(F.left(digest, F.lit(12)), 16, 10).cast("bigint")
+    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))

@@ -61,132 +61,6 @@ STATUS_NORMAL = "正常"
 STATUS_ABNORMAL = "异常"
 OVERLOADED = "超载"
 
-# --- sections (fixed values) ------------------------------------------------
-SECTION_NAMES = {
-    "G5615530120": "麻文高速",
-    "G7611530010": "都香高速",
-    "S0010530010": "彝良至昭通高速",
-    "S0010530020": "彝良至镇雄高速公路",
-    "S0014530010": "宜宾至毕节高速威信至镇雄段",
-    "S0014530020": "青龙咀至水田新区高速",
-    "S0014530030": "大关至永善高速",
-    "S0071530020": "昭阳西环高速公路",
-}
-
-# section -> dates with valid records
-SECTION_DATES = {
-    "G5615530120": ["2023-01-03"],
-    "G7611530010": ["2023-02-01"],
-    "S0010530010": ["2023-02-20", "2023-02-21"],
-    "S0010530020": ["2023-03-08", "2023-03-09"],
-    "S0014530010": ["2023-03-15", "2023-03-16"],
-    "S0014530020": ["2023-03-22", "2023-03-23"],
-    "S0014530030": ["2023-12-22", "2023-12-23"],
-    "S0071530020": ["2023-02-08", "2023-02-09"],
-}
-
-# known gantries; the first eleven characters of a gantry id are its section id
-GANTRY_IDS = [
-    "G561553012000210010",
-    "G561553012000220010",
-    "G561553012000310010",
-    "G561553012000320010",
-    "G561553012000410010",
-    "G561553012000420010",
-    "G561553012000510010",
-    "G561553012000520010",
-    "G561553012000610010",
-    "G561553012000620010",
-    "G561553012000710010",
-    "G561553012000720010",
-    "G761153001000110010",
-    "G761153001000110020",
-    "G761153001000120010",
-    "G761153001000120020",
-    "G761153001000210010",
-    "G761153001000220010",
-    "G761153001000310010",
-    "G761153001000320010",
-    "G761153001000410010",
-    "G761153001000420010",
-    "G761153001000510010",
-    "G761153001000520010",
-    "G761153001000610010",
-    "G761153001000620010",
-    "G761153001000710010",
-    "G761153001000720010",
-    "G761153001000810010",
-    "G761153001000820010",
-    "G761153001001710010",
-    "G761153001001720010",
-    "S001053001000210010",
-    "S001053001000220010",
-    "S001053001000310010",
-    "S001053001000320010",
-    "S001053001000410010",
-    "S001053001000420010",
-    "S001053001000510010",
-    "S001053001000520010",
-    "S001053001000610010",
-    "S001053001000620010",
-    "S001053001000710010",
-    "S001053001000720010",
-    "S001053001000810010",
-    "S001053001000810020",
-    "S001053001000820010",
-    "S001053001000820020",
-    "S001053002000110010",
-    "S001053002000120010",
-    "S001053002000210010",
-    "S001053002000220010",
-    "S001053002000310010",
-    "S001053002000320010",
-    "S001053002000410010",
-    "S001053002000420010",
-    "S001053002000510010",
-    "S001053002000520010",
-    "S001453001000110010",
-    "S001453001000120010",
-    "S001453001000210010",
-    "S001453001000220010",
-    "S001453001000310010",
-    "S001453001000320010",
-    "S001453001000410010",
-    "S001453001000420010",
-    "S001453001000510010",
-    "S001453001000520010",
-    "S001453001000610010",
-    "S001453001000620010",
-    "S001453001000710010",
-    "S001453001000720010",
-    "S001453001000810010",
-    "S001453001000820010",
-    "S001453001000910010",
-    "S001453001000920010",
-    "S001453001001010010",
-    "S001453001001020010",
-    "S001453001002010010",
-    "S001453001002020010",
-    "S001453002000110010",
-    "S001453002000120010",
-    "S001453003000110010",
-    "S001453003000120010",
-    "S001453003000210010",
-    "S001453003000220010",
-    "S001453003000310010",
-    "S001453003000320010",
-    "S007153002000110010",
-    "S007153002000120010",
-    "S007153002000210010",
-    "S007153002000220010",
-    "S007153002000310010",
-    "S007153002000320010",
-    "S007153002000410010",
-    "S007153002000420010",
-    "S007153002000510010",
-    "S007153002000520010",
-]
-
 # --- metric tags and their search words (fixed values) ----------------------
 METRIC_TAGS = {
     "hourly-flow": ["流量", "小时", "趋势", "高峰", "监测"],

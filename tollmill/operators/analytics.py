@@ -1,7 +1,7 @@
 """Traffic, revenue and truck reports.
 
 Averages of money are an exact decimal sum over a count, so they do not depend on the
-order in which partitions arrive. ``exact=True`` leaves shown figures unrounded.
+order in which partitions arrive. Shown shares and means are rounded from whole numbers.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
-from tollmill.functions.cleaning import day_label, hour_label, minutes_between, round_half_even
+from tollmill.functions.cleaning import day_label, hour_label, minutes_between, shown_ratio
 from tollmill.functions.text import mask_id
 from tollmill.operators.filters import non_blank, scoped, truck, trucks_only, usable_numeric, where_opt
 from tollmill.operators.ordering import top_n_per_group, with_share
 from tollmill.operators.relational import children_count, match_trips, with_section_name
 from tollmill.operators.privacy import dp_count
 
-DEFAULT_LANES = 4.0
+DEFAULT_LANES = 4
 
 
 def _total(c: str) -> Column:
@@ -53,21 +53,20 @@ def revenue(exit_: DataFrame, section_id=None, start=None, end=None) -> DataFram
     )
 
 
-def vehicle_distribution(entrance: DataFrame, section_id=None, start=None, end=None, exact: bool = False) -> DataFrame:
+def vehicle_distribution(entrance: DataFrame, section_id=None, start=None, end=None) -> DataFrame:
     rows = scoped(entrance, "entrance_time", section_id, start, end)
     counts = rows.groupBy("vehicle_class").agg(F.count(F.lit(1)).alias("count"))
-    shares = with_share(counts, count="count", share="percentage", scale=100.0)
-    rounded = round_half_even(F.col("percentage"), None if exact else 2)
-    return shares.withColumn("percentage", rounded).orderBy(F.desc("count"))
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.withColumn("percentage", shown_ratio(F.col("count"), total, 2, 100)).orderBy(F.desc("count"))
 
 
 def truck_hourly_flow(
     entrance: DataFrame, section: DataFrame, section_id=None, start=None, end=None, eps: float = 1.0, seed=None
 ) -> DataFrame:
-    """Truck entries per section and hour, with the true count and a noisy one to publish."""
+    """Truck entries per section and hour as a noisy count to publish. The true one (``truck_hourly_counts``) is not in it."""
     counts = truck_hourly_counts(entrance, section_id, start, end)
     named = with_section_name(counts, section)
-    return dp_count(named, "truck_count", eps, seed, keys=["section_id", "hour"])
+    return dp_count(named, "truck_count", eps, seed, keys=["section_id", "hour"]).drop("truck_count")
 
 
 def truck_hourly_counts(entrance: DataFrame, section_id=None, start=None, end=None) -> DataFrame:
@@ -103,11 +102,11 @@ def avg_toll_fee(exit_: DataFrame, section_id=None, start=None, end=None) -> Dat
 
 def section_lanes(gantry: DataFrame) -> DataFrame:
     """Average lane count over the gantries of each section; unreadable lane texts do not count."""
-    lanes = _whole("lane_count").cast("double")
-    return gantry.groupBy("section_id").agg(F.avg(lanes).alias("avg_lanes"))
+    lanes = _whole("lane_count").cast("bigint")
+    return gantry.groupBy("section_id").agg(F.sum(lanes).alias("lanes"), F.count(lanes).alias("gantries"))
 
 
-def _per_lane(gtx: DataFrame, gantry: DataFrame, counted: Column, ratio: str, exact: bool, total: str) -> DataFrame:
+def _per_lane(gtx: DataFrame, gantry: DataFrame, counted: Column, ratio: str, total: str) -> DataFrame:
     """Transactions per section over its lanes. The fact table is reduced to one row per gantry first."""
     by_gantry = gtx.groupBy("gantry_id").agg(F.count(counted).alias("_n"))
     by_section = (
@@ -115,11 +114,12 @@ def _per_lane(gtx: DataFrame, gantry: DataFrame, counted: Column, ratio: str, ex
         .groupBy("section_id")
         .agg(F.sum("_n").alias(total))
     )
-    usable = F.coalesce(F.nullif(F.col("avg_lanes"), F.lit(0.0)), F.lit(DEFAULT_LANES))
+    known = F.col("lanes") > 0
+    lanes = F.when(known, F.col("lanes")).otherwise(F.lit(DEFAULT_LANES))
+    gantries = F.when(known, F.col("gantries")).otherwise(F.lit(1))
     return by_section.join(section_lanes(gantry), "section_id", "left").select(
         "section_id", total,
-        round_half_even(usable, None if exact else 1).alias("avg_lanes"),
-        round_half_even(F.col(total) / usable, None if exact else 2).alias(ratio),
+        shown_ratio(lanes, gantries, 1).alias("avg_lanes"), shown_ratio(F.col(total) * gantries, lanes, 2).alias(ratio),
     )
 
 
@@ -129,21 +129,21 @@ def _gantry_scope(gtx: DataFrame, gantry: DataFrame, section_id, start, end) ->
 
 
 def congestion_index(
-    gtx: DataFrame, gantry: DataFrame, section_id=None, start=None, end=None, exact: bool = False
+    gtx: DataFrame, gantry: DataFrame, section_id=None, start=None, end=None
 ) -> DataFrame:
     """Truck passages per lane; sections with other traffic only stay with 0."""
     rows, gantries = _gantry_scope(gtx, gantry, section_id, start, end)
     counted = F.when(truck("vehicle_type"), F.col("gantry_transaction_id"))
-    return _per_lane(rows, gantries, counted, "congestion_index", exact, "truck_count")
+    return _per_lane(rows, gantries, counted, "congestion_index", "truck_count")
 
 
 def lane_utilization(
-    gtx: DataFrame, gantry: DataFrame, section_id=None, start=None, end=None, exact: bool = False
+    gtx: DataFrame, gantry: DataFrame, section_id=None, start=None, end=None
 ) -> DataFrame:
     """Truck passages per lane; sections without trucks do not appear."""
     rows, gantries = _gantry_scope(gtx, gantry, section_id, start, end)
     rows = trucks_only(rows, "vehicle_type")
-    return _per_lane(rows, gantries, F.col("gantry_transaction_id"), "lane_utilization", exact, "total_transactions")
+    return _per_lane(rows, gantries, F.col("gantry_transaction_id"), "lane_utilization", "total_transactions")
 
 
 def exit_hourly_flow(exit_: DataFrame, section_id=None, start=None, end=None) -> DataFrame:
@@ -153,15 +153,13 @@ def exit_hourly_flow(exit_: DataFrame, section_id=None, start=None, end=None) ->
     )
 
 
-def _with_rate(df: DataFrame, part: str, rate: str, percent: str, exact: bool) -> DataFrame:
-    share = F.col(part) / F.col("total_count")
-    return df.withColumns(
-        {rate: round_half_even(share, None if exact else 4), percent: round_half_even(share * 100, None if exact else 2)}
-    )
+def _with_rate(df: DataFrame, part: str, rate: str, percent: str) -> DataFrame:
+    share, total = F.col(part), F.col("total_count")
+    return df.withColumns({rate: shown_ratio(share, total, 4), percent: shown_ratio(share, total, 2, 100)})
 
 
 def overweight_rate(
-    exit_: DataFrame, section_id=None, start=None, end=None, mask: bool = True, exact: bool = False
+    exit_: DataFrame, section_id=None, start=None, end=None, mask: bool = True
 ) -> DataFrame:
     """Trucks over their limit among trucks with usable weights; the section id is masked."""
     rows = trucks_only(scoped(exit_, "exit_time", section_id, start, end), "vehicle_class")
@@ -170,19 +168,19 @@ def overweight_rate(
         F.count("exit_transaction_id").alias("total_count"),
         F.count(F.when(_whole("total_weight") > _whole("total_limit"), 1)).alias("overweight_count"),
     )
-    out = _with_rate(counts, "overweight_count", "overweight_rate", "overweight_percentage", exact)
+    out = _with_rate(counts, "overweight_count", "overweight_rate", "overweight_percentage")
     if mask:
         out = out.withColumns({"section_id": mask_id(F.col("section_id")), "section_id_masked": F.lit(True)})
     return out
 
 
-def discount_rate(exit_: DataFrame, section_id=None, start=None, end=None, exact: bool = False) -> DataFrame:
+def discount_rate(exit_: DataFrame, section_id=None, start=None, end=None) -> DataFrame:
     rows = trucks_only(scoped(exit_, "exit_time", section_id, start, end), "vehicle_class")
     counts = rows.groupBy("section_id").agg(
         F.count("exit_transaction_id").alias("total_count"),
         F.count(F.when(non_blank("discount_type"), 1)).alias("discount_count"),
     )
-    return _with_rate(counts, "discount_count", "discount_rate", "discount_percentage", exact)
+    return _with_rate(counts, "discount_count", "discount_rate", "discount_percentage")
 
 
 def peak_hours(entrance: DataFrame, section_id=None, start=None, end=None, k: int = 3) -> DataFrame:
@@ -193,11 +191,12 @@ def peak_hours(entrance: DataFrame, section_id=None, start=None, end=None, k: in
     return top_n_per_group(counts, "section_id", [F.desc("truck_count"), F.asc("hour")], k)
 
 
-def avg_axle_count(exit_: DataFrame, section_id=None, start=None, end=None, exact: bool = False) -> DataFrame:
+def avg_axle_count(exit_: DataFrame, section_id=None, start=None, end=None) -> DataFrame:
     rows = trucks_only(scoped(exit_, "exit_time", section_id, start, end), "vehicle_class")
-    mean = F.coalesce(F.avg(_whole("axis_count").cast("double")), F.lit(0.0))
+    axles = _whole("axis_count").cast("bigint")
+    mean = F.coalesce(shown_ratio(F.sum(axles), F.count(axles), 2), F.lit(0.0))
     return usable_numeric(rows, "axis_count").groupBy("section_id").agg(
-        round_half_even(mean, None if exact else 2).alias("avg_axle_count"),
+        mean.alias("avg_axle_count"),
         F.count("exit_transaction_id").alias("sample_count"),
     )
 

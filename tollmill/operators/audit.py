@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollmill.functions.cleaning import round_half_even
+from tollmill.functions.cleaning import shown_ratio
 from tollmill.operators.filters import between_closed, either_key, where_opt
 from tollmill.operators.ordering import page as page_of
 from tollmill.operators.ordering import page_info
@@ -44,27 +44,26 @@ def _ok() -> Column:
     return F.when(F.col("is_success"), 1)
 
 
-def audit_totals(log: DataFrame, start=None, end=None, exact: bool = False) -> DataFrame:
+def audit_totals(log: DataFrame, start=None, end=None) -> DataFrame:
     """Requests, success rate and mean response time, all over the same period."""
     rows = between_closed(log, "created_at", start, end)
-    rate = F.coalesce(F.try_divide(F.count(_ok()) * 100.0, F.count(F.lit(1))), F.lit(0.0))
     return rows.agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count(_ok()).alias("success_requests"),
-        round_half_even(rate, None if exact else 2).alias("success_rate"),
+        F.coalesce(shown_ratio(F.count(_ok()), F.count(F.lit(1)), 2, 100), F.lit(0.0)).alias("success_rate"),
         F.coalesce(F.avg("response_time_ms"), F.lit(0.0)).alias("avg_response_time"),
     )
 
 
-def endpoint_ranking(log: DataFrame, k: int = 10, start=None, end=None, exact: bool = False) -> DataFrame:
-    digits = None if exact else 2
+def endpoint_ranking(log: DataFrame, k: int = 10, start=None, end=None) -> DataFrame:
+    time = "response_time_ms"
     return (
         between_closed(log, "created_at", start, end)
         .groupBy(F.col("api_endpoint").alias("endpoint"))
         .agg(
             F.count(F.lit(1)).alias("count"),
-            round_half_even(F.coalesce(F.avg("response_time_ms"), F.lit(0.0)), digits).alias("avg_time"),
-            round_half_even(F.count(_ok()) * 100.0 / F.count(F.lit(1)), digits).alias("success_rate"),
+            F.coalesce(shown_ratio(F.sum(time), F.count(time), 2), F.lit(0.0)).alias("avg_time"),
+            shown_ratio(F.count(_ok()), F.count(F.lit(1)), 2, 100).alias("success_rate"),
         )
         .orderBy(F.desc("count"), F.asc("endpoint"))
         .limit(k)
@@ -113,53 +112,38 @@ def trace_calls(log: DataFrame, trace_id: str) -> DataFrame:
 
 
 def trace_tree(log: DataFrame, trace_id: str | None = None) -> DataFrame:
-    """Every call with its root, depth and path from the root, one row per path.
+    """Every call with its root, depth and path from the root, one row per path of the call.
 
-    The ids are resolved by doubling: each round joins every open id with the id it
-    has reached so far, so the reach doubles and a tree of depth d takes about
-    log2(d) joins. Each round is written out, so its lineage stays short. Calls
-    that are their own ancestors hang from no root and do not appear. Sorted by path,
+    A call without a parent, or whose parent is not in the log, is a root; so an id that several calls share can be a
+    root and a child at once. The tree grows from the roots down, one level a round, over the distinct pairs of id and
+    parent; a path never enters an id that it holds, so circles end, and calls that only circles reach do not appear.
+    Only the new level is written in a round. A requested trace starts its own tree wherever it hangs. Sorted by path,
     the rows are the nested tree in reading order.
     """
-    ids = F.col("trace_id").isNotNull()
-    self_call = F.col("parent_trace_id").eqNullSafe(F.col("trace_id"))
-    edges = log.filter(ids & ~self_call).select(F.col("trace_id").alias("node"), F.col("parent_trace_id").alias("up"))
-    # an id is a root when its call has no parent, or names one that is not in the log
-    known = log.filter(ids).select(F.col("trace_id").alias("up"), F.lit(True).alias("_known")).distinct()
-    up = F.when(F.col("_known"), F.col("up"))
-    step = edges.distinct().join(known, "up", "left").select("node", up.alias("up"))
+    calls = log.filter(F.col("trace_id").isNotNull())
+    known = calls.select(F.col("trace_id").alias("_known")).distinct()
+    calls = calls.join(known, F.col("parent_trace_id") == F.col("_known"), "left").withColumnRenamed("_known", "_up")
     if trace_id is not None:
-        # a requested trace starts its own tree wherever it hangs in a larger one
-        step = step.withColumn("up", F.when(F.col("node") != trace_id, F.col("up"))).distinct()
-    state = freeze(
-        step.select(
-            "node", "up",
-            F.when(F.col("up").isNull(), F.col("node")).alias("root"),
-            F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"),
-            F.col("node").alias("path"),
-        )
-    )
-    open_before = None
+        calls = calls.withColumn("_up", F.when(F.col("trace_id") != trace_id, F.col("_up")))
+    calls = calls.filter(~F.col("_up").eqNullSafe(F.col("trace_id")))
+    pairs = freeze(calls.select(F.col("trace_id").alias("node"), F.col("_up").alias("up")).distinct())
+    roots = pairs.filter(F.col("up").isNull())
+    if trace_id is not None:
+        roots = roots.filter(F.col("node") == trace_id)
+    level = roots.select("node", "up", F.col("node").alias("root"), F.array("node").alias("path"))
+    tree, edges = level, pairs.filter(F.col("up").isNotNull())
     while True:
-        still_open = state.filter(F.col("up").isNotNull())
-        n = still_open.count()
-        if n == 0 or n == open_before:  # only circles are left when a round resolves nothing
+        above = level.select(F.col("node").alias("up"), "root", "path")
+        grown = edges.join(above, "up").filter(~F.array_contains("path", F.col("node")))
+        level = freeze(grown.select("node", "up", "root", F.concat("path", F.array("node")).alias("path")))
+        if level.isEmpty():
             break
-        open_before = n
-        reached = state.select(
-            F.col("node").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"),
-            F.col("depth").alias("_depth"), F.col("path").alias("_path"),
-        )
-        moved = still_open.drop("root").join(reached, "up").select(
-            "node", F.col("_up").alias("up"), F.col("_root").alias("root"),
-            (F.col("depth") + F.col("_depth")).alias("depth"),
-            F.concat_ws(">", "_path", "path").alias("path"),
-        )
-        state = freeze(state.filter(F.col("up").isNull()).unionByName(moved))
-    done = state.filter(F.col("up").isNull()).drop("up")
-    if trace_id is not None:
-        done = done.filter(F.col("root") == trace_id)
-    return log.join(done.withColumnRenamed("node", "trace_id"), "trace_id")
+        tree = tree.unionByName(level)
+    placed = tree.select(
+        F.col("node").alias("_node"), F.col("up").alias("_above"), "root", (F.size("path") - 1).alias("depth"),
+        F.array_join("path", ">").alias("path"),
+    )
+    return calls.join(placed, (F.col("trace_id") == F.col("_node")) & F.col("_up").eqNullSafe(F.col("_above"))).drop("_node", "_above", "_up")
 
 
 def trace_summary(tree: DataFrame) -> DataFrame:

@@ -100,8 +100,8 @@ def check_select(sql: str) -> None:
             raise ValueError(f"query contains the banned word {word}")
 
 
-def safe_select(spark: SparkSession, sql: str, limit: int = 100) -> DataFrame:
-    """Runs a guarded ad-hoc query over the session's views; ``limit`` applies where the query has none."""
+def safe_select(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """Runs a guarded ad-hoc query over the session's views; ``limit``, if given, applies where the query has none."""
     check_select(sql)
     out = spark.sql(sql.rstrip().rstrip(";"))
-    return out if _has_word(sql, "LIMIT") else out.limit(limit)
+    return out if limit is None or _has_word(sql, "LIMIT") else out.limit(limit)

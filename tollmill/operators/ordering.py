@@ -57,6 +57,11 @@ def rank_cut(df: DataFrame, keys: list[str], ratio: float) -> Column:
     return numbered.filter(F.col("_row") == at).select(F.struct(*keys)).scalar()
 
 
+def first_part(df: DataFrame, keys: list[str], ratio: float) -> Column:
+    """Whether a row is among the first ``floor(n * ratio)`` in key order. Only the keys are sorted; the rows stay."""
+    return F.coalesce(F.struct(*keys) <= rank_cut(df, keys, ratio), F.lit(False))
+
+
 def with_share(counts: DataFrame, over=(), count: str = "cnt", share: str = "share", scale: float = 1.0) -> DataFrame:
     """Share of each count in its group (or in everything). NULL groups count as groups."""
     if not over:
@@ -113,12 +118,11 @@ def top_k(df: DataFrame, col: str, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), F.asc(col)).limit(k)
 
 
-def top_fraction(df: DataFrame, order: list, part: int = 5, cap: int = 50) -> DataFrame:
-    """The best ``n // part`` rows, at most ``cap``: the size of the report is the feature."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    best = df.orderBy(*order).limit(cap)
-    ranked = best.withColumn("_rank", F.row_number().over(W.orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= F.floor(n / F.lit(part))).drop("_rank")
+def top_fraction(df: DataFrame, order: list, part: int = 5, cap: int | None = None) -> DataFrame:
+    """The best ``n // part`` rows, or ``cap`` of them where the report has a largest size."""
+    size = df.count() // part
+    numbered = number_rows(df, order)
+    return numbered.filter(F.col("_row") <= (size if cap is None else min(size, cap))).drop("_row")
 
 
 def chunk_of(df: DataFrame, order: list, size: int, name: str = "chunk") -> DataFrame:

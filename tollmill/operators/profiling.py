@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
-from tollmill.functions.cleaning import as_number, day_label, is_present, number_of, round_half_even, safe_int, time_of
+from tollmill.functions.cleaning import as_number, day_label, is_present, number_of, safe_int, shown_ratio, time_of
 from tollmill.functions.vehicles import freight_class, time_period
 from tollmill.operators.ordering import chunk_of, with_share
 from tollmill.session import freeze
@@ -202,7 +202,7 @@ def profile_datetime(df: DataFrame, cols=None) -> DataFrame:
     return with_share(counts, over=["field", "unit"], share="prob")
 
 
-def class_period_mix(df: DataFrame, exact: bool = False) -> DataFrame:
+def class_period_mix(df: DataFrame) -> DataFrame:
     """Share of vehicle classes (codes 0-5 are passenger) and of periods (night is 0-6 o'clock)."""
     hour = F.hour(time_of(df, "transaction_time"))
     vehicle = F.when(F.col("vehicle_type").isin("0", "1", "2", "3", "4", "5"), K.PASSENGER).otherwise(K.TRUCK)
@@ -212,8 +212,9 @@ def class_period_mix(df: DataFrame, exact: bool = False) -> DataFrame:
     )
     pairs = unpivot(df, {"vehicle": F.when(is_present(df, "vehicle_type"), vehicle), "time": period})
     counts = pairs.filter(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    shares = with_share(counts, over="field")
-    return shares.withColumn("share", round_half_even(F.col("share"), None if exact else 2))
+    totals = counts.groupBy(F.col("field").alias("_field")).agg(F.sum("cnt").alias("_total"))
+    shared = counts.join(totals, F.col("field") == F.col("_field"))
+    return shared.withColumn("share", shown_ratio(F.col("cnt"), F.col("_total"), 2)).drop("_field", "_total")
 
 
 def fee_mileage_pairs(df: DataFrame) -> DataFrame:
@@ -304,10 +305,11 @@ def coverage(df: DataFrame, targets, label: Column | None = None) -> DataFrame:
     return present.agg((F.count(F.lit(1)) / F.lit(len(wanted))).alias("coverage"))
 
 
-def summarize(df: DataFrame, listed: int = 10) -> DataFrame:
-    """Rows, tolls due and paid, mean toll, distinct sections and the first few of them."""
+def summarize(df: DataFrame, listed: int | None = None) -> DataFrame:
+    """Rows, tolls due and paid, mean toll, distinct sections and their list (its first ``listed`` if given)."""
     sections = df.filter(is_present(df, "section_id")).select("section_id").distinct()
-    names = sections.orderBy("section_id").limit(listed).agg(F.array_sort(F.collect_list("section_id"))).scalar()
+    first = sections if listed is None else sections.orderBy("section_id").limit(listed)
+    names = first.agg(F.array_sort(F.collect_list("section_id"))).scalar()
     n_sections = sections.agg(F.count(F.lit(1))).scalar()
     toll, real = F.sum("toll_money").cast("double"), F.sum("real_money").cast("double")
     return df.agg(

@@ -15,7 +15,7 @@ from tollmill.functions.cleaning import (
     as_whole, day_label, drop_parsed, iso_text, is_present, number_of, parse_whole, seconds_between, time_of, whole_of,
 )
 from tollmill.functions.vehicles import axle_limit, expected_axles, freight_class, lookup, passenger_code, truck_code
-from tollmill.operators.ordering import number_rows, top_k
+from tollmill.operators.ordering import first_part, top_k
 from tollmill.operators.relational import repair_section
 
 
@@ -215,20 +215,20 @@ def iterative_weights(
 ) -> DataFrame:
     """Re-weights the first part of the rows by class share and score; the rest keeps weight 1.
 
-    Up to 20 rows are too few to re-weight, so they all keep weight 1.
+    Only the order columns are sorted, to find the key at the cut; all rows are compared with it where they are.
+    Rows that are equal in the order columns are on one side.
     """
     scored = df if "n_issues" in df.columns else check_rules(df)
-    numbered = number_rows(scored, order or df.columns)
-    n = numbered.count()
-    cut = int(n * head) if n > 20 else 0
-    first = F.col("_row") <= cut
+    scored = scored.withColumn("_first", first_part(scored, order or df.columns, head))
+    first = F.col("_first")
     start = class_weight(F.col("_counts"), targets or K.CLASS_TARGET)
-    weighted = numbered.withColumn("_counts", class_counts(numbered.filter(first))).withColumn("_start", start)
+    weighted = scored.withColumn("_counts", class_counts(scored.filter(first))).withColumn("_start", start)
     weight = reinforced(F.col("_start"), F.col("n_issues"), rounds, lr)
-    return weighted.withColumn("_quality_weight", F.when(first, weight).otherwise(1.0)).drop("_row", "_counts", "_start")
+    return weighted.withColumn("_quality_weight", F.when(first, weight).otherwise(1.0)).drop("_first", "_counts", "_start")
 
 
 def by_weight(df: DataFrame) -> DataFrame:
+    """All rows, the heaviest first."""
     return df.orderBy(F.desc("_quality_weight"))
 
 

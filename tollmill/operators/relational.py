@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
 
-# A dimension up to this many rows is carried inside the expression; beyond it a join is used.
-SMALL_DIMENSION_ROWS = 2_000
-
 
 def with_section_name(df: DataFrame, section: DataFrame) -> DataFrame:
     """Inner lookup of the section name; rows of unknown sections drop out."""
@@ -97,29 +94,23 @@ def match_tags(queries: DataFrame, text: str = "query", tags: dict | None = None
     return queries.withColumn("tag", F.explode(chosen))
 
 
-def resolve_section(
-    df: DataFrame, section: DataFrame, text: str, small_rows: int = SMALL_DIMENSION_ROWS
-) -> DataFrame:
+def resolve_section(df: DataFrame, section: DataFrame, text: str) -> DataFrame:
     """Section whose name occurs in a free text, NULL if none does; the smallest id wins.
 
-    A small dimension is carried as one array and searched in place. A larger one is
-    matched by equality: each text is cut into pieces as long as the names are, and
-    the pieces join the names.
+    Each place of a distinct text is looked up by the first characters from there on, as many as the shortest name has;
+    whole names are then compared. So a text sends one row per character, however long the names are.
     """
     names = section.filter(F.length("section_name") > 0).select("section_id", "section_name")
-    if names.limit(small_rows + 1).count() <= small_rows:
-        table = names.agg(F.array_sort(F.collect_list(F.struct("section_id", "section_name")))).scalar()
-        found = F.filter("_names", lambda s: F.contains(F.col(text), s["section_name"]))
-        first = F.try_element_at(found, F.lit(1))["section_id"]
-        return df.withColumn("_names", table).withColumn("resolved_section_id", first).drop("_names")
-    lengths = [r[0] for r in names.select(F.length("section_name")).distinct().collect()]
-    texts = df.select(text).filter(F.col(text).isNotNull()).distinct()
-    cut = F.array(*[F.lit(n) for n in sorted(lengths)])
-    at = texts.withColumn("_n", F.explode(cut)).filter(F.length(text) >= F.col("_n"))
-    at = at.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)))
-    pieces = at.select(text, F.expr(f"substring(`{text}`, _i, _n)").alias("section_name"))
-    found = pieces.join(names, "section_name").groupBy(text).agg(F.min("section_id").alias("resolved_section_id"))
-    return df.join(found, text, "left")
+    shortest = names.agg(F.min(F.length("section_name")).alias("n")).first()["n"]
+    if shortest is None:
+        return df.withColumn("resolved_section_id", F.lit(None).cast("string"))
+    texts = df.select(F.col(text).alias("_text")).filter(F.length("_text") >= shortest).distinct()
+    places = F.sequence(F.lit(1), F.length("_text") - F.lit(shortest - 1))
+    starts = texts.withColumn("_i", F.explode(places)).withColumn("_head", F.expr(f"substring(_text, _i, {shortest})"))
+    heads = names.withColumn("_head", F.left("section_name", F.lit(shortest)))
+    whole = F.expr("substring(_text, _i, length(section_name)) = section_name")
+    found = starts.join(heads, "_head").filter(whole).groupBy("_text").agg(F.min("section_id").alias("resolved_section_id"))
+    return df.join(found, df[text] == found["_text"], "left").drop("_text")
 
 
 def mix(a: DataFrame, b: DataFrame, n: int, ratio: float = 0.7, seed: int = 42) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tollmill.functions.cleaning import stable_uniform
+from tollmill.operators.ordering import running_sum
 from tollmill.session import freeze
 
 _CELL_BITS = 12
@@ -96,59 +97,69 @@ def rebalance(df: DataFrame, targets: dict, n: int, stratum: Column, seed: int |
     return smallest_by_hash(df.withColumn("_stratum", stratum), ["_stratum"], quota.otherwise(0), seed, cols).drop("_stratum")
 
 
-_LOOKUP_CELLS = 1024
+_GRID = 4096
 
 
-def _bounds(counts: DataFrame, group: list[str]) -> DataFrame:
-    """Lower and upper bound of every value in [0, 1), per group.
+def _bounds(counts: DataFrame) -> DataFrame:
+    """Lower and upper bound of every value in [0, 1) per (col, given), in the order of the values.
 
-    Values are spread over 64 slots by hash; slots are cumulated first, then the values inside.
+    Distinct values are numbered by ranges (``running_sum``), so no group is ordered in one task. Each bound is cut along
+    a grid, so that a lookup joins by equality; a grid cell that holds several values has one row for each of them.
     """
-    slotted = counts.withColumn("_slot", F.pmod(F.xxhash64("value"), F.lit(64)))
-    slots = slotted.groupBy(*group, "_slot").agg(F.sum("cnt").alias("_m"))
-    by = W.partitionBy(*group)
-    upto = by.orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
-    slots = slots.withColumns(
-        {"_base": F.sum("_m").over(upto) - F.col("_m"), "_total": F.sum("_m").over(by)}
-    ).drop("_m")
-    joined = slotted.join(slots, [*group, "_slot"])
-    inside = W.partitionBy(*group, "_slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    end = F.sum("cnt").over(inside) + F.col("_base")
-    bounds = joined.withColumn("_end", end).withColumns(
-        {"lower": (F.col("_end") - F.col("cnt")) / F.col("_total"), "upper": F.col("_end") / F.col("_total")}
-    )
-    return bounds.select(*group, "value", "lower", "upper")
+    summed = running_sum(counts, ["col", "given", "value"], "cnt", "_end")
+    ends = summed.groupBy("col", "given").agg(F.min(F.col("_end") - F.col("cnt")).alias("_base"), F.sum("cnt").alias("_total"))
+    ends = ends.select(F.col("col").alias("_c"), F.col("given").alias("_g"), "_base", "_total")
+    joined = summed.join(ends, (F.col("col") == F.col("_c")) & F.col("given").eqNullSafe(F.col("_g")))
+    upper = (F.col("_end") - F.col("_base")) / F.col("_total")
+    lower = (F.col("_end") - F.col("cnt") - F.col("_base")) / F.col("_total")
+    cells = F.sequence(F.floor(lower * _GRID), F.floor(upper * _GRID))
+    return joined.select("col", "given", "value", lower.alias("lower"), upper.alias("upper"), F.explode(cells).alias("cell"))
 
 
-def _draw(df: DataFrame, bounds: DataFrame, name: str, group: list[str], u: Column) -> DataFrame:
-    """Adds the value whose bounds enclose u. Bounds are cut along a grid, so the lookup joins by equality."""
-    first, last = F.floor(F.col("lower") * _LOOKUP_CELLS), F.floor(F.col("upper") * _LOOKUP_CELLS)
-    grid = bounds.withColumn("_g", F.explode(F.sequence(first, last)))
-    drawn = df.withColumn("_u", u).withColumn("_g", F.floor(F.col("_u") * _LOOKUP_CELLS))
-    hit = (F.col("_u") >= F.col("lower")) & (F.col("_u") < F.col("upper"))
-    joined = drawn.join(grid, [*group, "_g"]).filter(hit)
-    return joined.withColumnRenamed("value", name).drop("_u", "_g", "lower", "upper")
+def _draw(out: DataFrame, bounds: DataFrame, name: str, u: Column, given: Column) -> DataFrame:
+    """Adds the value whose bounds enclose u among the values that go with ``given``."""
+    mine = bounds.filter(F.col("col") == name).drop("col").withColumnRenamed("given", "_given")
+    drawn = out.withColumns({"_u": u, "_cell": F.floor(u * _GRID), "_for": given})
+    hit = (F.col("_cell") == F.col("cell")) & F.col("_for").eqNullSafe(F.col("_given")) & (F.col("_u") >= F.col("lower")) & (F.col("_u") < F.col("upper"))
+    return drawn.join(mine, hit).withColumnRenamed("value", name).drop("_u", "_cell", "_for", "_given", "lower", "upper", "cell")
 
 
 def resample(
     df: DataFrame, n: int, cols=("gantry_id", "vehicle_type", "media_type", "pass_state"), cond=None, seed: int = 42,
     gantry_map: DataFrame | None = None,
 ) -> DataFrame:
-    """n new rows drawn from the learned distributions of a table.
+    """Exactly n new rows drawn from the learned distributions of a table.
 
-    ``cols`` are drawn independently; ``cond`` maps a column to the drawn column it depends on,
-    e.g. axle_count to vehicle_type. With ``gantry_map`` the section follows from the gantry.
+    ``cols`` are drawn independently; ``cond`` maps a column to the drawn column it depends on, e.g. axle_count to
+    vehicle_type. A drawn value with which the dependent column never occurs falls back to that column's values over all
+    rows. With ``gantry_map`` the section follows from the gantry. All columns are counted in one pass over the table,
+    and the bounds are written once. A column without any value gives no rows to draw from and stays NULL.
     """
     cond = {"axle_count": "vehicle_type"} if cond is None else cond
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    wanted = [(c, none) for c in (*cols, *cond)] + [(c, text(g)) for c, g in cond.items()]
+    kinds = F.array(*[
+        F.struct(F.lit(c).alias("col"), g.alias("given"), text(c).alias("value"), F.lit(i >= len(cols) + len(cond)).alias("paired"))
+        for i, (c, g) in enumerate(wanted)
+    ])
+    pairs = df.select(F.inline(kinds)).filter(F.col("value").isNotNull() & (~F.col("paired") | F.col("given").isNotNull()))
+    bounds = freeze(_bounds(pairs.groupBy("col", "given", "value").agg(F.count(F.lit(1)).alias("cnt"))))
+    present = {r["col"] for r in bounds.select("col").distinct().collect()}  # at most one row per column
     out = df.sparkSession.range(n)
-    for i, c in enumerate(cols):
-        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-        out = _draw(out, _bounds(counts.withColumn("_all", F.lit(1)), ["_all"]).drop("_all"), c, [], stable_uniform(seed + i, F.col("id")))
-    for j, (c, given) in enumerate(cond.items()):
-        known = df.filter(F.col(c).isNotNull() & F.col(given).isNotNull())
-        counts = known.groupBy(given, F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-        u = stable_uniform(seed + 1000 + j, F.col("id"))
-        out = _draw(out, _bounds(counts, [given]), c, [given], u)
+    for i, c in enumerate((*cols, *cond)):
+        if c not in present:
+            out = out.withColumn(c, none)
+            continue
+        seeded = stable_uniform(seed + i if c not in cond else seed + 1000 + list(cond).index(c), F.col("id"))
+        given = none
+        if c in cond:
+            g = cond[c]
+            met = bounds.filter((F.col("col") == c) & F.col("given").isNotNull()).select(F.col("given").alias("_met")).distinct()
+            out = out.join(met, F.col(g).cast("string") == F.col("_met"), "left")
+            given = F.col("_met")
+        out = _draw(out, bounds, c, seeded, given).drop("_met")
+    out = out.select("id", *[F.col(c).cast(df.schema[c].dataType) for c in (*cols, *cond)])
     return out if gantry_map is None else out.join(gantry_map, "gantry_id", "left")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tollmill.operators import privacy as P
 from tollmill.operators.filters import trucks_only
-from tollmill.plans.registry import TRUCKS, query
+from tollmill.plans.registry import TRUCKS, query, sql_noisy, sql_uniform
 
 K = 5
 _CLASSED = f"""
@@ -30,7 +30,9 @@ def _trucks(v):
     return trucks_only(v.exit, "vehicle_class")
 
 
-@query("pv1_dp_count")
+@query("pv1_dp_count", f"""
+    with c as (select section_id, count(*) as n from v_exit group by 1), u as (select *, {sql_uniform(11, 'section_id')} - 0.5::double as u from c)
+    select section_id, n, {sql_noisy('n')} as n_dp, 1.0::double as epsilon, 'Laplace' as dp_method from u""")
 def pv1(v):
     counts = v.exit.groupBy("section_id").agg(F.count(F.lit(1)).alias("n"))
     return P.dp_count(counts, "n", 1.0, seed=11, keys=["section_id"])
@@ -45,11 +47,6 @@ def pv4(v):
     return P.k_anonymize(_trucks(v), k=K)
 
 
-@query("pv4_k_anonymize_kmeans")
-def pv4_kmeans(v):
-    return P.k_anonymize(_trucks(v), k=K, method="kmeans")
-
-
 @query("pv5_generalize_region", f"with {_CLASSED} select bucket, section_region from g")
 def pv5(v):
     classed = P.chunk_classes(_trucks(v), K, "section_id", "exit_time", "exit_transaction_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tollmill.functions import constants as K
 from tollmill.operators import profiling as P
 from tollmill.operators.quality import zscore_fix
-from tollmill.plans.registry import moment, period, query, six, sql_moment
+from tollmill.plans.registry import moment, period, query, six, sql_moment, sql_shown
 
 FIELDS = ["vehicle_type", "axle_count", "media_type", "pass_state", "fee_mileage"]
 
@@ -107,17 +107,20 @@ def a31(v):
     return P.profile_datetime(v.gtx)
 
 
-@query("a32_class_period_mix", """
+@query("a32_class_period_mix", f"""
+    with c as (
     select 'vehicle' as field, case when vehicle_type in ('0','1','2','3','4','5') then '客车' else '货车' end as value,
-           count(*) as cnt, count(*) / sum(count(*)) over ()::double as share
+           count(*) as cnt
     from v_gtx where vehicle_type is not null and vehicle_type <> '' group by 2
     union all
     select 'time', case when hour(transaction_time) between 7 and 8 then '早高峰' when hour(transaction_time) between 17 and 18 then '晚高峰'
                         when hour(transaction_time) < 6 then '深夜' else '平峰' end,
-           count(*), count(*) / sum(count(*)) over ()::double
-    from v_gtx where transaction_time is not null group by 2""")
+           count(*)
+    from v_gtx where transaction_time is not null group by 2),
+    t as (select *, sum(cnt) over (partition by field) as total from c)
+    select field, value, cnt, {sql_shown('cnt', 'total', 2)} as share from t""")
 def a32(v):
-    return P.class_period_mix(v.gtx, exact=True)
+    return P.class_period_mix(v.gtx)
 
 
 _PAIRS = """p as (select case when vehicle_type in ('1','2','3','4','5') then 'passenger' else 'truck' end as vehicle_class,
@@ -184,7 +187,7 @@ def a36(v):
               (select distinct section_id from v_exit order by 1 limit 10)) as sections
     from v_exit""")
 def a37(v):
-    return P.summarize(v.exit).withColumn("sections", F.concat_ws(",", "sections"))
+    return P.summarize(v.exit, listed=10).withColumn("sections", F.concat_ws(",", "sections"))
 
 
 @query("a37_summarize_flow", """

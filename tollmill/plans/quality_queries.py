@@ -222,11 +222,9 @@ def q10(v):
 
 
 @query("l7_by_weight", f"""
-    with {_REWEIGHTED} select gantry_transaction_id, ok, round(weight, 6) as weight from w
-    order by w.weight desc, gantry_transaction_id, ok limit 300""")
+    with {_REWEIGHTED} select gantry_transaction_id, ok, round(weight, 6) as weight from w order by w.weight desc""")
 def l7(v):
-    weighted = Q.iterative_weights(dirty(v), order=_ORDER)
-    best = weighted.orderBy(F.desc("_quality_weight"), "gantry_transaction_id", "ok").limit(300)
+    best = Q.by_weight(Q.iterative_weights(dirty(v), order=_ORDER))
     return six(best.select("gantry_transaction_id", "ok", F.col("_quality_weight").alias("weight")), "weight")
 
 

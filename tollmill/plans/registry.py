@@ -33,6 +33,25 @@ def six(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
 
 
+def sql_shown(part: str, whole: str, digits: int, scale: int = 1) -> str:
+    """Rounded quotient of two whole numbers, exact halves to the even digit, as SQL."""
+    a, b = f"(cast({part} as bigint) * {2 * scale * 10**digits})", f"(cast({whole} as bigint) * 2)"
+    up = f"case when ({a} % {b}) * 2 > {b} or (({a} % {b}) * 2 = {b} and ({a} // {b}) % 2 = 1) then 1 else 0 end"
+    return f"(({a} // {b}) + {up}) / {10.0**digits}::double"
+
+
+def sql_uniform(seed: int, *keys: str) -> str:
+    """The keyed number in (0, 1) of ``stable_uniform``, as SQL."""
+    text = "concat_ws('|', " + f"'{seed}', " + ", ".join(f"coalesce(cast({k} as varchar), chr(92) || 'N')" for k in keys) + ")"
+    return f"((cast('0x' || left(md5({text}), 12) as bigint) + 0.5::double) / {float(1 << 48)}::double)"
+
+
+def sql_noisy(count: str, eps: float = 1.0) -> str:
+    """A count with Laplace noise from a column u, a uniform number less a half, as SQL."""
+    noise = f"(-{1.0 / eps}::double * sign(u) * ln(greatest(1.0::double - 2.0::double * abs(u), {2.0**-53!r}::double)))"
+    return f"cast(greatest(0, round_even({count} + {noise}, 0)) as bigint)"
+
+
 def moment(c: str):
     """A timestamp as text with microseconds."""
     ts = F.col(c) if isinstance(c, str) else c

@@ -73,7 +73,7 @@ _ADHOC = """
     from v_exit group by section_id order by section_id limit 100""")
 def f11(v):
     v.exit.createOrReplaceTempView("toll_exits")
-    return R.safe_select(v.spark, _ADHOC)
+    return R.safe_select(v.spark, _ADHOC, limit=100)
 
 
 # --- projections -------------------------------------------------------------
@@ -331,11 +331,11 @@ def l5(v):
 
 @query("l6_top_fraction", """
     with r as (select *, row_number() over (order by real_money desc, exit_transaction_id) as rn, count(*) over () as n
-               from v_exit where vehicle_class = '22')
+               from v_exit)
     select exit_transaction_id from r where rn <= least(n // 5, 50)""")
 def l6(v):
-    rows = v.exit.filter("vehicle_class = '22'")
-    return O.top_fraction(rows, [F.desc("real_money"), F.asc("exit_transaction_id")]).select("exit_transaction_id")
+    best = O.top_fraction(v.exit, [F.desc("real_money"), F.asc("exit_transaction_id")], cap=50)
+    return best.select("exit_transaction_id")
 
 
 # --- set operations ----------------------------------------------------------

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tollmill.operators import analytics as A
-from tollmill.plans.registry import TRUCKS, query, six
+from tollmill.operators.relational import with_section_name
+from tollmill.plans.registry import TRUCKS, query, six, sql_noisy, sql_shown, sql_uniform
 
 DAY = "strftime({0}, '%Y-%m-%d')"
 MONEY = "coalesce(cast(sum({0}) as double), 0)"
@@ -35,24 +36,29 @@ def a2(v):
     return A.revenue(v.exit)
 
 
-@query("a3_vehicle_distribution", """
-    select vehicle_class, count(*) as count, count(*) * 100.0::double / sum(count(*)) over () as percentage
-    from v_entrance group by 1""")
+@query("a3_vehicle_distribution", f"""
+    with c as (select vehicle_class, count(*) as count from v_entrance group by 1), t as (select *, sum(count) over () as total from c)
+    select vehicle_class, count, {sql_shown('count', 'total', 2, 100)} as percentage from t""")
 def a3(v):
-    return A.vehicle_distribution(v.entrance, exact=True)
+    return A.vehicle_distribution(v.entrance)
 
 
-@query("a4_truck_hourly_flow", f"""
+_HOURLY = f"""
     select e.section_id, s.section_name, strftime(entrance_time, '%Y-%m-%d %H') as hour, count(*) as truck_count
     from v_entrance e join v_section s on e.section_id = s.section_id
-    where vehicle_class in {TRUCKS} group by 1, 2, 3""")
+    where vehicle_class in {TRUCKS} group by 1, 2, 3"""
+
+
+@query("a4_truck_hourly_flow", _HOURLY)
 def a4(v):
-    return A.truck_hourly_flow(v.entrance, v.section, seed=7).select("section_id", "section_name", "hour", "truck_count")
+    return with_section_name(A.truck_hourly_counts(v.entrance), v.section).select("section_id", "section_name", "hour", "truck_count")
 
 
-@query("a4_truck_hourly_flow_noisy")
+@query("a4_truck_hourly_flow_noisy", f"""
+    with h as ({_HOURLY}), u as (select *, {sql_uniform(7, 'section_id', 'hour')} - 0.5::double as u from h)
+    select section_id, section_name, hour, {sql_noisy('truck_count')} as truck_count_dp, 1.0::double as epsilon, 'Laplace' as dp_method from u""")
 def a4_noisy(v):
-    return A.truck_hourly_flow(v.entrance, v.section, seed=7).drop("truck_count")
+    return A.truck_hourly_flow(v.entrance, v.section, seed=7)
 
 
 @query("a5_avg_travel_time", f"""
@@ -71,19 +77,21 @@ def a6(v):
     return A.avg_toll_fee(v.exit)
 
 
-_LANES = f"""lanes as (select section_id, avg(cast({WHOLE10.format('lane_count')} as double)) as avg_lanes
-                       from v_gantry group by 1)"""
+_LANES = f"""sums as (select section_id, sum(cast({WHOLE10.format('lane_count')} as bigint)) as a,
+                             count({WHOLE10.format('lane_count')}) as b from v_gantry group by 1),
+    lanes as (select section_id, case when a > 0 then a else 4 end as a, case when a > 0 then b else 1 end as b from sums)"""
+_AVG_LANES = sql_shown("coalesce(a, 4)", "coalesce(b, 1)", 1)
 
 
 @query("a7_congestion_index", f"""
     with {_LANES}, t as (
       select g.section_id, count(case when x.vehicle_type in {TRUCKS} then x.gantry_transaction_id end) as truck_count
       from v_gtx x join v_gantry g on x.gantry_id = g.gantry_id group by 1)
-    select t.section_id, truck_count, coalesce(nullif(avg_lanes, 0), 4.0::double) as avg_lanes,
-           truck_count / coalesce(nullif(avg_lanes, 0), 4.0::double) as congestion_index
+    select t.section_id, truck_count, {_AVG_LANES} as avg_lanes,
+           {sql_shown('truck_count * coalesce(b, 1)', 'coalesce(a, 4)', 2)} as congestion_index
     from t left join lanes on t.section_id = lanes.section_id""")
 def a7(v):
-    return A.congestion_index(v.gtx, v.gantry, exact=True)
+    return A.congestion_index(v.gtx, v.gantry)
 
 
 @query("a8_exit_hourly_flow", f"""
@@ -97,26 +105,30 @@ def a8(v):
 _USABLE = "{0} is not null and {0} <> '' and {0} <> '0'"
 
 
+_OVER = f"count(case when {WHOLE10.format('total_weight')} > {WHOLE10.format('total_limit')} then 1 end)"
+
+
 @query("a9_overweight_rate", f"""
     select left(section_id, 1) || repeat('*', length(section_id) - 2) || right(section_id, 1) as section_id,
            true as section_id_masked, count(*) as total_count,
            count(case when {WHOLE10.format('total_weight')} > {WHOLE10.format('total_limit')} then 1 end) as overweight_count,
-           count(case when {WHOLE10.format('total_weight')} > {WHOLE10.format('total_limit')} then 1 end) / count(*)::double as overweight_rate,
-           count(case when {WHOLE10.format('total_weight')} > {WHOLE10.format('total_limit')} then 1 end) / count(*)::double * 100 as overweight_percentage
+           {sql_shown(_OVER, 'count(*)', 4)} as overweight_rate, {sql_shown(_OVER, 'count(*)', 2, 100)} as overweight_percentage
     from v_exit where vehicle_class in {TRUCKS} and {_USABLE.format('total_weight')} and {_USABLE.format('total_limit')}
     group by v_exit.section_id""")
 def a9(v):
-    return A.overweight_rate(v.exit, exact=True)
+    return A.overweight_rate(v.exit)
+
+
+_CUT = "count(case when discount_type is not null and discount_type <> '' then 1 end)"
 
 
 @query("a10_discount_rate", f"""
     select section_id, count(*) as total_count,
            count(case when discount_type is not null and discount_type <> '' then 1 end) as discount_count,
-           count(case when discount_type is not null and discount_type <> '' then 1 end) / count(*)::double as discount_rate,
-           count(case when discount_type is not null and discount_type <> '' then 1 end) / count(*)::double * 100 as discount_percentage
+           {sql_shown(_CUT, 'count(*)', 4)} as discount_rate, {sql_shown(_CUT, 'count(*)', 2, 100)} as discount_percentage
     from v_exit where vehicle_class in {TRUCKS} group by 1""")
 def a10(v):
-    return A.discount_rate(v.exit, exact=True)
+    return A.discount_rate(v.exit)
 
 
 _PEAKS = f"""
@@ -131,23 +143,26 @@ def a11(v):
     return A.peak_hours(v.entrance)
 
 
+_AXLES = [f"sum(cast({WHOLE10.format('axis_count')} as bigint))", f"nullif(count({WHOLE10.format('axis_count')}), 0)"]
+
+
 @query("a12_avg_axle_count", f"""
-    select section_id, coalesce(avg(cast({WHOLE10.format('axis_count')} as double)), 0) as avg_axle_count,
+    select section_id, coalesce({sql_shown(_AXLES[0], _AXLES[1], 2)}, 0) as avg_axle_count,
            count(*) as sample_count
     from v_exit where vehicle_class in {TRUCKS} and {_USABLE.format('axis_count')} group by 1""")
 def a12(v):
-    return A.avg_axle_count(v.exit, exact=True)
+    return A.avg_axle_count(v.exit)
 
 
 @query("a13_lane_utilization", f"""
     with {_LANES}, t as (
       select g.section_id, count(x.gantry_transaction_id) as total_transactions
       from v_gtx x join v_gantry g on x.gantry_id = g.gantry_id where x.vehicle_type in {TRUCKS} group by 1)
-    select t.section_id, total_transactions, coalesce(nullif(avg_lanes, 0), 4.0::double) as avg_lanes,
-           total_transactions / coalesce(nullif(avg_lanes, 0), 4.0::double) as lane_utilization
+    select t.section_id, total_transactions, {_AVG_LANES} as avg_lanes,
+           {sql_shown('total_transactions * coalesce(b, 1)', 'coalesce(a, 4)', 2)} as lane_utilization
     from t left join lanes on t.section_id = lanes.section_id""")
 def a13(v):
-    return A.lane_utilization(v.gtx, v.gantry, exact=True)
+    return A.lane_utilization(v.gtx, v.gantry)
 
 
 _STATUS = "case when operation_status = '1' then '正常' else '异常' end"

@@ -10,7 +10,7 @@ from tollmill.operators import learn as M
 from tollmill.operators import sampling as G
 from tollmill.operators.profiling import fee_mileage_stats, profile_categorical
 from tollmill.plans.quality_queries import FREIGHT
-from tollmill.plans.registry import query, six
+from tollmill.plans.registry import query, six, sql_uniform
 
 _KIND = "coalesce(try_cast(vehicle_type as double), 1)"
 _FEE = "cast(pay_fee as double)"
@@ -58,7 +58,31 @@ def m4(v):
     )
 
 
-@query("g1_resample")
+_G1_COLS = ["gantry_id", "vehicle_type", "media_type", "pass_state"]
+
+
+def _g1_bounds(c: str, given: str) -> str:
+    return f"""
+        select '{c}' as col, given, value, sum(cnt) over (partition by given order by value) as e, cnt, sum(cnt) over (partition by given) as t
+        from (select {given} as given, cast({c} as varchar) as value, count(*) as cnt from v_gtx
+              where {c} is not null {'and ' + given + ' is not null' if given != "null::varchar" else ''} group by 1, 2)"""
+
+
+_G1_DRAWS = "ids as (select range as id from range(0, (select count(*) from v_gtx)))"
+for _i, _c in enumerate(_G1_COLS):
+    _G1_DRAWS += f""",
+    b{_i} as ({_g1_bounds(_c, 'null::varchar')}), d{_i} as (
+      select id, value as {_c} from (select id, {sql_uniform(42 + _i, 'id')} as u from ids) r asof join
+             (select value, (e - cnt) / t::double as lower from b{_i}) b on r.u >= b.lower)"""
+
+
+@query("g1_resample", f"""
+    with {_G1_DRAWS},
+    b9 as ({_g1_bounds('axle_count', 'vehicle_type')}),
+    d9 as (select id, value as axle_count from (select id, vehicle_type, {sql_uniform(1042, 'id')} as u from d1) r asof join
+             (select given, value, (e - cnt) / t::double as lower from b9) b on r.vehicle_type = b.given and r.u >= b.lower),
+    v as ({' union all '.join(f"select '{c}' as field, {c} as value from d{i}" for i, c in [*enumerate(_G1_COLS), (9, 'axle_count')])})
+    select field, value, count(*) as cnt, count(*) / sum(count(*)) over (partition by field)::double as prob from v group by 1, 2""")
 def g1(v):
     n = v.gtx.count()
     drawn = G.resample(v.gtx, n, gantry_map=v.gantry_map)

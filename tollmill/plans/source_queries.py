@@ -42,9 +42,19 @@ def src5(v):
     return readers.read_samples(v.spark, _json_copy(v), multi_line=False).select(*_SAMPLE)
 
 
-@query("src6_sample_n")
+def _keyed(cols, seed):
+    """The digest by which rows are drawn, as SQL."""
+    return f"md5(concat_ws('|', '{seed}', " + ", ".join(f"coalesce(cast({c} as varchar), chr(92) || 'N')" for c in cols) + "))"
+
+
+_DRAWN = ["gantry_transaction_id", "gantry_id", "vehicle_type", "pay_fee", "ok"]
+
+
+@query("src6_sample_n", f"""
+    with r as (select *, row_number() over (order by {_keyed(_DRAWN, 42)}, {', '.join(_DRAWN)}) as rn from v_gtx)
+    select gantry_transaction_id, vehicle_type, pay_fee from r where rn <= 1000""")
 def src6(v):
-    return readers.sample_n(v.gtx, 1000, 42).select("gantry_transaction_id", "vehicle_type", "pay_fee")
+    return readers.sample_n(v.gtx.select(*_DRAWN), 1000, 42).select("gantry_transaction_id", "vehicle_type", "pay_fee")
 
 
 @query("src7_first_n", "select exit_transaction_id from v_exit order by exit_transaction_id limit 5000")
@@ -57,13 +67,13 @@ def src8(v):
     return dimensions.map_gantries(v.gantry, v.section).select("gantry_id", "section_id", "section_name")
 
 
-@query("src9_profile_catalog", """
-    select 'toll_audit' as table_name, 10 as n_columns, count(*) as row_count, 3 as n_samples from v_audit
-    union all select 'toll_exit', 12, count(*), 3 from v_exit""")
+@query("src9_profile_catalog", " union all ".join(
+    f"select 'toll_{n}' as table_name, (select count(*) from (describe select * from v_{n}) where column_name <> 'nk')::int as n_columns, "
+    f"count(*) as row_count, 3 as n_samples from v_{n}" for n in _NAMES))
 def src9(v):
-    v.exit.createOrReplaceTempView("toll_exit")
-    v.audit.createOrReplaceTempView("toll_audit")
-    profile = readers.profile_catalog(v.spark, ["toll_audit", "toll_exit"])
+    for name in _NAMES:
+        (v.gtx_named if name == "gtx" else getattr(v, name)).createOrReplaceTempView(f"toll_{name}")
+    profile = readers.profile_catalog(v.spark, [f"toll_{n}" for n in _NAMES])
     return profile.select(
         "table_name", F.size("columns").alias("n_columns"), "row_count", F.size("sample_rows").alias("n_samples")
     )
@@ -116,7 +126,10 @@ def snk5(v):
     return v.spark.read.parquet(path)
 
 
-@query("spl1_split_random")
+@query("spl1_split_random", f"""
+    select exit_transaction_id,
+           case when cast('0x' || left({_keyed(['exit_transaction_id'], 42)}, 12) as bigint) < {int(0.8 * (1 << 48))} then 'train' else 'test' end as side
+    from v_exit""")
 def spl1(v):
     train, test = splits.split_random(v.exit.select("exit_transaction_id"))
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollmill.sources.readers import load, spread
+from tollmill.sources.readers import load
 
 
 def _code(k: Column) -> Column:
@@ -37,9 +37,6 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-_FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey", "events": "event_id"}
-
-
 class TollViews:
     """Section, station, gantry, transactions and audit log over one directory of test tables."""
 
@@ -50,8 +47,8 @@ class TollViews:
         return load(self.spark, self.directory, name)
 
     def facts(self, name: str) -> DataFrame:
-        """A large table, spread over the cores where it is stored in too few parts."""
-        return spread(self.table(name), _FACT_KEYS[name])
+        """A large table. How it is split is a matter of the reader's settings."""
+        return self.table(name)
 
     @cached_property
     def _section(self) -> DataFrame:

@@ -1,26 +1,8 @@
-"""The known gantries and sections as tables."""
+"""Sections of gantries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tollmill.functions import constants as K
-
-
-def section_dimension(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(K.SECTION_NAMES.items()), "section_id string, section_name string")
-
-
-def gantry_dimension(spark: SparkSession) -> DataFrame:
-    """Gantry, its section (the first eleven characters of the id) and the section name."""
-    gantries = spark.createDataFrame([(g,) for g in K.GANTRY_IDS], "gantry_id string")
-    return gantries.withColumn("section_id", F.left("gantry_id", F.lit(11))).join(section_dimension(spark), "section_id")
-
-
-def section_date_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(s, d) for s, days in K.SECTION_DATES.items() for d in days]
-    return spark.createDataFrame(rows, "section_id string, date string")
+from pyspark.sql import DataFrame
 
 
 def map_gantries(gantry: DataFrame, section: DataFrame) -> DataFrame:

@@ -11,10 +11,6 @@ from pyspark.sql import types as T
 from tollmill.functions import constants as K
 from tollmill.sources import schemas
 
-# a top-k keeps this many rows of every part in one place; larger samples go by hash cells
-_ROWS_KEPT_BY_TOPK = 1_000
-_DEFAULT_SAMPLE = 100_000
-
 
 def load(spark: SparkSession, directory: str, name: str, schema: T.StructType | None = None) -> DataFrame:
     """One Parquet table of a directory, as ``name.parquet`` (file or folder)."""
@@ -22,16 +18,6 @@ def load(spark: SparkSession, directory: str, name: str, schema: T.StructType |
     return reader.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deals out the rows of a fact table that is stored in fewer parts than the session has cores.
-
-    A table of one small file would otherwise be worked on by one task. Large tables have more
-    parts than that and are left as they are. Not for dimensions.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def get(df: DataFrame, key: str, value) -> DataFrame:
     """The row with a key, or no row."""
     return df.filter(F.col(key) == F.lit(value)).limit(1)
@@ -52,12 +38,11 @@ def jdbc_plan(
     columns=None, section_id: str | None = None, start: str | None = None, end: str | None = None,
     time_column: str = "transaction_time",
 ) -> dict:
-    """Projection and predicates of a database scan. With both dates the scan has one part per day."""
-    parts = day_predicates(time_column, start, end) if start and end else []
-    if not parts:
-        bounds = [f"{time_column} >= {_quote(start)}"] if start else []
-        bounds += [f"{time_column} < {_quote(end)}"] if end else []
-        parts = [" AND ".join(bounds) or "1 = 1"]
+    """Projection and predicates of a database scan, one part per day. Both dates are needed: a scan without
+    bounds would come over one connection into one task."""
+    if not (start and end):
+        raise ValueError("a database scan needs a start and an end date")
+    parts = day_predicates(time_column, start, end) or ["1 = 0"]
     if section_id is not None:
         parts = [f"{p} AND section_id = {_quote(section_id)}" for p in parts]
     return {"columns": list(columns or K.SAMPLE_FIELDS), "predicates": parts}
@@ -83,13 +68,13 @@ def read_samples(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 
 def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` random rows (``-1`` stands for 100000), the same ones for the same seed."""
+    """Exactly ``n`` random rows, the same ones for the same seed; ``-1`` stands for all rows.
+
+    The samples of one seed are nested: a larger one holds every smaller one.
+    """
     from tollmill.operators.sampling import smallest_by_hash
 
-    n = _DEFAULT_SAMPLE if n == -1 else n
-    if n <= _ROWS_KEPT_BY_TOPK:
-        return df.orderBy(F.xxhash64(F.lit(seed), *map(F.col, df.columns)), *df.columns).limit(n)
-    return smallest_by_hash(df, [], F.lit(n), seed=seed)
+    return df if n == -1 else smallest_by_hash(df, [], F.lit(n), seed=seed)
 
 
 def first_n(df: DataFrame, n: int, order=None) -> DataFrame:
