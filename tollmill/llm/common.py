@@ -86,15 +86,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(cache: dict, words: list[bytes], most: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of words; the cache keeps those of words met before and is emptied when it is full."""
-    from xxhash import xxh64_intdigest
-
-    if len(cache) > most:
-        cache.clear()
-    for w in set(words).difference(cache):
-        cache[w] = xxh64_intdigest(w)
-    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of several texts, one text after the other, and where each text begins (and the end).
+
+    Words are runs of anything but ASCII white space. A word's hash is a polynomial in its bytes, so that all words of
+    all texts are hashed by running sums over the bytes.
+    """
+    global _POWERS
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+    space = _SPACE[data]
+    begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    longest = int((ends - begins).max())
+    while len(_POWERS) < longest:
+        _POWERS = np.concatenate([_POWERS, _POWERS * _POWERS[-1]])
+    place = np.zeros(len(data), dtype=np.int64)
+    place[begins] = begins
+    place = np.arange(len(data)) - np.maximum.accumulate(place)
+    place[space] = 0
+    sums = np.cumsum(_BYTE[data] * _POWERS[place], dtype=np.uint64)
+    hashes = mix(sums[ends - 1] - sums[begins - 1] + (ends - begins).astype(np.uint64))
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    return hashes, np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)]) + 1)
+
+
+def gram_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the distinct n-grams of several texts, one text after the other, and where each text begins."""
+    words, at = hashed_words(texts)
+    sizes = np.diff(at)
+    counts = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    grams = np.zeros(starts[-1], dtype=np.uint64)
+    whole = shingle_hashes(words, n) if len(words) >= n else np.zeros(0, np.uint64)
+    long_ = np.flatnonzero(sizes >= n)
+    place = np.repeat(at[long_] - starts[long_], counts[long_])
+    target = np.repeat(starts[long_] - (np.cumsum(counts[long_]) - counts[long_]), counts[long_]) + np.arange(counts[long_].sum())
+    grams[target] = whole[target + place]
+    for t in np.flatnonzero((sizes > 0) & (sizes < n)):
+        grams[starts[t]] = shingle_hashes(words[at[t] : at[t + 1]], n)[0]
+    for a, b in zip(starts[:-1], starts[1:]):
+        grams[a:b].sort()
+    first = np.ones(len(grams), dtype=bool)
+    first[1:] = grams[1:] != grams[:-1]
+    first[starts[:-1][counts > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(first)])
+    return grams[first], kept[starts]
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

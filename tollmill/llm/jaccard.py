@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tollmill.llm.common import bit_map, chunks, in_bit_map, mix, shingle_hashes, stored, table, word_hashes
+from tollmill.llm.common import bit_map, chunks, gram_sets, in_bit_map, mix, stored, table
 from tollmill.llm.components import components
 
 LONG = 64
 BLOCK = 4_000_000
 _CHUNK = 16 << 20
+_SLICE = 1 << 20
 
 
 def _pack(numbers: np.ndarray, level: int = 1) -> bytes:
@@ -62,26 +63,31 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
-def gram_set(cache: dict, text: str, n: int) -> np.ndarray:
-    """The sorted hashes of the distinct n-grams of a text."""
-    return np.unique(shingle_hashes(word_hashes(cache, text.encode().lower().split()), n))
+def names_of(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number for each set; 0 for the empty one."""
+    out = np.zeros(len(at) - 1, dtype=np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        mixed = mix(grams)
+        out[full] = mix(np.bitwise_xor.reduceat(mixed, at[full]) + np.add.reduceat(mixed, at[full]) + np.diff(at)[full].astype(np.uint64))
+    return out
 
 
-def name_of(grams: np.ndarray) -> int:
-    """A number for a set."""
-    mixed = mix(grams)
-    whole = np.bitwise_xor.reduce(mixed, keepdims=True) + mixed.sum(keepdims=True) + np.full(1, len(grams), dtype=np.uint64)
-    return int(mix(whole)[0])
+def _grams(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, where each text begins, names) of a slice."""
+    grams, at = gram_sets([t.encode().lower() for t in part.column("text").to_pylist()], n)
+    return grams, at, names_of(grams, at)
 
 
-def _sets(part: pa.RecordBatch, cache: dict, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The distinct sets of a slice with their names."""
-    seen = set()
-    for text in part.column("text").to_pylist():
-        grams = gram_set(cache, text, n)
-        if len(grams) and (name := name_of(grams)) not in seen:
-            seen.add(name)
-            yield name, grams
+def _sets(part: pa.RecordBatch, n: int, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
+    """The distinct sets of a slice with their names, those that have words and are ``wanted``."""
+    grams, at, names = _grams(part, n)
+    ok = np.diff(at) > 0
+    if wanted is not None:
+        ok &= in_bit_map(wanted, names)
+    distinct, first = np.unique(names, return_index=True)
+    for i in first[ok[first]].tolist():
+        yield int(names[i]), grams[at[i] : at[i + 1]]
 
 
 def _signed(x: int) -> int:
@@ -101,9 +107,8 @@ def long_lists(texts: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
     """(gram): the low 32 bits of the hashes of n-grams that occur in at least ``least`` sets."""
 
     def send(batches):
-        cache: dict = {}
-        for part in chunks(batches, most=_CHUNK):
-            sets = [g for _, g in _sets(part, cache, n)]
+        for block in chunks(batches, most=_CHUNK):
+            sets = [g for part in chunks([block], most=_SLICE) for _, g in _sets(part, n)]
             if not sets:
                 continue
             low = np.sort(np.concatenate(sets) & np.uint64(0xFFFFFFFF))
@@ -140,10 +145,9 @@ def candidates(texts: DataFrame, n: int, percent: int, long_bits, buckets: int)
     """(u, v): edges between the names of sets that meet in an inverted list of the index; a forest for each part of the index."""
 
     def send(batches):
-        cache: dict = {}
-        for part in chunks(batches, most=_CHUNK):
+        for block in chunks(batches, most=_CHUNK):
             grams, names, sizes = [], [], []
-            for name, g in _sets(part, cache, n):
+            for name, g in (x for part in chunks([block], most=_SLICE) for x in _sets(part, n)):
                 is_long = in_bit_map(long_bits.value, g & np.uint64(0xFFFFFFFF))
                 first = np.concatenate([g[~is_long], g[is_long]])[: len(g) - (percent * len(g) + 99) // 100 + 1]
                 grams.append(first)
@@ -237,25 +241,12 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _grouped(texts: DataFrame, parts: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(task, block pair, name, grams): the sets of candidates, dealt to the tasks that search them."""
-    bits = texts.sparkSession.sparkContext.broadcast(bit_map(parts.select("node"), "node"))
+def _tasks(rows: DataFrame, parts: DataFrame, percent: int, block: int, buckets: int) -> DataFrame:
+    """(node, task, group): where each candidate set is searched. Only numbers move here, no sets.
 
-    def send(batches):
-        cache: dict = {}
-        for part in chunks(batches):
-            rows = [(_signed(x), len(g), _pack_sorted(g)) for x, g in _sets(part, cache, n) if in_bit_map(bits.value, np.array([x], np.uint64))[0]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
-                ["node", "size", "grams"],
-            )
-
-    found = texts.mapInArrow(send, "node long, size int, grams binary").dropDuplicates(["node"])
-    return stored(found.join(parts, "node"), "sets")
-
-
-def _pairs_of_blocks(sets: DataFrame, percent: int, block: int, buckets: int) -> DataFrame:
-    """(root, a, b, task, s): the pairs of blocks of each group that are searched together, a row for either side s."""
+    A group is a connected part, or a pair of blocks of one that has more than ``block`` n-grams; small groups share tasks.
+    """
+    sets = stored(rows.select("node", "size").dropDuplicates(["node"]).join(parts, "node"), "candidates")
     by_size = sets.groupBy("root", "size").agg(F.sum("size").alias("grams"))
     before = W.partitionBy("root").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
     cut = by_size.withColumn("block", F.floor(F.coalesce(F.sum("grams").over(before), F.lit(0)) / F.lit(block)))
@@ -267,7 +258,10 @@ def _pairs_of_blocks(sets: DataFrame, percent: int, block: int, buckets: int) ->
     pairs = x.join(y, "root").filter((F.col("a") <= F.col("b")) & (100 * F.col("a.hi") >= percent * F.col("b.lo")))
     pairs = pairs.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("root")))
     task = F.when(F.col("n") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.xxhash64("root", "a", "b").bitwiseOR(F.lit(1 << 62)))
-    return pairs.select("root", "a", "b", task.alias("task"), F.explode(F.array_distinct(F.array("a", "b"))).alias("s"))
+    sides = pairs.select("root", "a", "b", task.alias("task"), F.explode(F.array_distinct(F.array("a", "b"))).alias("s"))
+    sides = stored(sides.select("root", "task", F.xxhash64("root", "a", "b").alias("group"), "s"), "sides")
+    fits = (F.col("size") >= F.col("s.lo")) & (F.col("size") <= F.col("s.hi")) & (F.pmod(F.xxhash64("node"), F.col("s.parts")) == F.col("s.part"))
+    return sets.join(sides, "root").filter(fits).select("node", "task", "group")
 
 
 def links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -279,30 +273,33 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     kind = texts.schema["id"].dataType.simpleString()
 
     def names(batches):
-        cache: dict = {}
-        for part in chunks(batches):
-            sets = [gram_set(cache, t, n) for t in part.column("text").to_pylist()]
+        for part in chunks(batches, most=_SLICE):
+            _, at, found = _grams(part, n)
+            empty = np.diff(at) == 0
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([_signed(name_of(s)) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64())],
-                ["id", "node", "size"],
+                [part.column("id"), pa.array(found.view(np.int64), mask=empty), pa.array(np.diff(at))], ["id", "node", "size"]
             )
 
     rows = stored(texts.mapInArrow(names, f"id {kind}, node long, size long"), "rows")
     texts = texts.select("text")
     long_bits = spark.sparkContext.broadcast(bit_map(stored(long_lists(texts, n, LONG, buckets), "long"), "gram"))
     parts = stored(components(candidates(texts, n, percent, long_bits, buckets)), "parts")
-    sets = _grouped(texts, parts, n, buckets)
-    sides = _pairs_of_blocks(sets, percent, BLOCK, buckets)
-    dealt = sets.join(sides, "root").filter(
-        (F.col("size") >= F.col("s.lo")) & (F.col("size") <= F.col("s.hi")) & (F.pmod(F.xxhash64("node"), F.col("s.parts")) == F.col("s.part"))
-    ).select("task", F.xxhash64("root", "a", "b").alias("group"), "node", "grams")
+    tasks = stored(_tasks(rows, parts, percent, BLOCK, buckets), "tasks")
+    wanted = spark.sparkContext.broadcast(bit_map(parts, "node"))
+
+    def send(batches):
+        for part in chunks(batches, most=_SLICE):
+            found = [(_signed(x), _pack_sorted(g)) for x, g in _sets(part, n, wanted.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([g for _, g in found], pa.binary())], ["node", "grams"])
+
+    # a set comes once from each slice that has it; a task keeps one of them
+    dealt = texts.mapInArrow(send, "node long, grams binary").join(tasks, "node").select("task", "group", "node", "grams")
 
     def search(pdf):
         import pandas as pd
 
         out = []
-        for _, group in pdf.groupby("group"):
+        for _, group in pdf.drop_duplicates(["group", "node"]).groupby("group"):
             nodes = group["node"].to_numpy()
             if len(nodes) > 1:
                 out += [(int(nodes[a]), int(nodes[b])) for a, b in divide_skip([_unpack_sorted(d) for d in group["grams"]], percent)]
