@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollmill.llm.common import bit_map, chunks, in_bit_map, keyed, mix, stored, table, word_hashes
+from tollmill.llm.common import bit_map, chunks, hashed_words, in_bit_map, keyed, mix, stored, table
 
 # --- fixed values: seeds of eight words over eleven to thirteen places ---
 MASKS = ("11101100101011", "1101010011100101", "111001011010011", "11111111")
@@ -33,11 +33,13 @@ MIN_WORDS = 13
 IDENTITY = 0.75
 MOST_SEEDS = 1_000_000
 MOST_WORDS = 2_000_000
+_SLICE = 1 << 20
 _SPLIT = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_SPLIT).split()
+def plain(text: str) -> bytes:
+    """A text in lower case with white space for ASCII punctuation, as UTF-8."""
+    return text.lower().encode().translate(_SPLIT)
 
 
 def seeds_of(words: np.ndarray, mask: str) -> np.ndarray:
@@ -58,9 +60,9 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))
 
     def work(batches):
-        cache: dict = {}
-        for part in chunks(batches):
-            hashed = [word_hashes(cache, words_of(t)).view(np.int64) for t in part.column("text").to_pylist()]
+        for part in chunks(batches, most=_SLICE):
+            words, begin = hashed_words([plain(t) for t in part.column("text").to_pylist()])
+            hashed = np.split(words.view(np.int64), begin[1:-1])
             yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(hashed, pa.list_(pa.int64()))], ["item", "words"])
 
     kind = rows.schema["item"].dataType.simpleString()
@@ -131,22 +133,24 @@ def leaks(
 
     def find(batches):
         """The words around places whose seed may be one of the benchmark's, overlapping stretches joined."""
-        cache: dict = {}
-        for part in chunks(batches):
+        for part in chunks(batches, most=_SLICE):
             out: dict[str, list] = {k: [] for k in ("row", "start", "words", "hits")}
-            for row, text in enumerate(part.column("text").to_pylist()):
-                words = word_hashes(cache, words_of(text))
-                places, found = [], []
-                for mask in masks:
-                    s = seeds_of(words, mask)
-                    at = np.flatnonzero(in_bit_map(bits.value, s))
-                    places.append(at)
-                    found.append(s[at])
-                at, s = np.concatenate(places), np.concatenate(found)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, s = at[order], s[order].view(np.int64)
+            everything, begin = hashed_words([plain(t) for t in part.column("text").to_pylist()])
+            places, found = [], []
+            for mask in masks:
+                s = seeds_of(everything, mask)
+                at = np.flatnonzero(in_bit_map(bits.value, s))
+                at = at[np.searchsorted(begin, at, "right") == np.searchsorted(begin, at + len(mask) - 1, "right")]  # inside one text
+                places.append(at)
+                found.append(s[at])
+            all_at, all_s = np.concatenate(places), np.concatenate(found)
+            order = np.argsort(all_at, kind="stable")
+            all_at, all_s = all_at[order], all_s[order].view(np.int64)
+            owner = np.searchsorted(begin, all_at, "right") - 1
+            for row in np.unique(owner).tolist():
+                mine = owner == row
+                at, s = all_at[mine] - begin[row], all_s[mine]
+                words = everything[begin[row] : begin[row + 1]]
                 for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * reach) + 1):
                     start, end = max(0, at[group[0]] - reach), min(len(words), at[group[-1]] + reach + 1)
                     out["row"].append(row)
