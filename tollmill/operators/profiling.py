@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tollmill.functions import constants as K
 from tollmill.functions.cleaning import as_number, day_label, is_present, number_of, safe_int, shown_ratio, time_of
 from tollmill.functions.vehicles import freight_class, time_period
-from tollmill.operators.ordering import chunk_of, with_share
+from tollmill.operators.ordering import running_sum, chunk_of, with_share
 from tollmill.session import freeze
 
 
@@ -106,61 +106,32 @@ def profile_categorical(df: DataFrame, cols=None) -> DataFrame:
     return with_share(value_frequency(df, cols), over="field", share="prob")
 
 
-_LEVEL = 4096
+def value_counts(numbers: DataFrame) -> DataFrame:
+    """Rows per (field, value), written once: what moments and percentiles need of a table, in one scan."""
+    counts = numbers.filter(F.col("value").isNotNull()).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    return freeze(counts)
 
 
-def exact_percentiles(numbers: DataFrame, probs: list[float]) -> DataFrame:
+def exact_percentiles(numbers: DataFrame, probs: list[float], counts: DataFrame | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation of (field, value) pairs.
 
-    Each field's range is cut into equal cells, and the counts per cell tell which cells hold
-    the wanted ranks; those cells are cut once more. Every pass is a scan that ends in a small
-    count per cell, so the values are never shuffled; only those of the last cells are, counted
-    by value. The tables carried along have two rows per field and percentile.
+    The rows are counted per value; running counts over ranges of (field, value) then tell which value holds a rank. The
+    ranges have about equal numbers of values, so no field is ordered in one task, however its values are spread.
     """
-    numbers = numbers.filter(F.col("value").isNotNull())
-    ends = freeze(numbers.groupBy("field").agg(
-        F.count(F.lit(1)).alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi")
-    ))
+    counts = value_counts(numbers) if counts is None else counts
+    summed = running_sum(counts, ["field", "value"], "n", "_end").withColumn("_start", F.col("_end") - F.col("n"))
+    ends = summed.groupBy("field").agg(F.min("_start").alias("base"), F.sum("n").alias("total"))
     want = [F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("total") - 1)).alias("at")) for p in probs]
-    wanted = ends.select("field", F.explode(F.array(*want)).alias("w")).select("field", "w.p", "w.at")
-    # a percentile lies between two neighbouring ranks, so each one asks for both
-    below = F.struct(F.lit("a").alias("side"), F.floor("at").alias("rank"))
-    above = F.struct(F.lit("b").alias("side"), F.ceil("at").alias("rank"))
-    asked = wanted.select("field", "p", "at", F.explode(F.array(below, above)).alias("r"))
-    asked = asked.select("field", "p", "at", "r.side", "r.rank")
-
-    cells = numbers.join(F.broadcast(ends.select("field", "lo", "hi")), "field").withColumn("c1", _cell("lo", "hi"))
-    size1 = cells.groupBy("field", "c1").agg(
-        F.count(F.lit(1)).alias("n1"), F.min("value").alias("lo1"), F.max("value").alias("hi1")
-    )
-    hit1 = freeze(_locate(asked, size1, ["field"], "c1", "n1", ["lo1", "hi1"]))
-    near = hit1.select("field", "c1", "lo1", "hi1").distinct()
-    inner = cells.drop("lo", "hi").join(F.broadcast(near), ["field", "c1"]).withColumn("c2", _cell("lo1", "hi1"))
-    size2 = inner.groupBy("field", "c1", "c2").agg(F.count(F.lit(1)).alias("n2"))
-    hit2 = freeze(_locate(hit1.drop("lo1", "hi1"), size2, ["field", "c1"], "c2", "n2", []))
-    near2 = hit2.select("field", "c1", "c2").distinct()
-    last = inner.join(F.broadcast(near2), ["field", "c1", "c2"]).groupBy("field", "c1", "c2", "value")
-    found = _locate(hit2, last.agg(F.count(F.lit(1)).alias("n")), ["field", "c1", "c2"], "value", "n", [])
-    ends_of = found.groupBy("field", "p", "at").agg(
-        F.max(F.when(F.col("side") == "a", F.col("value"))).alias("a"),
-        F.max(F.when(F.col("side") == "b", F.col("value"))).alias("b"),
+    asked = ends.select("field", "base", F.explode(F.array(*want)).alias("w")).select("field", "base", "w.p", "w.at")
+    # one row per field and percentile
+    near = summed.join(F.broadcast(asked), "field")
+    holds = lambda rank: (F.col("base") + rank >= F.col("_start")) & (F.col("base") + rank < F.col("_end"))
+    low, high = holds(F.floor("at")), holds(F.ceil("at"))
+    found = near.filter(low | high).groupBy("field", "p", "at").agg(
+        F.max(F.when(low, F.col("value"))).alias("a"), F.max(F.when(high, F.col("value"))).alias("b")
     )
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
-    return ends_of.select("field", "p", value.alias("percentile"))
-
-
-def _cell(lo: str, hi: str) -> Column:
-    width = F.nullif(F.col(hi) - F.col(lo), F.lit(0.0))
-    return F.coalesce(F.floor((F.col("value") - F.col(lo)) / width * F.lit(_LEVEL)), F.lit(0))
-
-
-def _locate(asked: DataFrame, sizes: DataFrame, keys: list[str], cell: str, n: str, keep: list[str]) -> DataFrame:
-    """The cell that holds each asked rank, with the rank counted from the start of that cell."""
-    upto = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, 0)
-    spans = sizes.withColumn("_end", F.sum(n).over(upto)).withColumn("_start", F.col("_end") - F.col(n))
-    spans = spans.select(*keys, cell, "_start", "_end", *keep)
-    hit = asked.join(spans, keys).filter((F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_end")))
-    return hit.withColumn("rank", F.col("rank") - F.col("_start")).drop("_start", "_end")
+    return found.select("field", "p", value.alias("percentile"))
 
 
 def _numbers(df: DataFrame, cols) -> DataFrame:
@@ -171,13 +142,18 @@ def profile_numeric(df: DataFrame, cols=None, probs=(0.25, 0.5, 0.75), sample_st
     """Count, min, max, mean, standard deviation and quartiles; unreadable values are skipped."""
     cols = [c for c in (cols or K.NUMERIC_FIELDS) if c in df.columns]
     numbers = _numbers(df, cols)
-    std = F.stddev_samp("value") if sample_std else F.stddev_pop("value")
-    moments = numbers.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"), std.alias("std"),
+    counts = value_counts(numbers)
+    means = counts.groupBy("field").agg(
+        F.sum("n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")
+    )
+    off = F.col("value") - F.col("_mean")
+    # one row per field
+    apart = counts.join(F.broadcast(means.select("field", F.col("mean").alias("_mean"))), "field").groupBy("field").agg(
+        F.sqrt(F.try_divide(F.sum(off * off * F.col("n")), F.sum("n") - F.lit(1 if sample_std else 0))).alias("std")
     )
+    moments = means.join(apart, "field")
     named = {p: f"p{round(p * 100)}" for p in probs}
-    parts = exact_percentiles(numbers, list(probs)).groupBy("field").agg(
+    parts = exact_percentiles(numbers, list(probs), counts).groupBy("field").agg(
         *[F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(name) for p, name in named.items()]
     )
     return moments.join(parts, "field")

@@ -101,13 +101,17 @@ def issue_top(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def with_date_error(df: DataFrame, dates: DataFrame) -> DataFrame:
-    """Flags rows of a known section on a day that is not one of its days. Unknown sections pass."""
+    """Flags rows of a known section on a day that is not one of its days. Unknown sections pass.
+
+    The rows are first reduced to distinct pairs of section and day; only the wrong pairs are joined with the rows.
+    """
     day = day_label(time_of(df, "transaction_time"))
-    valid = dates.select("section_id", F.col("date").alias("_date"), F.lit(True).alias("_valid"))
-    known = dates.select("section_id").distinct().withColumn("_known", F.lit(True))
-    joined = df.withColumn("_date", day).join(valid, ["section_id", "_date"], "left").join(known, "section_id", "left")
-    wrong = F.coalesce(F.col("_known") & F.col("_date").isNotNull() & F.col("_valid").isNull(), F.lit(False))
-    return joined.withColumn("section_date_error", wrong).drop("_date", "_valid", "_known")
+    pairs = df.select("section_id", day.alias("_date")).filter(F.col("section_id").isNotNull() & F.col("_date").isNotNull()).distinct()
+    known = dates.select("section_id").distinct()
+    valid = dates.select("section_id", F.col("date").alias("_date")).distinct()
+    wrong = pairs.join(known, "section_id", "left_semi").join(valid, ["section_id", "_date"], "left_anti")
+    joined = df.withColumn("_date", day).join(wrong.withColumn("_wrong", F.lit(True)), ["section_id", "_date"], "left")
+    return joined.withColumn("section_date_error", F.coalesce("_wrong", F.lit(False))).drop("_date", "_wrong")
 
 
 def section_date_errors(df: DataFrame, dates: DataFrame) -> DataFrame:

@@ -9,25 +9,29 @@ from tollmill.operators import profiling as P
 from tollmill.operators.quality import zscore_fix
 from tollmill.plans.registry import moment, period, query, six, sql_moment, sql_shown
 
-FIELDS = ["vehicle_type", "axle_count", "media_type", "pass_state", "fee_mileage"]
-
 
 def _each(template: str, cols) -> str:
     """One SELECT per column, joined by UNION ALL."""
     return " union all ".join(template.replace("{c}", c) for c in cols)
 
 
+ALL_FIELDS = [
+    "gantry_transaction_id", "gantry_id", "section_id", "vehicle_type", "transaction_time", "entrance_time", "pay_fee", "discount_fee",
+    "fee_mileage", "axle_count", "total_weight", "media_type", "pass_state", "ok",
+]
+
+
 @query("a22_value_frequency", _each("""
-    select '{c}' as field, {c} as value, count(*) as cnt from v_gtx where {c} is not null group by 2""", FIELDS))
+    select '{c}' as field, cast({c} as varchar) as value, count(*) as cnt from v_gtx where {c} is not null group by 2""", ALL_FIELDS))
 def a22(v):
-    return P.value_frequency(v.gtx, FIELDS)
+    return P.value_frequency(v.gtx, ALL_FIELDS)
 
 
 @query("a23_min_max", _each("""
     select '{c}' as field, cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value from v_gtx""",
-    ["pay_fee", "discount_fee", "gantry_id", "transaction_time"]))
+    ALL_FIELDS))
 def a23(v):
-    return P.min_max(v.gtx, ["pay_fee", "discount_fee", "gantry_id", "transaction_time"])
+    return P.min_max(v.gtx, ALL_FIELDS)
 
 
 @query("a24_joint_frequency", """

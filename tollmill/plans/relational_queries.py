@@ -176,13 +176,13 @@ def j7(v):
 
 
 @query("j9_align_distributions", """
-    with a as (select axle_count as value, count(*) / sum(count(*)) over ()::double as p from v_gtx where ok % 2 = 0 and vehicle_type = '13' group by 1),
-         b as (select axle_count as value, count(*) / sum(count(*)) over ()::double as q from v_gtx where ok % 2 = 1 and vehicle_type in ('11', '1') group by 1)
+    with a as (select axle_count as value, count(*) / sum(count(*)) over ()::double as p from v_gtx where ok % 2 = 0 group by 1),
+         b as (select axle_count as value, count(*) / sum(count(*)) over ()::double as q from v_gtx where ok % 2 = 1 group by 1)
     select 'axle_count' as field, coalesce(a.value, b.value) as value, coalesce(p, 0) as p, coalesce(q, 0) as q
     from a full join b on a.value = b.value""")
 def j9(v):
-    a = profile_categorical(v.even.filter("vehicle_type = '13'"), ["axle_count"])
-    b = profile_categorical(v.odd.filter("vehicle_type in ('11', '1')"), ["axle_count"])
+    a = profile_categorical(v.even, ["axle_count"])
+    b = profile_categorical(v.odd, ["axle_count"])
     return J.align_distributions(a, b)
 
 
