@@ -198,41 +198,56 @@ def _ratio(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
 
 
-def task_anomaly(df: DataFrame) -> DataFrame:
-    """Share of state-2 rows that really are over their limit."""
+def _named(counters: dict[str, Column], prefix: str = "") -> list[Column]:
+    return [c.alias(prefix + name) for name, c in counters.items()]
+
+
+def _anomaly_counters(df: DataFrame) -> dict[str, Column]:
     marked = F.col("pass_state").eqNullSafe(F.lit("2"))
     over = whole_of(df, "total_weight") > axle_limit(F.col("axle_count"))
-    return df.agg(
-        F.count(F.lit(1)).alias("total_samples"), F.count(F.when(marked, 1)).alias("anomaly_samples"),
-        F.count(F.when(marked & over, 1)).alias("true_positives"),
-    ).withColumn("precision", _ratio("true_positives", "anomaly_samples"))
+    return {
+        "total_samples": F.count(F.lit(1)), "anomaly_samples": F.count(F.when(marked, 1)),
+        "true_positives": F.count(F.when(marked & over, 1)),
+    }
 
 
-def task_fee(df: DataFrame) -> DataFrame:
-    """1 - CV of fee per metre, per class and averaged. Without a class of two rows, distance from 0.11."""
+def task_anomaly(df: DataFrame) -> DataFrame:
+    """Share of state-2 rows that really are over their limit."""
+    return df.agg(*_named(_anomaly_counters(df))).withColumn("precision", _ratio("true_positives", "anomaly_samples"))
+
+
+def _fee_class() -> Column:
     kind = F.coalesce(F.col("vehicle_type").isin(*K.PASSENGER_CODES), F.lit(False))
-    rows = df.select(
-        F.when(kind, "passenger").otherwise("truck").alias("vehicle_class"),
-        whole_of(df, "pay_fee").alias("fee"), whole_of(df, "fee_mileage").alias("mileage"),
-    )
-    readable = F.col("fee").isNotNull() & F.col("mileage").isNotNull()
-    no_mileage = readable & (F.col("mileage") == 0)
-    no_fee = readable & (F.col("mileage") != 0) & (F.col("fee") == 0)
-    usable = readable & (F.col("mileage") != 0) & (F.col("fee") != 0)
-    ratio = F.when(usable, F.col("fee") / F.nullif(F.col("mileage"), F.lit(0).cast("bigint")))
-    rough = F.when((F.col("fee") > 0) & (F.col("mileage") > 0), F.least(F.abs(ratio - 0.11) / 0.11, F.lit(2.0)))
-    classes = rows.groupBy("vehicle_class").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(ratio).alias("n"), F.avg(ratio).alias("mean_ratio"),
-        F.stddev_pop(ratio).alias("std_ratio"), F.count(F.when(no_mileage, 1)).alias("zero_mileage"),
-        F.count(F.when(no_fee, 1)).alias("zero_fee"), F.sum(rough).alias("rough_sum"), F.count(rough).alias("rough_n"),
-    )
+    return F.when(kind, "passenger").otherwise("truck")
+
+
+def _fee_counters(df: DataFrame) -> dict[str, Column]:
+    fee, mileage = whole_of(df, "pay_fee"), whole_of(df, "fee_mileage")
+    readable = fee.isNotNull() & mileage.isNotNull()
+    usable = readable & (mileage != 0) & (fee != 0)
+    ratio = F.when(usable, fee / F.nullif(mileage, F.lit(0).cast("bigint")))
+    rough = F.when((fee > 0) & (mileage > 0), F.least(F.abs(ratio - 0.11) / 0.11, F.lit(2.0)))
+    return {
+        "rows": F.count(F.lit(1)), "n": F.count(ratio), "mean_ratio": F.avg(ratio), "std_ratio": F.stddev_pop(ratio),
+        "zero_mileage": F.count(F.when(readable & (mileage == 0), 1)),
+        "zero_fee": F.count(F.when(readable & (mileage != 0) & (fee == 0), 1)), "rough_sum": F.sum(rough), "rough_n": F.count(rough),
+    }
+
+
+def _fee_accuracy() -> Column:
+    """From the fee counters of each class."""
     cv = F.when(F.col("mean_ratio") > 0, F.col("std_ratio") / F.col("mean_ratio")).otherwise(0.0)
     score = F.when(F.col("n") >= 2, F.greatest(F.lit(0.0), F.lit(1.0) - cv))
     mae = F.coalesce(F.try_divide(F.sum("rough_sum"), F.sum("rough_n")), F.lit(2.0))
-    return classes.withColumn("_score", score).agg(
+    return F.coalesce(F.avg(score), F.greatest(F.lit(0.0), F.lit(1.0) - mae / 2))
+
+
+def task_fee(df: DataFrame) -> DataFrame:
+    """1 - CV of fee per metre, per class and averaged. Without a class of two rows, distance from 0.11."""
+    classes = df.groupBy(_fee_class().alias("vehicle_class")).agg(*_named(_fee_counters(df)))
+    return classes.agg(
         F.sum("n").alias("samples_evaluated"), (F.sum("rows") - F.sum("n")).alias("samples_failed"),
-        F.sum("zero_mileage").alias("zero_mileage_count"), F.sum("zero_fee").alias("zero_fee_count"),
-        F.coalesce(F.avg("_score"), F.greatest(F.lit(0.0), F.lit(1.0) - mae / 2)).alias("accuracy"),
+        F.sum("zero_mileage").alias("zero_mileage_count"), F.sum("zero_fee").alias("zero_fee_count"), _fee_accuracy().alias("accuracy"),
     )
 
 
@@ -247,37 +262,48 @@ def task_fee_formula(df: DataFrame) -> DataFrame:
     ).withColumn("accuracy", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("mean_absolute_error")))
 
 
-def task_vehicle(df: DataFrame) -> DataFrame:
-    """Passenger cars with two axles and 2-5 t, trucks within 1.2 times their limit."""
+def _vehicle_counters(df: DataFrame) -> dict[str, Column]:
     kind, weight = whole_of(df, "vehicle_type"), whole_of(df, "total_weight")
     readable = kind.isNotNull() & weight.isNotNull()
     light = kind.between(1, 4) & F.col("axle_count").eqNullSafe(F.lit("2")) & weight.between(2000, 5000)
     heavy = kind.between(11, 16) & (weight <= axle_limit(F.col("axle_count")) * F.lit(1.2))
-    return df.agg(
-        F.count(F.when(readable, 1)).alias("total_samples"),
-        F.count(F.when(readable & (light | heavy), 1)).alias("correct_predictions"),
-    ).withColumn("accuracy", _ratio("correct_predictions", "total_samples"))
+    return {"total_samples": F.count(F.when(readable, 1)), "correct_predictions": F.count(F.when(readable & (light | heavy), 1))}
+
+
+def task_vehicle(df: DataFrame) -> DataFrame:
+    """Passenger cars with two axles and 2-5 t, trucks within 1.2 times their limit."""
+    return df.agg(*_named(_vehicle_counters(df))).withColumn("accuracy", _ratio("correct_predictions", "total_samples"))
+
+
+def _trip_seconds(df: DataFrame) -> tuple[Column, Column]:
+    """Seconds of a trip in the right order, and whether both times are known."""
+    start, end = time_of(df, "entrance_time"), time_of(df, "transaction_time")
+    return F.when(start < end, seconds_between(start, end)), start.isNotNull() & end.isNotNull()
+
+
+def _time_counters(df: DataFrame) -> dict[str, Column]:
+    seconds, known = _trip_seconds(df)
+    return {"total_samples": F.count(F.when(known, 1)), "valid_samples": F.count(F.when((seconds / 3600.0).between(0.5, 6), 1))}
 
 
 def task_time(df: DataFrame) -> DataFrame:
     """Share of trips of half an hour to six hours, and the mean hours of trips in the right order."""
-    start, end = time_of(df, "entrance_time"), time_of(df, "transaction_time")
-    seconds = F.when(start < end, seconds_between(start, end))
-    known = start.isNotNull() & end.isNotNull()
-    return df.agg(
-        F.count(F.when(known, 1)).alias("total_samples"),
-        F.count(F.when((seconds / 3600.0).between(0.5, 6), 1)).alias("valid_samples"),
-        F.coalesce(F.avg(seconds) / 3600.0, F.lit(0.0)).alias("avg_time_diff_hours"),
-    ).withColumn("accuracy", _ratio("valid_samples", "total_samples"))
+    seconds, _ = _trip_seconds(df)
+    mean = F.coalesce(F.avg(seconds) / 3600.0, F.lit(0.0))
+    return df.agg(*_named(_time_counters(df)), mean.alias("avg_time_diff_hours")).withColumn("accuracy", _ratio("valid_samples", "total_samples"))
 
 
 def task_overall(df: DataFrame) -> DataFrame:
-    """Mean of the four task scores."""
-    row = _one_row(df).select(
-        task_anomaly(df).select("precision").scalar().alias("anomaly_detection"),
-        task_fee(df).select("accuracy").scalar().alias("fee_prediction"),
-        task_vehicle(df).select("accuracy").scalar().alias("vehicle_classification"),
-        task_time(df).select("accuracy").scalar().alias("time_consistency"),
+    """Mean of the four task scores, from one pass over the rows."""
+    counters = {"a_": _anomaly_counters(df), "v_": _vehicle_counters(df), "t_": _time_counters(df)}
+    classes = df.groupBy(_fee_class().alias("vehicle_class")).agg(
+        *_named(_fee_counters(df)), *[c for prefix, group in counters.items() for c in _named(group, prefix)]
+    )
+    sums = [F.sum(prefix + name).alias(prefix + name) for prefix, group in counters.items() for name in group]
+    row = classes.agg(_fee_accuracy().alias("fee"), *sums).select(
+        _ratio("a_true_positives", "a_anomaly_samples").alias("anomaly_detection"), F.col("fee").alias("fee_prediction"),
+        _ratio("v_correct_predictions", "v_total_samples").alias("vehicle_classification"),
+        _ratio("t_valid_samples", "t_total_samples").alias("time_consistency"),
     )
     tasks = [F.col(c) for c in row.columns]
     return row.withColumn("score", reduce(lambda x, y: x + y, tasks) / F.lit(4.0))
