@@ -193,8 +193,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return co_train(t[known], m[known], y[known], t[~known], m[~known])
 
 
-def classify(docs: DataFrame, model: CoTrained | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each document with text_score, meta_score, score (0 to 1, higher is better) and predicted (1: keep)."""
+def classify(docs: DataFrame, model: CoTrained | None, keep: list[str], prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of each document with text_score, meta_score, score (0 to 1, higher is better) and predicted (1: keep).
+
+    ``prefix`` goes before these names where kept columns have them.
+    """
     source = _views(docs, keep)
     names = [f"k{i}" for i in range(len(keep))]
 
@@ -212,7 +215,8 @@ def classify(docs: DataFrame, model: CoTrained | None, keep: list[str]) -> DataF
     fields = [T.StructField(n, source.schema[n].dataType) for n in names]
     scores = [T.StructField(n, T.DoubleType()) for n in ("text_score", "meta_score", "score")]
     done = source.mapInArrow(work, T.StructType([*fields, *scores, T.StructField("predicted", T.IntegerType())]))
-    return done.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], "text_score", "meta_score", "score", "predicted")
+    added = ("text_score", "meta_score", "score", "predicted")
+    return done.select(*[F.col(n).alias(k) for n, k in zip(names, keep)], *[F.col(n).alias(prefix + n) for n in added])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
