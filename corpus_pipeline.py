@@ -17,7 +17,7 @@ from tollmill.llm.common import stored, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the co-trained classifier rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, docs.columns).filter(F.col("predicted") == 1).select(*docs.columns)
+    return quality.classify(docs, model, docs.columns, prefix="_q_").filter(F.col("_q_predicted") == 1).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
