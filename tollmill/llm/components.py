@@ -27,13 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     down = stored(down, "edges")
     if down.isEmpty():
         return down.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    mark = None
     while True:
         turned = _star(down, large=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         down = stored(_star(stored(turned, "edges"), large=False), "edges")
-        now = down.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if now == mark:
+        # done when every node but the roots has one edge, and it leads to a root
+        ends = down.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            down.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+        ).groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if ends.filter((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("into") == 1))).isEmpty():
             break
-        mark = now
     roots = down.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(down.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
