@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tollmill.llm.common import bit_map, chunks, gram_sets, in_bit_map, mix, stored, table
 from tollmill.llm.components import components
 
-LONG = 4
+LONG = 3
 BLOCK = 4_000_000
 _CHUNK = 16 << 20
 _SLICE = 1 << 20
