@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tollmill.llm import bpe, decontamination, jaccard, lines, quality
 from tollmill.llm.common import stored, table
 
+#: Words of an n-gram and least Jaccard similarity (in percent) of near-duplicates; the op10 query has its own, 4 and 85.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the co-trained classifier rejects go."""
@@ -29,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group of linked documents the one with the smallest id stays, and of repeated rows one."""
-    found = jaccard.join_components(docs)
+    """Operator 10 at 5 words and 80 %: of each group of linked documents the one with the smallest id stays, and of repeated rows one."""
+    found = jaccard.join_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
     return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
