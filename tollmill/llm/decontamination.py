@@ -3,12 +3,14 @@
 Words are compared in lower case without ASCII punctuation. A seed is the hash of the words at the ones of a fixed mask;
 words at its zeros are ignored, so a seed survives substitutions there. Seeds of benchmark items and of all places of all
 documents are joined; around each hit the words of document and item are laid side by side on the hit's diagonal, and the
-best stretch is kept in which at least ``identity`` of the words agree. Stretches on several diagonals (a word put in or
-left out) add up. A document leaks an item if at least ``min_words`` words agree, or the whole item if it is shorter.
-
-Items with fewer words than a mask is long are looked up by solid masks of their own length; items with fewer than
-``SHORTEST`` words cannot be told from chance and are not looked for, nor are null or empty ones. Items with the same words
-are one: the smallest id stands for them. Null and empty texts leak nothing; an empty table on either side gives an empty
+stretch with the most agreeing words is kept in which at least ``identity`` of the words agree. Stretches on several
+diagonals (a word put in or left out) add up. A document leaks an item if at least ``min_words`` words agree, or
+``identity`` of the item (but ``SHORTEST`` words) if that is less.
+
+The masks have five ones each and leave no gap: whichever words are replaced, a stretch of one diagonal that meets these
+bars at the default values has a seed in it (a test goes through all cases). Items with fewer than ``SHORTEST`` words cannot
+be told from chance and are not looked for, nor are null or empty ones. Items with the same words are one: the smallest id
+stands for them. Null and empty texts leak nothing; an empty table on either side gives an empty
 result. Rows that repeat an id give one row per item: the best.
 
 Documents are read once, as a whole, and only the words around places whose seed has its bit set in a bit map of the
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tollmill.llm.common import bit_map, chunks, hashed_words, in_bit_map, keyed, mix, stored, table
 
-# --- fixed values: seeds of eight words over eleven to thirteen places ---
-MASKS = ("11101100101011", "1101010011100101", "111001011010011", "11111111")
+# --- fixed values: seeds of five words over five to ten places ---
+MASKS = ("11111", "111101", "111011", "110111", "101111", "1110011", "1101011", "11100101", "11001011", "1101000011")
 # --- end of fixed values ---
 SHORTEST = 5
 MIN_WORDS = 13
@@ -70,7 +72,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hashed.groupBy("words").agg(F.min("item").alias("item"))
 
 
-def _seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+def _seeds(items: DataFrame) -> DataFrame:
     """(seed, item, at): each seed of each item once, at its first place."""
 
     def work(batches):
@@ -78,12 +80,11 @@ def _seeds(items: DataFrame, masks: list[str]) -> DataFrame:
             item, seed, at = [], [], []
             for i, words in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
                 hashed = np.array(words, dtype=np.int64).view(np.uint64)
-                for mask in masks:
-                    if len(mask) <= len(hashed) and (len(mask) >= len(MASKS[-1]) or len(mask) == len(hashed)):
-                        found, first = np.unique(seeds_of(hashed, mask), return_index=True)
-                        item += [i] * len(found)
-                        seed += found.view(np.int64).tolist()
-                        at += first.tolist()
+                for mask in MASKS:
+                    found, first = np.unique(seeds_of(hashed, mask), return_index=True)
+                    item += [i] * len(found)
+                    seed += found.view(np.int64).tolist()
+                    at += first.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(item, batch.schema.field("item").type), pa.array(at, pa.int32())], ["seed", "item", "at"])
 
     kind = items.schema["item"].dataType.simpleString()
@@ -93,9 +94,9 @@ def _seeds(items: DataFrame, masks: list[str]) -> DataFrame:
 def agreement(doc: np.ndarray, item: np.ndarray, shifts: list[int], identity: float) -> tuple[int, int, int, int]:
     """(agreeing words, places compared, first and last word of the document) of the best stretches on the given diagonals.
 
-    Word i of the item lies beside word i + shift of the document. A disagreement costs what ``identity`` allows.
+    Word i of the item lies beside word i + shift of the document. Of the stretches in which ``identity`` of the words
+    agree, the one with the most agreeing words counts, and of equal ones the shortest.
     """
-    cost = identity / (1 - identity)
     agrees = np.zeros(len(item), dtype=bool)
     covers = np.zeros(len(item), dtype=bool)
     first, last = len(doc), -1
@@ -104,10 +105,18 @@ def agreement(doc: np.ndarray, item: np.ndarray, shifts: list[int], identity: fl
         if a >= b:
             continue
         same = item[a:b] == doc[a + shift : b + shift]
-        sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -cost))])
-        gain = sums - np.minimum.accumulate(sums)
-        end = int(np.argmax(gain))
-        begin = int(np.argmin(sums[: end + 1])) if end else 0
+        if same.sum() < SHORTEST:
+            continue
+        count = np.concatenate([[0], np.cumsum(same)])
+        sums = np.round(count - identity * np.arange(len(count)), 9)
+        # the earliest begin from which a stretch up to each end has its share, moved on to its first agreeing word
+        begins = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+        places = np.flatnonzero(same)
+        begins = np.minimum(places[np.minimum(count[begins], len(places) - 1)], np.arange(len(count)))
+        agreeing = count - count[begins]
+        ends = np.flatnonzero(agreeing == agreeing.max())
+        end = int(ends[np.argmin(ends - begins[ends])])
+        begin = int(begins[end])
         if same[begin:end].sum() < SHORTEST:
             continue
         agrees[a + begin : a + end] |= same[begin:end]
@@ -123,11 +132,9 @@ def leaks(
     """(id_col, item_col, n_matched, n_compared, first_word, last_word): one row per document and item that it leaks."""
     items = stored(_items(benchmark, item_col, item_text), "items")
     stats = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words")).first()
-    short = [r["n"] for r in items.select(F.size("words").alias("n")).filter(F.col("n") < len(MASKS[-1])).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]  # at most a few lengths below that of the shortest mask
-    seeds = stored(_seeds(items, masks), "seeds")
+    seeds = stored(_seeds(items), "seeds")
     n_seeds, reach = seeds.count(), int(stats["longest"])
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(seeds, "seed"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(seeds, "seed", per_key=2048, most_bits=1 << 27))
     texts = keyed(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -137,7 +144,7 @@ def leaks(
             out: dict[str, list] = {k: [] for k in ("row", "start", "words", "hits")}
             everything, begin = hashed_words([plain(t) for t in part.column("text").to_pylist()])
             places, found = [], []
-            for mask in masks:
+            for mask in MASKS:
                 s = seeds_of(everything, mask)
                 at = np.flatnonzero(in_bit_map(bits.value, s))
                 at = at[np.searchsorted(begin, at, "right") == np.searchsorted(begin, at + len(mask) - 1, "right")]  # inside one text
@@ -182,7 +189,8 @@ def leaks(
                     agreement(np.array(w), np.array(i), sorted(s), identity)
                     for w, i, s in zip(*(part.column(c).to_pylist() for c in ("words", "item_words", "shifts")))
                 ]
-                need = np.minimum(min_words, pc_lengths(part.column("item_words")))
+                share = np.ceil(np.round(identity * pc_lengths(part.column("item_words")), 9))
+                need = np.minimum(min_words, np.maximum(SHORTEST, share))
                 kept = [k for k, r in enumerate(rows) if r[0] >= need[k]]
                 at = pa.array(kept, pa.int64())
                 start = part.column("start").to_pylist()
