@@ -32,11 +32,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10 at 5 words and 80 %: of each group of linked documents the one with the smallest id stays, and of repeated rows one."""
-    found = jaccard.join_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    """Operator 10 at 5 words and 80 %: of each group of linked documents the row with the smallest id stays (null ids last), and of repeated rows one."""
+    first = stored(jaccard.first_rows(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).select(F.col("id").alias("_first"), F.col("h").alias("_of")), "first")
+    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["_first"]) & (rows["_hash"] == first["_of"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

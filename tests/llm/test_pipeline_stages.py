@@ -58,3 +58,22 @@ def test_a_pair_between_the_bars(spark, documents):
     assert len(shingles(" ".join(words)) & shingles(" ".join(near))) == 80 and len(shingles(" ".join(words)) | shingles(" ".join(near))) == 100
     kept = {r["doc_id"] for r in pipeline.drop_near_duplicates(spark, documents([" ".join(w) for w in (words, near, far)]), DATA).collect()}
     assert kept == {0, 2}
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark, documents):
+    long = [" ".join(f"{name}{i}" for i in range(100)) for name in "abcd"]
+    near = [t.replace("50", "x") for t in long]
+    rows = [
+        (7, long[0]), (3, near[0]), (7, long[1]),  # 7 leads the group of b, but its text of the group of a goes
+        (None, long[2]), (None, near[2]), (None, long[2]), (None, long[3]), (9, near[3]),  # null ids come last
+        (5, ""), (5, " "), (5, ""), (None, None), (4, None),  # texts without words link with nothing
+    ]
+    out = pipeline.drop_near_duplicates(spark, documents([t for _, t in rows], [i for i, _ in rows]), DATA)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    found = groups([t for _, t in rows])
+    want = set()
+    for g in set(found):
+        want.add(min({rows[k] for k in range(len(rows)) if found[k] == g}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    # of the two null rows of one group either may stand for it
+    pair = {(None, long[2]), (None, near[2])}
+    assert len(got) == len(set(got)) and set(got) - pair == want - pair and len(set(got) & pair) == 1

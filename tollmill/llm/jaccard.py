@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tollmill.llm.common import bit_map, chunks, gram_sets, in_bit_map, mix, stored, table
+from tollmill.llm.common import bit_map, chunks, gram_sets, in_bit_map, keyed, mix, stored, table
 from tollmill.llm.components import components
 
 LONG = 3
@@ -265,11 +265,11 @@ def _tasks(rows: DataFrame, parts: DataFrame, percent: int, block: int, buckets:
 
 
 def links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, roots): rows (id, node, size), one per document; roots (node, root), the connected sets. Sets that link with
+    """(rows, roots): rows (id, h, node, size), one per document, h its text hash as in ``keyed``; roots (node, root), the connected sets. Sets that link with
     no other are in no row of roots."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    texts = keyed(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
 
     def names(batches):
@@ -277,10 +277,10 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
             _, at, found = _grams(part, n)
             empty = np.diff(at) == 0
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(found.view(np.int64), mask=empty), pa.array(np.diff(at))], ["id", "node", "size"]
+                [part.column("id"), part.column("h"), pa.array(found.view(np.int64), mask=empty), pa.array(np.diff(at))], ["id", "h", "node", "size"]
             )
 
-    rows = stored(texts.mapInArrow(names, f"id {kind}, node long, size long"), "rows")
+    rows = stored(texts.mapInArrow(names, f"id {kind}, h long, node long, size long"), "rows")
     texts = texts.select("text")
     long_bits = spark.sparkContext.broadcast(bit_map(stored(long_lists(texts, n, LONG, buckets), "long"), "gram"))
     parts = stored(components(candidates(texts, n, percent, long_bits, buckets)), "parts")
@@ -318,5 +318,16 @@ def join_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     )
 
 
+def first_rows(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h): the key of one row per component, the one with the smallest id and then text hash; null ids come last.
+
+    Texts without words link with nothing, so each distinct row of them stands for itself.
+    """
+    rows, roots = links(docs, n, percent, id_col, text_col)
+    linked = rows.join(roots, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
+    least = linked.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("m"))
+    return least.select("m.id", "m.h").unionByName(linked.filter(F.col("root").isNull()).select("id", "h").distinct())
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
