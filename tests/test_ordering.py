@@ -80,7 +80,8 @@ def test_trace_tree_shapes(spark):
     assert all(got[i] == ("c0", i) for i in range(40))
     assert all(got[101 + i] == ("hub", 1) for i in range(300))
     assert got[950] == ("o", 0) and got[951] == ("o", 1)
-    assert not {900, 901, 902} & set(got)
+    assert all(got[i] == (None, None) for i in (900, 901, 902))
+    assert got[952] == ("own", 0)
     one = U.trace_tree(log, "c5")
     assert {(r["trace_id"], r["depth"]) for r in one.collect()} == {(f"c{i}", i - 5) for i in range(5, 40)}
     assert one.filter("trace_id = 'c7'").head()["path"] == "c5>c6>c7"
@@ -90,7 +91,7 @@ def test_trace_with_several_calls_and_parents(spark):
     log = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "a"), (4, "b", "z"), (5, "z", None)], LOG)
     got = values(U.trace_tree(log), "id", "root", "path")
     assert got == sorted(
-        [(1, "a", "a"), (2, "a", "a"), (3, "a", "a>b"), (3, "z", "z>b"), (4, "a", "a>b"), (4, "z", "z>b"), (5, "z", "z")], key=repr
+        [(1, "a", "a"), (2, "a", "a"), (3, "a", "a>b"), (4, "z", "z>b"), (5, "z", "z")], key=repr
     )
 
 
@@ -115,8 +116,24 @@ def test_trace_tree_resolves_each_call(spark):
 
 
 def test_trace_tree_ends_on_circles(spark):
-    rows = [(1, "a", "b"), (2, "a", "c"), (3, "b", "a"), (4, "c", "a"), (5, "p", None), (6, "q", "p"), (7, "s", "s")]
-    assert _tree(spark, rows) == sorted([(5, "p", "p"), (6, "p", "p>q")], key=repr)
+    rows = [(1, "a", "b"), (2, "a", "c"), (3, "b", "a"), (4, "c", "a"), (5, "p", None), (6, "q", "p"), (7, "s", "s"), (8, "kid", "s")]
+    circles = [(i, None, None) for i in (1, 2, 3, 4)]
+    assert _tree(spark, rows) == sorted([*circles, (5, "p", "p"), (6, "p", "p>q"), (7, "s", "s"), (8, "s", "s>kid")], key=repr)
+
+
+def test_trace_tree_of_a_diamond_and_a_long_chain(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(U, "freeze", lambda df, kept=U.freeze: rounds.append(1) or kept(df))
+    levels = [("n0", None)] + [(f"{side}{i}", f"n{i}") for i in range(10) for side in "xy"]
+    levels += [(f"n{i + 1}", f"{side}{i}") for i in range(7) for side in "xy"]
+    got = _tree(spark, [(i, *x) for i, x in enumerate(levels)])
+    assert len(levels) == 35 and len({(i, r) for i, r, _ in got}) == len(got) == 35
+    by_id = {i: path for i, _, path in got}
+    assert by_id[0] == "n0" and by_id[2] == "n0>y0" and by_id[21] == "n0>x0>n1" and by_id[22] == "n0>y0>n1" and by_id[23] == "n0>x0>n1>x1>n2"
+    rounds.clear()
+    chain = U.trace_tree(spark.createDataFrame([(i, f"c{i}", f"c{i - 1}" if i else None) for i in range(1000)], LOG), with_path=False)
+    assert values(chain, "id", "root", "depth") == sorted([(i, "c0", i) for i in range(1000)], key=repr)
+    assert len(rounds) <= 1 + 2 * 12
 
 
 def test_trace_tree_keeps_calls_below_a_shared_id(spark):

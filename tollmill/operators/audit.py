@@ -111,41 +111,63 @@ def trace_calls(log: DataFrame, trace_id: str) -> DataFrame:
     return either_key(log, "trace_id", "parent_trace_id", trace_id).orderBy("created_at", "id")
 
 
-def trace_tree(log: DataFrame, trace_id: str | None = None) -> DataFrame:
-    """Every call with its root, depth and path from the root, one row per path of the call.
-
-    A call without a parent, or whose parent is not in the log, is a root; so an id that several calls share can be a
-    root and a child at once. The tree grows from the roots down, one level a round, over the distinct pairs of id and
-    parent; a path never enters an id that it holds, so circles end, and calls that only circles reach do not appear.
-    Only the new level is written in a round. A requested trace starts its own tree wherever it hangs. Sorted by path,
-    the rows are the nested tree in reading order.
+def _reach(pairs: DataFrame, with_path: bool) -> DataFrame:
+    """(node, top, depth, path): the roots above each id, by the shortest way, from pairs (node, up) of an id and its parent.
+
+    Pairs without a parent are roots. Ways double in each round: ``far`` holds the ids that a node reaches in exactly 2^k
+    steps, ``near`` the roots it reaches in fewer; a round puts both behind every way of ``far``. A root at 2^k steps or
+    more has ids on its way that lie 2^k to 2^(k+1) - 1 steps below it, so the first round without a new root is the last,
+    after about log2(depth) rounds, and circles end like everything else.
+    """
+    ways = lambda *cols: F.array(*cols) if with_path else F.lit(None).cast("array<string>")
+    near = pairs.filter(F.col("up").isNull()).select("node", F.col("node").alias("top"), F.lit(0).alias("depth"), ways("node").alias("path"))
+    far = pairs.filter(F.col("up").isNotNull()).select("node", F.col("up").alias("top"), F.lit(1).alias("depth"), ways("up", "node").alias("path"))
+
+    def behind(ahead: DataFrame) -> DataFrame:
+        first = ahead.select(F.col("node").alias("_at"), F.col("top").alias("_top"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
+        path = F.concat("_p", F.slice("path", F.lit(2), F.size("path"))) if with_path else F.col("path")
+        met = far.join(first, F.col("top") == F.col("_at")).select("node", F.col("_top").alias("top"), (F.col("depth") + F.col("_d")).alias("depth"), path.alias("path"))
+        shortest = met.groupBy("node", "top").agg(F.min(F.struct("depth", "path")).alias("w"))
+        return shortest.select("node", "top", "w.depth", "w.path")
+
+    while True:
+        fresh = freeze(behind(near).join(near.select("node", "top"), ["node", "top"], "left_anti"))
+        if fresh.isEmpty():
+            return near
+        far = freeze(behind(far))
+        near = near.unionByName(fresh)
+
+
+def trace_tree(log: DataFrame, trace_id: str | None = None, with_path: bool = True) -> DataFrame:
+    """Every call with its roots: one row per call and root, with depth and path (of ids, from the root) of the shortest way.
+
+    A call without a parent, with itself as parent, or whose parent is not in the log, is a root; so an id that several
+    calls share can be a root and a child at once, and a call can lie below another call of its own id. Of ways of one length the first in path order counts. Calls that only
+    circles reach have no root: they come once, with root NULL. A requested trace starts its own tree wherever it hangs,
+    and only that tree comes back. Sorted by path, the rows are the nested tree in reading order. Calls without an id
+    are left out; without ``with_path`` the path is NULL.
     """
     calls = log.filter(F.col("trace_id").isNotNull())
     known = calls.select(F.col("trace_id").alias("_known")).distinct()
-    calls = calls.join(known, F.col("parent_trace_id") == F.col("_known"), "left").withColumnRenamed("_known", "_up")
+    calls = calls.join(known, F.col("parent_trace_id") == F.col("_known"), "left")
+    up = F.when(F.col("_known") != F.col("trace_id"), F.col("_known"))
     if trace_id is not None:
-        calls = calls.withColumn("_up", F.when(F.col("trace_id") != trace_id, F.col("_up")))
-    calls = calls.filter(~F.col("_up").eqNullSafe(F.col("trace_id")))
+        up = F.when(F.col("trace_id") != trace_id, up)
+    calls = calls.withColumn("_up", up).drop("_known")
     pairs = freeze(calls.select(F.col("trace_id").alias("node"), F.col("_up").alias("up")).distinct())
-    roots = pairs.filter(F.col("up").isNull())
     if trace_id is not None:
-        roots = roots.filter(F.col("node") == trace_id)
-    level = roots.select("node", "up", F.col("node").alias("root"), F.array("node").alias("path"))
-    tree, edges = level, pairs.filter(F.col("up").isNotNull())
-    while True:
-        above = level.select(F.col("node").alias("up"), "root", "path")
-        grown = edges.join(above, "up").filter(~F.array_contains("path", F.col("node")))
-        level = freeze(grown.select("node", "up", "root", F.concat("path", F.array("node")).alias("path")))
-        if level.isEmpty():
-            break
-        tree = tree.unionByName(level)
-    placed = tree.select(
-        F.col("node").alias("_node"), F.col("up").alias("_above"), "root", (F.size("path") - 1).alias("depth"),
-        F.array_join("path", ">").alias("path"),
+        pairs = pairs.filter(F.col("up").isNotNull() | (F.col("node") == trace_id))
+    above = _reach(pairs, with_path).select(F.col("node").alias("_node"), F.col("top").alias("_top"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
+    own = F.when(F.col("_up").isNull(), F.col("trace_id"))
+    placed = calls.join(above, F.col("_up") == F.col("_node"), "left")
+    path = F.when(F.col("_up").isNull(), F.col("trace_id")).otherwise(F.array_join(F.concat("_p", F.array("trace_id")), ">"))
+    out = placed.select(
+        *log.columns, F.coalesce(own, F.col("_top")).alias("root"), F.when(F.col("_up").isNull(), 0).otherwise(F.col("_d") + 1).alias("depth"),
+        (path if with_path else F.lit(None).cast("string")).alias("path"),
     )
-    return calls.join(placed, (F.col("trace_id") == F.col("_node")) & F.col("_up").eqNullSafe(F.col("_above"))).drop("_node", "_above", "_up")
+    return out if trace_id is None else out.filter(F.col("root") == trace_id)
 
 
 def trace_summary(tree: DataFrame) -> DataFrame:
-    """Calls and depth of each tree."""
-    return tree.groupBy("root").agg(F.count(F.lit(1)).alias("total_calls"), F.max("depth").alias("max_depth"))
+    """Calls and depth of each tree; calls in circles belong to none."""
+    return tree.filter(F.col("root").isNotNull()).groupBy("root").agg(F.count(F.lit(1)).alias("total_calls"), F.max("depth").alias("max_depth"))

@@ -86,23 +86,26 @@ def a43(v):
 @query("a43_trace_summary", _recursive(_TREE) + """
     select root, count(*) as total_calls, max(depth) as max_depth from tree group by 1""", recursive=True)
 def a43_summary(v):
-    return U.trace_summary(U.trace_tree(v.audit))
+    return U.trace_summary(U.trace_tree(v.audit, with_path=False))
 
 
-# twelve calls on four ids: ids are shared, a call is a root and a child at once, and two pairs of ids form circles
-_SHARED_PARENT = """case id % 12 when 2 then 3 when 3 then 0 when 4 then 0 when 6 then 3 when 7 then 0 when 8 then 9
+# twelve calls on four ids: ids are shared, a call is a root and a child at once, one names itself as parent, and two pairs
+# of ids form circles
+_SHARED_PARENT = """case id % 12 when 2 then 3 when 3 then 0 when 4 then 0 when 5 then 3 when 6 then 3 when 7 then 0 when 8 then 9
                                when 9 then 6 when 10 then 6 when 11 then 3 end"""
 _SHARED = f"""s as (select id, concat('tr', cast(id - id % 3 as varchar)) as trace_id,
                      concat('tr', nullif(cast(id - id % 12 + {_SHARED_PARENT} as varchar), '')) as up, {_SHARED_PARENT} as p from v_audit)"""
 _SHARED_TREE = f"""
-    with {_SHARED}, c as (select id, trace_id, case when p is not null then up end as up from s),
+    with {_SHARED}, c as (select id, trace_id, case when p is not null and up <> trace_id then up end as up from s),
     e as (select distinct trace_id as node, up from c),
     tree as (
-      select node, up, node as root, 0 as depth, node as path, [node] as seen from e where up is null
+      select node, up, node as root, 0 as depth, node as path, [node] as nodes, [node] as seen from e where up is null
       union all
-      select e.node, e.up, t.root, t.depth + 1, t.path || '>' || e.node, list_append(t.seen, e.node)
-      from e join tree t on e.up = t.node and not list_contains(t.seen, e.node)),
-    rows as (select c.id, c.trace_id, root, depth, path from c join tree on c.trace_id = tree.node and c.up is not distinct from tree.up)"""
+      select e.node, e.up, t.root, t.depth + 1, t.path || '>' || e.node, list_append(t.nodes, e.node), list_append(t.seen, e.node || '<' || e.up)
+      from e join tree t on e.up = t.node and not list_contains(t.seen, e.node || '<' || e.up)),
+    ways as (select c.id, root, depth, path, row_number() over (partition by c.id, root order by depth, nodes) as way
+             from c join tree on c.trace_id = tree.node and c.up is not distinct from tree.up),
+    rows as (select c.id, c.trace_id, root, depth, path from c left join ways on c.id = ways.id and way = 1)"""
 
 
 def _shared(v):
@@ -120,9 +123,9 @@ def a43_shared(v):
 
 
 @query("a43_trace_summary_shared", _SHARED_TREE + """
-    select root, count(*) as total_calls, max(depth) as max_depth from rows group by 1""", recursive=True)
+    select root, count(*) as total_calls, max(depth) as max_depth from rows where root is not null group by 1""", recursive=True)
 def a43_summary_shared(v):
-    return U.trace_summary(U.trace_tree(_shared(v)))
+    return U.trace_summary(U.trace_tree(_shared(v), with_path=False))
 
 
 @query("j8_parent_child", """

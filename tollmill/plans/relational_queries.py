@@ -124,7 +124,8 @@ def j3(v):
 def j4(v):
     from tollmill.operators.analytics import section_lanes
 
-    return v.section.select("section_id").join(section_lanes(v.gantry), "section_id", "left")
+    lanes = section_lanes(v.gantry).select("section_id", (F.col("lanes") / F.nullif("gantries", F.lit(0))).alias("avg_lanes"))
+    return v.section.select("section_id").join(lanes, "section_id", "left")
 
 
 @query("j5_children_count", """
