@@ -58,3 +58,29 @@ def test_nulls_repeats_and_extra_columns(clashing):
 def test_line_said_many_times(documents):
     docs = {0: "\n".join(["again and again"] * 400)}
     assert deleted(documents([docs[0]]), docs, 50) == brute(docs, 50)
+
+
+def test_runs_name_the_source_of_each_line(documents):
+    first, second = [f"first text line {i}" for i in range(6)], [f"second text line {i}" for i in range(6)]
+    docs = ["\n".join(first), "\n".join(["own words"] + second), "\n".join(["begin here"] + first[1:] + second[:5] + ["end here"])]
+    rows = {r["doc_id"]: r for r in lines.dedup(documents(docs), min_words=12).collect()}
+    assert [tuple(r) for r in rows[2]["_runs"]] == [(1, 5, 0, 1), (6, 10, 1, 1)]
+    assert rows[2]["text"] == "begin here\nend here" and rows[0]["_runs"] is None
+
+
+def test_columns_named_like_those_inside(documents):
+    from pyspark.sql import functions as F
+
+    text = "\n".join(f"line number {i} of many" for i in range(30))
+    names = ["_runs", "_h", "_i", "_th", "h", "of", "hash", "runs", "lines", "doc", "a.b"]
+    docs = documents([text, text + "\nmore"]).withColumns({c: F.lit(c) for c in names})
+    rows = lines.dedup(docs, runs_col="cut").orderBy("doc_id").collect()
+    assert all(r[c] == c for r in rows for c in names) and rows[1]["text"] == "more" and rows[1]["cut"][0]["of_id"] == 0
+    assert lines.dedup(docs).filter(F.col("_runs").isNotNull()).count() == 1
+
+
+def test_very_long_text(documents):
+    """20 000 lines, half of them repeated: cost follows the number of lines."""
+    block = [f"some line {i} with five words" for i in range(10_000)]
+    rows = lines.dedup(documents(["\n".join(block + ["x"] + block)])).collect()
+    assert rows[0]["text"] == "\n".join(block + ["x"]) and [tuple(r) for r in rows[0]["_runs"]] == [(10_001, 20_000, 0, 0)]

@@ -14,7 +14,7 @@ counted before they move, by a distributed numbering; so a line that occurs in a
 window of L lines is named by the ranks of its first and its last 2^k lines, k being as large as possible: windows of one
 name are the interval of lcp L. In each interval every occurrence but the first is a later copy.
 
-Null texts count as empty. Lines are compared without white space at their ends. Documents are ordered by id (null first),
+Null texts count as empty; texts of any length are read whole. Lines are compared without white space at their ends. Documents are ordered by id (null first),
 then by the hash of their text; rows that repeat id and text are one document here and keep equal results. A run may overlap
 its earlier copy (a line said many times): what stays then is its first period. An empty table gives an empty result.
 """
@@ -31,11 +31,16 @@ from tollmill.operators.ordering import number_rows
 MIN_WORDS = 50
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """(id, h, line, words, a, b): the lines that have words, with the two hashes that identify a line."""
-    rows = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", F.regexp_replace("t", r"^\s+|\s+$", ""))
-    words = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", r"\s+")))
-    return rows.filter(F.col("t") != "").select("id", "h", "line", words.alias("words"), F.xxhash64("t").alias("a"), F.hash("t").alias("b"))
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, line, words, a, b): the lines that have words, with the two hashes that identify a line, each once.
+
+    Texts are read once and do not move: the rows are narrow when repeated rows of a document are met.
+    """
+    texts = keyed(docs, id_col, text_col)
+    rows = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", F.btrim("t", F.lit(" \t\n\x0b\f\r")))
+    words = F.size(F.split("t", r"\s+"))
+    named = rows.filter(F.col("t") != "").select("id", "h", "line", words.alias("words"), F.xxhash64("t").alias("a"), F.hash("t").alias("b"))
+    return named.dropDuplicates(["id", "h", "line"])
 
 
 def _rank(rows: DataFrame, pair: list[str], out: str) -> DataFrame:
@@ -47,8 +52,7 @@ def _rank(rows: DataFrame, pair: list[str], out: str) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, line, of_id, of_line): the lines to delete (from 0), with the line of the first copy of a window that holds it."""
-    texts = keyed(docs, id_col, text_col).distinct()
-    lines = _lines(texts)
+    lines = stored(_lines(docs, id_col, text_col), "rows")
     # place: the how-manieth line with words it is; lines that occur once cannot be part of a repeated run
     repeated = lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
     ranks = number_rows(repeated, ["a", "b"], "r0")
@@ -104,32 +108,45 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     )
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with their columns; in ``text_col`` the later copies are deleted. Adds ``_runs``: the deleted runs of lines
-    as (lo, hi, of_id, of_line), windows that touch joined; null where nothing was deleted."""
-    copies = later_copies(docs, min_words, id_col, text_col)
-    # a document has at most as many windows as lines
-    runs = copies.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "of_id", "of_line"))).alias("w"))
-    last = lambda a: F.element_at(a, F.size(a))
-    empty = F.slice("w", 1, 0)
-    joined = F.aggregate(
-        "w", empty,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["lo"] <= F.try_element_at(acc, F.size(acc))["hi"] + 1),
-            F.concat(
-                F.slice(acc, F.lit(1), F.size(acc) - 1),
-                F.array(F.struct(
-                    last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], x["hi"]).alias("hi"), last(acc)["of_id"].alias("of_id"),
-                    last(acc)["of_line"].alias("of_line"),
-                )),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
+def deleted_runs(copies: DataFrame) -> DataFrame:
+    """(id, h, runs): the lines to delete as runs (lo, hi, of_id, of_line) in order, apart from each other.
+
+    A window counts from the line on that no window before it reaches; stretches that follow each other in the document and
+    in the earlier copy are one run. So each line of a run is the copy of the line as far behind ``of_line``.
+    """
+    by_doc = W.partitionBy("id", "h").orderBy("lo")
+    before = by_doc.rowsBetween(W.unboundedPreceding, -1)
+    reached = copies.withColumn("from", F.greatest(F.col("lo"), F.coalesce(F.max("hi").over(before) + 1, F.col("lo"))))
+    parts = reached.filter(F.col("from") <= F.col("hi")).withColumn("of_line", F.col("of_line") + F.col("from") - F.col("lo"))
+    in_order = W.partitionBy("id", "h").orderBy("from")
+    shift = F.col("of_line") - F.col("from")
+    goes_on = (
+        (F.lag("hi").over(in_order) + 1 == F.col("from")) & F.lag("of_id").over(in_order).eqNullSafe(F.col("of_id")) & (F.lag(shift).over(in_order) == shift)
+    )
+    parts = parts.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(in_order))
+    runs = parts.groupBy("id", "h", "run").agg(
+        F.min("from").alias("lo"), F.max("hi").alias("hi"), F.min_by("of_id", "from").alias("of_id"), F.min("of_line").alias("of_line")
     )
-    runs = runs.select(F.col("id").alias("_i"), F.col("h").alias("_h"), joined.alias("_runs"))
+    # a document has at most as many runs as lines
+    return runs.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "of_id", "of_line"))).alias("runs"))
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", runs_col: str = "_runs") -> DataFrame:
+    """All rows with their columns; in ``text_col`` the later copies are deleted. Adds ``runs_col``: the deleted runs of lines
+    as (lo, hi, of_id, of_line); null where nothing was deleted. An input column of that name is replaced; all others stay,
+    whatever their names."""
+    names = [c for c in docs.columns if c != runs_col]
+    runs = deleted_runs(later_copies(docs, min_words, id_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_th", F.xxhash64(text)).join(runs, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda t, i: ~F.exists("_runs", lambda r: (r["lo"] <= i) & (i <= r["hi"]))), "\n")
-    return out.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(kept)).drop("_th", "_i", "_h")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    out = rows.join(runs.select(F.col("id").alias("of"), F.col("h").alias("hash"), "runs"), F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("hash")), "left")
+    # what lies between the runs
+    cut = out.withColumn("lines", F.split("text", "\n"))
+    begins = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["hi"] + 1))
+    ends = F.concat(F.transform("runs", lambda r: r["lo"]), F.array(F.size("lines")))
+    between = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("lines", a + 1, b - a)))
+    kept = F.when(F.col("runs").isNull(), F.col(f"doc.`{text_col}`")).otherwise(F.array_join(between, "\n"))
+    return cut.select(*[(kept if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in names], F.col("runs").alias(runs_col))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
