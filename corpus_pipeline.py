@@ -17,16 +17,27 @@ from tollmill.llm.common import stored, table
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name = "_" + name
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the co-trained classifier rejects go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, docs.columns, prefix="_q_").filter(F.col("_q_predicted") == 1).select(*docs.columns)
+    prefix = "q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return quality.classify(docs, model, docs.columns, prefix=prefix).filter(F.col(f"{prefix}predicted") == 1).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: later copies of line runs are cut out; a document of which nothing is left goes. n_chars follows the text."""
-    done = lines.dedup(docs)
-    changed = F.col("_runs").isNotNull()
+    runs = fresh_name(docs, "runs")
+    done = lines.dedup(docs, runs_col=runs)
+    changed = F.col(runs).isNotNull()
     done = done.filter(~changed | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     return done.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -34,9 +45,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10 at 5 words and 80 %: of each group of linked documents the row with the smallest id stays (null ids last), and of repeated rows one."""
     first = stored(jaccard.first_rows(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).select(F.col("id").alias("_first"), F.col("h").alias("_of")), "first")
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["_first"]) & (rows["_hash"] == first["_of"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    of = fresh_name(docs, "hash")
+    rows = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["_first"]) & (rows[of] == first["_of"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", of]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +72,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: No stage but the joins could be put as SQL; tests compare each with brute force instead.
+#: No stage but the joins could be put as SQL; tests check the stages one by one, near-duplicates against brute force.
 ORACLE_SQL = None
 
 
