@@ -3,11 +3,18 @@
 A page is read into a tree of its block elements. Each paragraph gives points for its length and its commas to its parent,
 half of them to the grandparent and less to further ancestors; an element's points are discounted by the share of its text
 that stands in links. The best element is the article; siblings that score well beside it, or are plain paragraphs next to
-it, belong to it too. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by element, role or the words of class and id, wherever they stand.
+it, belong to it too, also where the best element is an article. Menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments are left out by element, role or the words of class and id, wherever they stand. A class
+that only says what an element has, lacks or is filed under is no verdict, and no word but those for comments, adverts and
+notices of consent drops an article or what holds most of a page's text.
+
+Points go up the tree in one pass from the last element to the first, half of them at each level, and an element knows the
+innermost open one of each tag, so the cost of a page follows its length however deep it is.
 
 Each page is worked on alone, inside its task, so nothing is shuffled. Null and empty pages give an empty text; pages
-without any paragraph give the text of their article or body. Repeated rows give equal results. Character references are
+without any paragraph give the text of their article or body. Pages are read whole at any length. Repeated rows give equal
+results; of elements with equal scores the first is the best. Columns other than those kept are not looked at, and those kept
+may have any names but ``text`` and ``n_chars``. Character references are
 decoded, white space inside a block becomes one space, and blocks are joined in page order by one line feed.
 """
 
@@ -15,7 +22,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +49,15 @@ FURNITURE = frozenset(
     "comment comments commentlist disqus respond replies discussion related recommended recommendations share sharing social "
     "subscribe subscription newsletter signup login search searchbox form toolbar skip hidden".split()
 )
+#: Words that hold for whatever they are said of.
+FIRM = frozenset(
+    "ad ads adv advert advertisement adverts advertising adsense adbox sponsor sponsored sponsors cookie cookies consent gdpr popup modal "
+    "comment comments commentlist disqus respond replies skip hidden".split()
+)
+#: Beside these, a word says what an element has, lacks or is about.
+QUALIFIERS = frozenset("has have no not without with is in category categories tag tagged tags type format topic section status".split())
+#: A header of one of these holds a headline.
+STORIES = frozenset("entry article post story content page".split())
 #: What a start tag of the key ends, if it is open inside the same block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where the search for an element to end stops.
@@ -61,22 +76,22 @@ _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 SHORTEST = 25  # a shorter paragraph gives no points
+SHARE = 0.2  # of the best score, for siblings
 ARTICLES = ("article", "main")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "score", "chars", "linked", "index")
+    """An element: ``block`` is the innermost block it lies in (itself, if it is one), ``doubt`` a word against it."""
+
+    __slots__ = ("tag", "parent", "block", "depth", "out", "doubt", "header", "score", "chars", "linked", "index", "kept")
 
     def __init__(self, tag: str, parent: Element | None, out: bool, index: int):
         self.tag, self.parent, self.out, self.index = tag, parent, out, index
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.depth = parent.depth + 1 if parent else 0
+        self.doubt, self.header, self.kept = "", parent.header if parent else False, False
         self.score, self.chars, self.linked = 0.0, 0, 0
 
-    def ancestors(self) -> Iterator[Element]:
-        at = self.parent
-        while at is not None:
-            yield at
-            at = at.parent
-
 
 class Block:
     __slots__ = ("element", "text", "linked")
@@ -85,29 +100,41 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
-def _is_furniture(tag: str, raw: str) -> bool:
-    """Whether the attributes of an element say that it is not part of an article."""
+def _verdict(tag: str, raw: str) -> str:
+    """What the attributes say of an element: "out", a word of doubt, "header" for the header of a story, or nothing."""
     if "=" not in raw and "hidden" not in raw:
-        return False
+        return ""
     found = {}
     for m in _ATTRIBUTE.finditer(raw):
         found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
+        return "out"
     if found.get("role") in LEFT_OUT_ROLES:
-        return True
+        return "out"
     if tag in ("html", "body", "main"):
-        return False
-    names = html.unescape(found.get("class", "") + " " + found.get("id", ""))
-    return any(w in FURNITURE for w in _WORD.findall(names))
+        return ""
+    doubt = ""
+    for name in html.unescape(found.get("class", "") + " " + found.get("id", "")).split():
+        words = _WORD.findall(name)
+        said = FURNITURE.intersection(words)
+        if not said or not QUALIFIERS.isdisjoint(words):
+            continue
+        if said & FIRM:
+            return "firm"
+        if said == {"header"} and not STORIES.isdisjoint(words):
+            doubt = doubt or "header"
+        elif tag != "article":
+            doubt = "soft"
+    return doubt
 
 
 def _read(page: str) -> tuple[list[Block], list[Element]]:
     """The blocks of text of a page, in order, and its elements."""
     root = Element("", None, False, 0)
     elements, stack, blocks = [root], [root], []
+    opened: dict[str, list[int]] = {}  # depths of the open elements by tag
     text: list[str] = []
-    linked, links = 0, 0  # characters in links of the open block; open links
+    linked = 0  # characters in links of the open block
     at, size = 0, len(page)
 
     def flush():
@@ -115,8 +142,7 @@ def _read(page: str) -> tuple[list[Block], list[Element]]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                holder = next(e for e in reversed(stack) if e.tag in BLOCK or e is root)
-                blocks.append(Block(holder, joined, min(linked, len(joined))))
+                blocks.append(Block(stack[-1].block, joined, min(linked, len(joined))))
             text.clear()
         linked = 0
 
@@ -125,14 +151,16 @@ def _read(page: str) -> tuple[list[Block], list[Element]]:
         if raw:
             plain = html.unescape(raw) if "&" in raw else raw
             text.append(plain)
-            if links:
+            if opened.get("a"):
                 linked += len(plain.strip())
 
+    def innermost(tag: str) -> int:
+        places = opened.get(tag)
+        return places[-1] if places else 0
+
     def close(depth: int):
-        nonlocal links
         for e in stack[depth:]:
-            if e.tag == "a":
-                links -= 1
+            opened[e.tag].pop()
         del stack[depth:]
 
     while at < size:
@@ -150,12 +178,10 @@ def _read(page: str) -> tuple[list[Block], list[Element]]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCK and stack[depth].tag in BLOCK:
-                    break
+            depth = innermost(tag)
+            # the end of something inside a block does not reach beyond it
+            if depth and (tag in BLOCK or depth > stack[-1].block.depth):
+                close(depth)
             continue
         if tag == "br":
             if not stack[-1].out:
@@ -163,29 +189,27 @@ def _read(page: str) -> tuple[list[Block], list[Element]]:
             continue
         if tag in BLOCK:
             flush()
-            ends, fences = ENDS.get(tag), FENCES.get(tag, ())
-            for depth in range(len(stack) - 1, 0, -1):
-                open_tag = stack[depth].tag
-                if open_tag == "p" or (tag in HEADINGS and open_tag in HEADINGS):
+            around = stack[-1].block
+            if around.depth and (around.tag == "p" or (tag in HEADINGS and around.tag in HEADINGS)):
+                close(around.depth)
+            if tag in ENDS:
+                fence = max((innermost(f) for f in FENCES.get(tag, ())), default=0)
+                while (depth := max(innermost(e) for e in ENDS[tag])) > fence:
                     close(depth)
-                    break
-                if open_tag in BLOCK:
-                    break
-            if ends:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in ends:
-                        close(depth)
-                        if tag != "tr":
-                            break
-                    elif stack[depth].tag in fences:
+                    if tag != "tr":
                         break
         if tag in VOID:
             continue
         above = stack[-1]
-        out = above.out or tag in LEFT_OUT or _is_furniture(tag, m[3])
-        if tag == "header" and not out:  # the header of an article holds its headline; other headers belong to the site
-            out = not any(e.tag in ARTICLES for e in stack)
-        element = Element(tag, above, out, len(elements))
+        said = "" if above.out else _verdict(tag, m[3])
+        element = Element(tag, above, above.out or tag in LEFT_OUT or said == "out", len(elements))
+        if tag == "header" and not element.out:  # the header of an article holds its headline; other headers belong to the site
+            element.out = not any(opened.get(t) for t in ARTICLES)
+            element.header = True
+        elif said == "header":
+            element.header = True
+        elif said != "out":
+            element.doubt = said
         elements.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -193,15 +217,11 @@ def _read(page: str) -> tuple[list[Block], list[Element]]:
             continue
         if m[3].endswith("/") and tag not in BLOCK and tag != "a":
             continue
-        if tag == "a":
-            for depth in range(len(stack) - 1, 0, -1):  # links do not nest
-                if stack[depth].tag == "a":
-                    close(depth)
-                    break
-                if stack[depth].tag in BLOCK:
-                    break
-            links += 1
+        if tag == "a" and innermost("a") > above.block.depth:  # links do not nest
+            close(innermost("a"))
+            element.parent, element.block, element.depth = stack[-1], stack[-1].block, stack[-1].depth + 1
         stack.append(element)
+        opened.setdefault(tag, []).append(len(stack) - 1)
     flush()
     return blocks, elements
 
@@ -210,55 +230,68 @@ def _density(e: Element) -> float:
     return e.linked / e.chars if e.chars else 0.0
 
 
+def _sum_up(blocks: list[Block], elements: list[Element]) -> int:
+    """Sets the characters of all elements, and in links; returns those of the page."""
+    for e in elements:
+        e.chars = e.linked = 0
+    for b in blocks:
+        b.element.chars += len(b.text)
+        b.element.linked += b.linked
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.chars += e.chars
+            e.parent.linked += e.linked
+    return elements[0].chars
+
+
 def main_text(page: str | None) -> str:
     """The article of one page, one block a line; empty if there is none."""
     if not page:
         return ""
     blocks, elements = _read(page)
-    forms: dict[Element, int] = {}
-    total = 0
-    for b in blocks:
-        total += len(b.text)
-        for e in (b.element, *b.element.ancestors()):
-            e.chars += len(b.text)
-            e.linked += b.linked
-            if e.tag == "form":
-                forms[e] = forms.get(e, 0) + len(b.text)
-    # a form is left out unless it wraps most of the page
-    asides = {f for f, n in forms.items() if 2 * n < total}
-    if asides:
-        blocks = [b for b in blocks if b.element not in asides and not asides.intersection(b.element.ancestors())]
+    total = _sum_up(blocks, elements)
+    for e in elements:  # parents come before their children
+        if e.parent is not None and e.parent.out:
+            e.out = True
+        elif e.doubt == "firm" or (e.doubt or e.tag == "form") and 2 * e.chars < total:
+            # a word, or a form, is passed over where it wraps most of the page
+            e.out = True
     # inside a header, only headlines belong to the article
-    blocks = [b for b in blocks if b.element.tag in HEADINGS or not any(e.tag == "header" for e in (b.element, *b.element.ancestors()))]
+    blocks = [b for b in blocks if not b.element.out and (b.element.tag in HEADINGS or not b.element.header)]
     if not blocks:
         return ""
 
+    _sum_up(blocks, elements)
     for b in blocks:
-        if b.element.tag in HEADINGS or len(b.text) < SHORTEST:
+        e = b.element
+        if e.tag in HEADINGS or len(b.text) < SHORTEST:
             continue
-        points = 1 + b.text.count(",") + b.text.count("，") + min(len(b.text) / 100, 3)
-        holders = list(b.element.ancestors()) if b.element.tag in ("p", "pre", "li", "td", "dd", "blockquote") else [b.element, *b.element.ancestors()]
-        for level, e in enumerate(holders):
-            e.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+        holder = e.parent if e.tag in ("p", "pre", "li", "td", "dd", "blockquote") and e.parent is not None else e
+        holder.score += 1 + b.text.count(",") + b.text.count("，") + min(len(b.text) / 100, 3)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.score += e.score / 2
     for e in elements:
-        if e.score:
-            e.score *= 1 - _density(e)
+        e.score *= 1 - _density(e)
     best = max(elements, key=lambda e: (e.score, -e.index))
     if best.score <= 0:
         best = next((e for e in elements if e.tag in ARTICLES and e.chars and not e.out), elements[0])
-    lifted = next((e for e in (best, *best.ancestors()) if e.tag == "article"), None)
-    lifted = lifted or next((e for e in (best, *best.ancestors()) if e.tag == "main"), None)
-    kept = {lifted or best}
-    if lifted is None and best.parent is not None:
-        bar = max(10.0, best.score * 0.2)
-        for e in elements:
-            if e.parent is not best.parent or e is best or e.out:
-                continue
-            plain = e.tag == "p" and e.chars and (_density(e) < 0.25 if e.chars > 80 else _density(e) == 0)
-            headline = e.tag in HEADINGS and e.index < best.index and _density(e) < 0.25
-            if e.score >= bar or plain or headline:
-                kept.add(e)
-    return "\n".join(b.text for b in blocks if b.element in kept or not kept.isdisjoint(b.element.ancestors()))
+    holders = []
+    at: Element | None = best
+    while at is not None:
+        holders.append(at)
+        at = at.parent
+    chosen = next((e for t in ("article", "main") for e in holders if e.tag == t), best)
+    chosen.kept = True
+    for e in elements if chosen.parent is not None and chosen.tag != "main" else ():
+        if e.parent is not chosen.parent or e is chosen or e.out or not e.chars:
+            continue
+        plain = e.tag in ("p", chosen.tag) and (_density(e) < 0.25 if e.chars > 80 else _density(e) == 0)
+        headline = (e.tag in HEADINGS or e.header) and e.index < chosen.index and _density(e) < 0.25
+        e.kept = e.score > 0 and e.score >= chosen.score * SHARE or plain or headline
+    for e in elements:
+        e.kept = e.kept or e.parent is not None and e.parent.kept
+    return "\n".join(b.text for b in blocks if b.element.kept)
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
