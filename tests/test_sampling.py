@@ -124,3 +124,18 @@ def test_learned_checks(spark):
     assert abs(fixed["pay_fee"] - 3600) < 600 and fixed["_auxiliary_confidence"] == 0.0
     share = M.distance_anomaly(ref, ref).agg(F.avg(F.col("distance_anomalous").cast("int"))).head()[0]
     assert abs(share - 0.1) < 0.01
+
+
+def test_isolation_forest_flags_planted_rows(views):
+    from tollmill.operators import forest as I
+
+    ref = M.features(views.even).select("gantry_transaction_id", *[f"f_{f}" for f in M.FEATURES])
+    columns = {f: F.col(f"f_{f}") for f in M.FEATURES}
+    odd = ref.limit(5).withColumns({f"f_{f}": F.lit(9e6) for f in M.FEATURES})
+    one = I.isolation_anomaly(odd, ref, columns, "gantry_transaction_id", trees=20, size=64).select("isolation_anomalous", "isolation_score")
+    assert all(r[0] and r[1] > 0.5 for r in one.collect())
+    marked = lambda r: I.isolation_anomaly(r, r, columns, "gantry_transaction_id", trees=20, size=64)
+    first = values(marked(ref), "gantry_transaction_id", "isolation_score", "isolation_anomalous")
+    assert first == values(marked(ref.repartition(13)), "gantry_transaction_id", "isolation_score", "isolation_anomalous")
+    assert abs(sum(r[2] for r in first) / len(first) - 0.1) < 0.01
+    assert marked(ref.limit(0)).count() == 0 and not I.isolation_anomaly(odd, ref.limit(0), columns, "gantry_transaction_id").filter("isolation_anomalous").count()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollmill.functions.cleaning import safe_float, safe_int, weight_kg
+from tollmill.operators import forest
 from tollmill.operators.profiling import exact_percentiles, unpivot
 from tollmill.operators.quality import field
 from tollmill.session import freeze
@@ -90,10 +91,7 @@ def with_distance(df: DataFrame, stats: Column, name: str = "distance") -> DataF
 
 
 def distance_anomaly(df: DataFrame, ref: DataFrame, contamination: float = 0.1) -> DataFrame:
-    """Marks rows farther from the reference than all but ``contamination`` of the reference itself.
-
-    A distance rule in standard scores, in place of an isolation forest, which Spark does not have.
-    """
+    """Marks rows farther from the reference than all but ``contamination`` of the reference itself, in standard scores."""
     stats = freeze(feature_stats(ref)).select("stats").scalar()
     distances = unpivot(with_distance(ref, stats), {"distance": F.col("distance")}, "double")
     limit = exact_percentiles(distances, [1.0 - contamination]).select("percentile").scalar()
@@ -102,6 +100,11 @@ def distance_anomaly(df: DataFrame, ref: DataFrame, contamination: float = 0.1)
     return scored.withColumns({"distance_anomalous": F.col("distance") > F.col("_limit"), "confidence": confidence}).drop("_limit")
 
 
+def isolation_anomaly(df: DataFrame, ref: DataFrame, contamination: float = 0.1, key: str = "gantry_transaction_id", way: str | None = None) -> DataFrame:
+    """Marks rows that an isolation forest over the reference sets apart sooner than all but ``contamination`` of the reference."""
+    return forest.isolation_anomaly(df, ref, feature_columns(ref), key, contamination, way=way)
+
+
 def verify(df: DataFrame, ref: DataFrame, model=None, contamination: float = 0.1) -> DataFrame:
     """Combined verdict: anomalous if either check says so, confidence 0 for an odd fee, which is replaced."""
     model = fit_fee_model(ref) if model is None else model

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
 from tollmill.functions.vehicles import freight_class
+from tollmill.operators import forest as I
 from tollmill.operators import learn as M
 from tollmill.operators import sampling as G
 from tollmill.operators.profiling import fee_mileage_stats, profile_categorical
@@ -50,6 +51,48 @@ def m3(v):
     )
 
 
+def _forest_sql() -> str:
+    """The isolation forest as SQL: the same draws and cuts, trees as lists by node."""
+    n, levels, trees, size = len(FEATURES), 8, I.TREES, I.SIZE
+    ways = "[" + ", ".join(str(I.mean_way(i)) for i in range(size + 1)) + "]"
+    parts = [f"""f as materialized (select row_number() over () as rid, ok, vehicle_type, gantry_transaction_id as k, [{', '.join(f'coalesce({e}, 0)::double' for e in FEATURES.values())}] as x from v_gtx),
+    pool as materialized (select x, row_number() over (order by u, k, x) - 1 as r from (select x, k, {sql_uniform(42, 'k')} as u from f where ok % 2 = 0) order by u, k, x limit {trees * size}),
+    size as (select count(*) as n from pool), s0 as materialized (
+      select t.range as tree, x, 1 as node from pool, size, range(0, {trees}) t
+      where (((r - t.range * n // {trees}) % n) + n) % n < least({size}, n))"""]
+    for level in range(levels + 1):
+        feature = f"coalesce(list_filter([(first + i) % {n} for i in range(0, {n})], lambda f: low[f + 1] < high[f + 1])[1], -1)" if level < levels else "-1"
+        parts.append(f"""n{level} as materialized (
+          select tree, node, feature, case when feature >= 0 then low[feature + 1] + v * (high[feature + 1] - low[feature + 1]) end as cut, {ways}[n + 1] + {level * I.UNIT} as way
+          from (select *, {feature} as feature from (
+            select tree, node, count(*) as n, [{', '.join(f'min(x[{i + 1}])' for i in range(n))}] as low, [{', '.join(f'max(x[{i + 1}])' for i in range(n))}] as high,
+                   floor({sql_uniform(43, 'tree', 'node')} * {n})::bigint as first, {sql_uniform(44, 'tree', 'node')} as v
+            from s{level} group by tree, node)))""")
+        if level < levels:
+            parts.append(f"""s{level + 1} as materialized (select s.tree, s.x, s.node * 2 + case when s.x[feature + 1] >= cut then 1 else 0 end as node
+              from s{level} s join n{level} using (tree, node) where feature >= 0)""")
+    parts.append(f"w0 as (select rid, t.range as tree, 1 as node from f, range(0, {trees}) t)")
+    for level in range(levels + 1):
+        met = f"w{level} w left join n{level} n using (tree, node)"
+        parts.append(f"d{level} as (select rid, coalesce(way, {level * I.UNIT}) as way from {met} where coalesce(feature, -1) < 0)")
+        if level < levels:
+            parts.append(f"""w{level + 1} as materialized (select w.rid, w.tree, w.node * 2 + case when f.x[feature + 1] >= cut then 1 else 0 end as node
+              from {met} join f on f.rid = w.rid where feature >= 0)""")
+    parts.append(f"""walked as materialized (select rid, sum(way)::double as way from ({' union all '.join(f'select * from d{i}' for i in range(levels + 1))}) group by rid),
+    lim as (select quantile_cont(way, 0.1) as cut from walked join f using (rid) where ok % 2 = 0)""")
+    return "with " + ", ".join(parts) + """
+    select vehicle_type, count(*) as cnt, count(case when way < cut then 1 end) as anomalous, cast(sum(way) as bigint) as ways
+    from walked join f using (rid), lim where ok % 2 = 1 group by 1"""
+
+
+@query("m3_isolation_forest", _forest_sql())
+def m3_forest(v):
+    marked = M.isolation_anomaly(v.odd, v.even, way="_ways")
+    return marked.groupBy("vehicle_type").agg(
+        F.count(F.lit(1)).alias("cnt"), F.count(F.when(F.col("isolation_anomalous"), 1)).alias("anomalous"), F.sum("_ways").cast("long").alias("ways")
+    )
+
+
 @query("m4_verify")
 def m4(v):
     checked = M.verify(v.odd, v.even)
