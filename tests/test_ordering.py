@@ -147,3 +147,18 @@ def test_match_tags_default(spark):
     got = values(J.match_tags(queries), "query", "tag")
     assert ("查询超载情况", "overweight-rate") in got
     assert [t for q, t in got if q == "hello"] == ["avg-travel-time", "congestion-index", "hourly-flow"]
+
+
+def test_resolve_section_among_names_with_one_beginning(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(J, "freeze", lambda df, kept=J.freeze: seen.append(kept(df)) or seen[-1])
+    ids = spark.range(4000)
+    names = ids.select(F.concat(F.lit("S"), F.lpad("id", 5, "0")).alias("section_id"), F.concat(F.lit("Great Northern Ring Road no "), F.col("id")).alias("section_name"))
+    texts = [f"from Great Northern Ring Road no {i} to the coast" for i in range(0, 4000, 80)] + ["Great Northern Ring Road", "no road"]
+    got = dict(values(J.resolve_section(spark.createDataFrame([(t,) for t in texts], "t string"), names, "t"), "t", "resolved_section_id"))
+    for i, t in zip(range(0, 4000, 80), texts):
+        # names that a longer number begins with occur in it too
+        assert got[t] == min(f"S{int(str(i)[:k]):05d}" for k in range(1, len(str(i)) + 1))
+    assert got["no road"] is None and got["Great Northern Ring Road"] is None
+    places = sum(map(len, texts))
+    assert sum(f.count() for f in seen[1:]) < places and seen[-1].select(F.max(F.size("_lengths"))).head()[0] <= 4

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollmill.functions import constants as K
+from tollmill.session import freeze
 
 
 def with_section_name(df: DataFrame, section: DataFrame) -> DataFrame:
@@ -97,20 +98,33 @@ def match_tags(queries: DataFrame, text: str = "query", tags: dict | None = None
 def resolve_section(df: DataFrame, section: DataFrame, text: str) -> DataFrame:
     """Section whose name occurs in a free text, NULL if none does; the smallest id wins.
 
-    Each place of a distinct text is looked up by the first characters from there on, as many as the shortest name has;
-    whole names are then compared. So a text sends one row per character, however long the names are.
+    Names form a ladder of prefixes of 1, 2, 4, ... characters. A place of a distinct text goes on to the next rung only
+    while a name begins with the characters from there on. On a rung of w characters it is compared, by equality, with the
+    names of w to 2w - 1 characters, one row for each length that names with this prefix have; so thousands of names with
+    one beginning cost a place a few rows. A place carries no more of its text than the longest name has characters.
     """
-    names = section.filter(F.length("section_name") > 0).select("section_id", "section_name")
-    shortest = names.agg(F.min(F.length("section_name")).alias("n")).first()["n"]
-    if shortest is None:
+    names = section.filter(F.length("section_name") > 0).groupBy(F.col("section_name").alias("_name")).agg(F.min("section_id").alias("_section"))
+    longest = names.agg(F.max(F.length("_name")).alias("n")).first()["n"]
+    if longest is None:
         return df.withColumn("resolved_section_id", F.lit(None).cast("string"))
-    texts = df.select(F.col(text).alias("_text")).filter(F.length("_text") >= shortest).distinct()
-    places = F.sequence(F.lit(1), F.length("_text") - F.lit(shortest - 1))
-    starts = texts.withColumn("_i", F.explode(places)).withColumn("_head", F.expr(f"substring(_text, _i, {shortest})"))
-    heads = names.withColumn("_head", F.left("section_name", F.lit(shortest)))
-    whole = F.expr("substring(_text, _i, length(section_name)) = section_name")
-    found = starts.join(heads, "_head").filter(whole).groupBy("_text").agg(F.min("section_id").alias("resolved_section_id"))
-    return df.join(found, df[text] == found["_text"], "left").drop("_text")
+    texts = freeze(df.select(F.col(text).alias("_text")).filter(F.length("_text") > 0).distinct().withColumn("_t", F.monotonically_increasing_id()))
+    at = texts.select("_t", "_text", F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("_i"))
+    alive = at.select("_t", F.expr(f"substring(_text, _i, {longest})").alias("_rest")).distinct()
+    said, width = None, 1
+    while width <= longest:
+        n = F.length("_name")
+        heads = names.filter(n >= width).groupBy(F.left("_name", F.lit(width)).alias("_head")).agg(
+            F.collect_set(F.when(n < 2 * width, n)).alias("_lengths"), (F.max(n) >= 2 * width).alias("_on")
+        )
+        met = alive.filter(F.length("_rest") >= width).withColumn("_at", F.left("_rest", F.lit(width)))
+        met = freeze(met.join(heads, F.col("_at") == F.col("_head")).select("_t", "_rest", "_lengths", "_on"))
+        whole = met.select("_t", "_rest", F.explode("_lengths").alias("_n")).select("_t", F.left("_rest", F.col("_n")).alias("_said"))
+        said = whole if said is None else said.unionByName(whole)
+        alive = met.filter("_on").select("_t", "_rest")
+        width *= 2
+    found = said.join(names, F.col("_said") == F.col("_name")).groupBy("_t").agg(F.min("_section").alias("resolved_section_id"))
+    by_text = found.join(texts, "_t").select("_text", "resolved_section_id")
+    return df.join(by_text, df[text] == by_text["_text"], "left").drop("_text")
 
 
 def mix(a: DataFrame, b: DataFrame, n: int, ratio: float = 0.7, seed: int = 42) -> DataFrame:
