@@ -255,7 +255,9 @@ def c19(v):
     )
 
 
-@query("p2_row_json")
+@query("p2_row_json", """
+    select id, cast(to_json({'id': id, 'user_id': user_id, 'api_endpoint': api_endpoint, 'is_success': is_success}) as varchar) as document
+    from v_audit""")
 def p2(v):
     return v.audit.select("id", X.row_json("id", "user_id", "api_endpoint", "is_success").alias("document"))
 

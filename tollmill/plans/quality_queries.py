@@ -9,7 +9,7 @@ from tollmill.operators import exemplars as X
 from tollmill.operators import quality as Q
 from tollmill.operators.profiling import profile_numeric, section_dates
 from tollmill.operators.relational import append_rows
-from tollmill.plans.registry import limit_of, query, six, sql_moment, whole, moment
+from tollmill.plans.registry import limit_of, moment, query, six, sql_key, sql_moment, whole
 
 # the fixture has no row with an unreadable fee or code, so some are made so
 _DIRTY = {
@@ -158,12 +158,20 @@ def q7(v):
     )
 
 
-@query("s1_mix_sources")
+_MIXED = ["gantry_transaction_id", "vehicle_type", "pay_fee"]
+
+
+def _drawn(cols: list[str], half: int, n: int) -> str:
+    return f"""(select *, row_number() over (order by {sql_key(42, *cols)}, {', '.join(cols)}) as rn from v_gtx where ok % 2 = {half}) where rn <= {n}"""
+
+
+@query("s1_mix_sources", f"""
+    select {', '.join(_MIXED)}, 'a' as _source, null::bigint as ok from {_drawn(_MIXED, 0, 1400)}
+    union all select {', '.join(_MIXED)}, 'b', ok from {_drawn([*_MIXED, 'ok'], 1, 600)}""")
 def s1(v):
     from tollmill.operators.relational import mix
 
-    cols = ["gantry_transaction_id", "vehicle_type", "pay_fee"]
-    return mix(v.even.select(*cols), v.odd.select(*cols, "ok"), 2000, 0.7)
+    return mix(v.even.select(*_MIXED), v.odd.select(*_MIXED, "ok"), 2000, 0.7)
 
 
 @query("s2_append_recovered", f"""

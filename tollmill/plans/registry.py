@@ -40,10 +40,14 @@ def sql_shown(part: str, whole: str, digits: int, scale: int = 1) -> str:
     return f"(({a} // {b}) + {up}) / {10.0**digits}::double"
 
 
+def sql_key(seed: int, *keys: str) -> str:
+    """The digest by which rows are drawn, as SQL."""
+    return "md5(concat_ws('|', " + f"'{seed}', " + ", ".join(f"coalesce(cast({k} as varchar), chr(92) || 'N')" for k in keys) + "))"
+
+
 def sql_uniform(seed: int, *keys: str) -> str:
     """The keyed number in (0, 1) of ``stable_uniform``, as SQL."""
-    text = "concat_ws('|', " + f"'{seed}', " + ", ".join(f"coalesce(cast({k} as varchar), chr(92) || 'N')" for k in keys) + ")"
-    return f"((cast('0x' || left(md5({text}), 12) as bigint) + 0.5::double) / {float(1 << 48)}::double)"
+    return f"((cast('0x' || left({sql_key(seed, *keys)}, 12) as bigint) + 0.5::double) / {float(1 << 48)}::double)"
 
 
 def sql_noisy(count: str, eps: float = 1.0) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tollmill.operators import filters as R
-from tollmill.plans.registry import moment, query, sql_moment
+from tollmill.plans.registry import moment, query, sql_key, sql_moment
 from tollmill.session import scratch_path
 from tollmill.sources import dimensions, readers, sinks, splits
 
@@ -42,16 +42,11 @@ def src5(v):
     return readers.read_samples(v.spark, _json_copy(v), multi_line=False).select(*_SAMPLE)
 
 
-def _keyed(cols, seed):
-    """The digest by which rows are drawn, as SQL."""
-    return f"md5(concat_ws('|', '{seed}', " + ", ".join(f"coalesce(cast({c} as varchar), chr(92) || 'N')" for c in cols) + "))"
-
-
 _DRAWN = ["gantry_transaction_id", "gantry_id", "vehicle_type", "pay_fee", "ok"]
 
 
 @query("src6_sample_n", f"""
-    with r as (select *, row_number() over (order by {_keyed(_DRAWN, 42)}, {', '.join(_DRAWN)}) as rn from v_gtx)
+    with r as (select *, row_number() over (order by {sql_key(42, *_DRAWN)}, {', '.join(_DRAWN)}) as rn from v_gtx)
     select gantry_transaction_id, vehicle_type, pay_fee from r where rn <= 1000""")
 def src6(v):
     return readers.sample_n(v.gtx.select(*_DRAWN), 1000, 42).select("gantry_transaction_id", "vehicle_type", "pay_fee")
@@ -128,7 +123,7 @@ def snk5(v):
 
 @query("spl1_split_random", f"""
     select exit_transaction_id,
-           case when cast('0x' || left({_keyed(['exit_transaction_id'], 42)}, 12) as bigint) < {int(0.8 * (1 << 48))} then 'train' else 'test' end as side
+           case when cast('0x' || left({sql_key(42, 'exit_transaction_id')}, 12) as bigint) < {int(0.8 * (1 << 48))} then 'train' else 'test' end as side
     from v_exit""")
 def spl1(v):
     train, test = splits.split_random(v.exit.select("exit_transaction_id"))
