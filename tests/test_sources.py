@@ -16,7 +16,10 @@ from tollmill.streaming import flows
 
 def test_jdbc_plan_splits_by_day():
     plan = readers.jdbc_plan(section_id="S'1", start="2023-01-01", end="2023-01-04")
-    assert len(plan["predicates"]) == 3 and plan["columns"] == K.SAMPLE_FIELDS
+    assert len(plan["predicates"]) == 4 and plan["columns"] == K.SAMPLE_FIELDS
+    # midnight of the end date belongs to the range
+    assert plan["predicates"][3] == "transaction_time = '2023-01-04' AND section_id = 'S''1'"
+    assert readers.jdbc_plan(start="2023-01-05", end="2023-01-04")["predicates"] == ["1 = 0"]
     assert plan["predicates"][0] == (
         "transaction_time >= '2023-01-01' AND transaction_time < '2023-01-02' AND section_id = 'S''1'"
     )

@@ -39,10 +39,11 @@ def jdbc_plan(
     time_column: str = "transaction_time",
 ) -> dict:
     """Projection and predicates of a database scan, one part per day. Both dates are needed: a scan without
-    bounds would come over one connection into one task."""
+    bounds would come over one connection into one task. The range is closed: midnight of the end date belongs to it."""
     if not (start and end):
         raise ValueError("a database scan needs a start and an end date")
-    parts = day_predicates(time_column, start, end) or ["1 = 0"]
+    parts = day_predicates(time_column, start, end)
+    parts += [f"{time_column} = '{end}'"] if date.fromisoformat(start) <= date.fromisoformat(end) else ["1 = 0"]
     if section_id is not None:
         parts = [f"{p} AND section_id = {_quote(section_id)}" for p in parts]
     return {"columns": list(columns or K.SAMPLE_FIELDS), "predicates": parts}
