@@ -1,6 +1,7 @@
 """Components against brute force, with groups cut into blocks and with every list long."""
 
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -73,3 +74,28 @@ def test_nulls_repeats_and_extra_columns(clashing):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(clashing).collect()), key=repr)
     assert got == sorted([(0, 4, 0), (0, 4, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 1, 6), (6, 1, 6)], key=repr)
     assert jaccard.join_components(clashing.limit(0)).count() == 0
+
+
+def test_search_costs_as_much_as_its_lists():
+    """Many sets with one common n-gram: no pass over all of them for each search."""
+    draw = np.random.default_rng(1)
+    sets = [np.unique(np.append(draw.integers(2, 1 << 60, 8), 1)).astype(np.uint64) for _ in range(20_000)]
+    began = time.monotonic()
+    assert jaccard.divide_skip(sets, 85) == [] and time.monotonic() - began < 20
+
+
+def test_sets_too_small_to_link_are_no_candidates(documents):
+    """Sets of five n-grams and fewer link at 85 % with equal ones only; a set of six links with one of seven."""
+    small = [f"a b c d {i} {i} x{i} y{i}" for i in range(300)]
+    texts = [*small, small[0], "p q r s t u v w x", "p q r s t u v w x y"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(documents(texts)).collect()}
+    assert got == brute(dict(enumerate(texts))) and got[300][1] == 0 and got[302][1] == 301
+    bits = documents(texts).sparkSession.sparkContext.broadcast(np.zeros(8192, np.uint8))
+    assert jaccard.candidates(documents(small), 4, 85, bits, 8).count() == 0
+
+
+def test_query_returns_its_columns(spark):
+    from tests.conftest import DATA
+
+    got = jaccard.op10_jaccard(spark, DATA)
+    assert got.columns[:3] == ["doc_id", "n_shingles", "component_id"] and got.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()

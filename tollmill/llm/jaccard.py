@@ -7,7 +7,7 @@ have to show a partner once. So:
 
 1. n-grams are counted over all documents; those in at least ``LONG`` sets are long (their bits go into a bit map of bounded
    size; n-grams that share such a bit are treated as long too, which changes costs, not results);
-2. each distinct set sends its n - T + 1 first n-grams, short lists before long ones, to the index; sets that meet in a list
+2. each distinct set that some different set could link with (a smaller one than 100 n >= percent (n + 1) can not) sends its n - T + 1 first n-grams, short lists before long ones, to the index; sets that meet in a list
    and whose sizes allow a link are candidates, joined by stars, not by pairs;
 3. candidates come together in groups (connected parts). In a group the full inverted lists are at hand, and each set is searched
    by DivideSkip: the short lists are merged into counts, what reached T - L is probed in the long lists by binary search.
@@ -23,6 +23,8 @@ empty result. N-grams are compared by 64-bit hashes, sets named by 64-bit hashes
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from tollmill.llm.components import components
 
 LONG = 3
 BLOCK = 4_000_000
+#: N-grams a bucket of the index holds about, with copies.
+BUCKET = 8_000_000
 _CHUNK = 16 << 20
 _SLICE = 1 << 20
 
@@ -148,6 +152,8 @@ def candidates(texts: DataFrame, n: int, percent: int, long_bits, buckets: int)
         for block in chunks(batches, most=_CHUNK):
             grams, names, sizes = [], [], []
             for name, g in (x for part in chunks([block], most=_SLICE) for x in _sets(part, n)):
+                if 100 * len(g) < percent * (len(g) + 1):
+                    continue
                 is_long = in_bit_map(long_bits.value, g & np.uint64(0xFFFFFFFF))
                 first = np.concatenate([g[~is_long], g[is_long]])[: len(g) - (percent * len(g) + 99) // 100 + 1]
                 grams.append(first)
@@ -202,19 +208,28 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     lengths = np.bincount(at, minlength=len(grams))
     starts = np.cumsum(lengths) - lengths
     ends_of_sets = np.cumsum(sizes)
-    root = np.arange(m)
-    todo = np.ones(m, dtype=bool)
+    root = list(range(m))
+    # per root the sets still to be searched; the heap has a valid entry for each root that has any
+    todo = [[i] for i in range(m)]
+    heap = [(1, i) for i in range(m)]
+    open_roots = m
     links = []
-    while True:
-        open_ = np.flatnonzero(todo)
-        if not len(open_):
-            break
-        groups, counts = np.unique(root[open_], return_counts=True)
-        if len(groups) == 1:
-            break
-        rest = open_[root[open_] != groups[np.argmax(counts)]]
-        q = int(rest[0])
-        todo[q] = False
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    while open_roots > 1:
+        count, r = heapq.heappop(heap)
+        if root[r] != r or len(todo[r]) != count:
+            continue
+        q = todo[r].pop()
+        if todo[r]:
+            heapq.heappush(heap, (count - 1, r))
+        else:
+            open_roots -= 1
         need = (percent * sizes[q] + 99) // 100
         mine = at[ends_of_sets[q] - sizes[q] : ends_of_sets[q]]
         mine = mine[np.argsort(lengths[mine], kind="stable")]
@@ -225,19 +240,27 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         n = lengths[short]
         ends = np.cumsum(n)
         merged = members[np.repeat(starts[short] - (ends - n), n) + np.arange(ends[-1])]
-        seen = np.bincount(merged, minlength=m)
-        fits = (100 * np.minimum(sizes, sizes[q]) >= percent * np.maximum(sizes, sizes[q])) & (root != root[q])
-        found = np.flatnonzero((seen >= need - n_long) & fits)
-        both = seen[found]
+        # only members of the merged lists are counted
+        found, both = np.unique(merged, return_counts=True)
+        fits = (both >= need - n_long) & (100 * np.minimum(sizes[found], sizes[q]) >= percent * np.maximum(sizes[found], sizes[q])) & (found != q)
+        found, both = found[fits], both[fits]
         for g in long_.tolist() if len(found) else ():
             inverted = members[starts[g] : starts[g] + lengths[g]]
             place = np.minimum(np.searchsorted(inverted, found), len(inverted) - 1)
             both = both + (inverted[place] == found)
         for other in found[100 * both >= percent * (sizes[found] + sizes[q] - both)].tolist():
-            if root[other] != root[q]:
-                links.append((q, other))
-                a, b = sorted((root[q], root[other]))
-                root[root == b] = a
+            a, b = find(q), find(other)
+            if a == b:
+                continue
+            links.append((q, other))
+            if len(todo[a]) < len(todo[b]):
+                a, b = b, a
+            open_roots -= bool(todo[b])
+            root[b] = a
+            todo[a] += todo[b]
+            todo[b] = []
+            if todo[a]:
+                heapq.heappush(heap, (len(todo[a]), a))
     return links
 
 
@@ -268,7 +291,6 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     """(rows, roots): rows (id, h, node, size), one per document, h its text hash as in ``keyed``; roots (node, root), the connected sets. Sets that link with
     no other are in no row of roots."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, id_col, text_col)
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -281,6 +303,9 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
             )
 
     rows = stored(texts.mapInArrow(names, f"id {kind}, h long, node long, size long"), "rows")
+    # a bucket of n-grams is met in one task: its size is fixed, their number follows the input
+    grams = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(grams / BUCKET))
     texts = texts.select("text")
     long_bits = spark.sparkContext.broadcast(bit_map(stored(long_lists(texts, n, LONG, buckets), "long"), "gram"))
     parts = stored(components(candidates(texts, n, percent, long_bits, buckets)), "parts")

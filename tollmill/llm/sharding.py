@@ -5,12 +5,14 @@ All rows start in one node. A node that has to hold more than one shard is split
 along the node's widest dimension, widths being taken as shares of the whole range. All nodes of a level are split together
 by three histograms of 65 536 cells over the same rows: first of the dimension, then, inside the cell that holds the cut, of
 the hash of the text, then, inside that cell, of the hash of the id. So one value with a third of all rows is cut as finely
-as any other, and copies of a text stay side by side; each histogram is summed before it is shuffled and no row moves.
+as any other, and copies of a text stay side by side; each histogram is summed before it is shuffled and no row moves. Rows
+carry how many shards their node still holds. The tables of cuts have a row per node and are written out, so Spark knows
+their size: it sends small ones to all tasks and joins larger ones by shuffle.
 
 Dimensions may be numbers (scaled by logarithm) or texts (ordered by their hash); null is the lowest value. The law that
 holds is ``bytes``: sizes are near equal. Null texts weigh 8 bytes, as empty ones do. Repeated rows are cut like others; rows
 with equal id and text fall into one shard. An empty table gives an empty result. With fewer rows than shards some
-shards stay empty.
+shards stay empty. Of very long texts only size and hashes are used; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollmill.llm.common import stored, table
+from tollmill.operators.ordering import number_rows
 
 _CELL_BITS = 16
 _CELLS = 1 << _CELL_BITS
-_ROWS_PER_SLOT_GROUP = 200_000
 
 
 def _coordinate(df: DataFrame, name: str) -> Column:
@@ -37,8 +39,8 @@ def _coordinate(df: DataFrame, name: str) -> Column:
     return F.when(F.col(name).isNotNull(), F.crc32(F.col(name).cast("string").cast("binary")) / F.lit(2.0**32))
 
 
-def points(docs: DataFrame, dims: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, size, crc, c0.., th, ih): size, checksum, cells of the dimensions, cells of the hashes of text and id."""
+def points(docs: DataFrame, dims: list[str], id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, size, crc, c0.., th, ih): size, checksum, cells of the dimensions, cells of the hashes of text and id; and the sum of sizes."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"),
@@ -48,7 +50,7 @@ def points(docs: DataFrame, dims: list[str], id_col: str, text_col: str) -> Data
     )
     base = stored(base, "points")
     edges = base.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
         *[f(f"x{i}").alias(f"{n}{i}") for i in range(len(dims)) for f, n in ((F.min, "lo"), (F.max, "hi"))],
     ).first()
     cells = []
@@ -57,7 +59,7 @@ def points(docs: DataFrame, dims: list[str], id_col: str, text_col: str) -> Data
         span = (high - low) if low is not None and high > low else 1.0
         scaled = F.floor((F.col(f"x{i}") - F.lit(low or 0.0)) / F.lit(span) * (_CELLS - 2)) + 1
         cells.append(F.coalesce(scaled, F.lit(0)).cast("int").alias(f"c{i}"))
-    return base.select("id", "size", "crc", "th", "ih", *cells), int(edges["n"]), int(edges["bytes"])
+    return base.select("id", "size", "crc", "th", "ih", *cells), int(edges["bytes"])
 
 
 def _cut(rows: DataFrame, cell: str, goal: DataFrame, prefix: list[str], last: bool = False) -> DataFrame:
@@ -69,7 +71,7 @@ def _cut(rows: DataFrame, cell: str, goal: DataFrame, prefix: list[str], last: b
     histogram = rows.groupBy("node", F.col(cell).alias("at")).agg(F.sum("size").alias("w"))
     before = W.partitionBy("node").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     below = histogram.withColumn("below", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    held = below.join(F.broadcast(goal), "node").filter(F.col("below") < F.col("want"))
+    held = below.join(goal, "node").filter(F.col("below") < F.col("want"))
     found = held.groupBy("node", *prefix).agg(F.max(F.struct("at", "below", "want", "w")).alias("m"))
     rest = F.col("m.want") - F.col("m.below")
     at = F.when(rest * 2 < F.col("m.w"), F.col("m.at") - 1).otherwise(F.col("m.at")) if last else F.col("m.at")
@@ -84,54 +86,44 @@ def kd_shards(
 
     Slots count the rows of a shard from 0, by id.
     """
-    spark = docs.sparkSession
-    rows, n, total = points(docs, dims, id_col, text_col)
+    rows, total = points(docs, dims, id_col, text_col)
     if shards is None:
         shards = max(1, math.ceil(total / target_bytes))
-    rows = rows.withColumn("node", F.lit(0))
     # node: the lowest shard it holds; leaves: how many it holds
-    leaves = {0: shards}
-    while any(k > 1 for k in leaves.values()):
-        open_nodes = spark.createDataFrame([(a, k) for a, k in leaves.items() if k > 1], "node int, leaves int")
-        spread = rows.groupBy("node").agg(
+    rows = rows.withColumns({"node": F.lit(0), "leaves": F.lit(shards)})
+    for _ in range((shards - 1).bit_length()):
+        whole = rows.filter(F.col("leaves") > 1)
+        spread = whole.groupBy("node", "leaves").agg(
             F.sum("size").alias("w"), *[(F.max(f"c{i}") - F.min(f"c{i}")).alias(f"s{i}") for i in range(len(dims))]
         )
         widest = F.greatest(*[F.col(f"s{i}") for i in range(len(dims))], F.lit(0))
         pick = F.coalesce(*[F.when(F.col(f"s{i}") == widest, F.lit(i)) for i in range(len(dims))], F.lit(0))
-        plan = spread.join(F.broadcast(open_nodes), "node").select(
-            "node", pick.alias("dim"), (F.col("w") * F.floor(F.col("leaves") / 2) / F.col("leaves")).alias("want"),
-            F.floor(F.col("leaves") / 2).cast("int").alias("left"),
-        )
-        plan = stored(plan, "nodes")
+        left = F.floor(F.col("leaves") / 2).cast("int")
+        plan = stored(spread.select("node", pick.alias("dim"), (F.col("w") * left / F.col("leaves")).alias("want"), left.alias("left")), "nodes")
         cell = F.element_at(F.array(*[F.col(f"c{i}") for i in range(len(dims))]), F.col("dim") + 1)
-        split = rows.join(F.broadcast(plan.select("node", "dim", "left")), "node").withColumn("c", cell)
+        split = whole.join(plan.select("node", "dim"), "node").withColumn("c", cell)
         goal = stored(_cut(split, "c", plan.select("node", "want"), []), "cut")
-        inside = split.join(F.broadcast(goal.select("node", "at_c")), "node").filter(F.col("c") == F.col("at_c"))
+        inside = split.join(goal.select("node", "at_c"), "node").filter(F.col("c") == F.col("at_c"))
         goal = stored(_cut(inside, "th", goal, ["at_c"]), "cut")
-        inside = split.join(F.broadcast(goal.select("node", "at_c", "at_th")), "node").filter(
+        inside = split.join(goal.select("node", "at_c", "at_th"), "node").filter(
             (F.col("c") == F.col("at_c")) & (F.col("th") == F.col("at_th"))
         )
-        goal = stored(_cut(inside, "ih", goal, ["at_c", "at_th"], last=True), "cut")
-        cuts = goal.select("node", "at_c", "at_th", "at_ih").join(plan.select("node", "dim", "left"), "node")
+        goal = _cut(inside, "ih", goal, ["at_c", "at_th"], last=True)
+        cuts = stored(goal.select("node", "at_c", "at_th", "at_ih").join(plan.select("node", "dim", "left"), "node"), "cut")
         high = F.struct("c", "th", "ih") > F.struct("at_c", "at_th", "at_ih")
-        placed = rows.join(F.broadcast(cuts), "node", "left").withColumn("c", cell)
-        rows = placed.withColumn("node", F.col("node") + F.when(high, F.coalesce("left", F.lit(0))).otherwise(F.lit(0))).select(*rows.columns)
-        rows = stored(rows, "level")  # each level reads narrow rows: plans do not nest
-        leaves = {b: m for a, k in leaves.items() for b, m in (((a, k // 2), (a + k // 2, k - k // 2)) if k > 1 else ((a, k),))}
-    rows = rows.select("id", "size", "crc", F.col("node").alias("shard"))
-    groups = max(1, n // (_ROWS_PER_SLOT_GROUP * shards))
-    return _with_slots(rows, groups)
-
-
-def _with_slots(rows: DataFrame, groups: int) -> DataFrame:
-    """Numbers the rows of each shard from 0. A shard is numbered in ``groups`` parts, each in its own task."""
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("id", "crc"), F.lit(groups)).cast("int"))
-    sizes = rows.groupBy("shard", "g").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("shard").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("shard", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(W.partitionBy("shard", "g").orderBy("id", "crc", "size")) - 1
-    numbered = rows.withColumn("place", place).join(starts, ["shard", "g"])
-    return numbered.select("id", "size", "crc", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"))
+        placed = rows.join(cuts, "node", "left").withColumn("c", cell).withColumn("high", F.coalesce(high & F.col("left").isNotNull(), F.lit(False)))
+        node = F.when(F.col("high"), F.col("node") + F.col("left")).otherwise(F.col("node"))
+        leaves = F.when(F.col("high"), F.col("leaves") - F.col("left")).otherwise(F.coalesce("left", "leaves"))
+        kept = [c for c in rows.columns if c not in ("node", "leaves")]
+        rows = stored(placed.select(*kept, node.alias("node"), leaves.alias("leaves")), "level")  # each level reads narrow rows: plans do not nest
+    return with_slots(rows.select("id", "size", "crc", F.col("node").alias("shard")))
+
+
+def with_slots(rows: DataFrame) -> DataFrame:
+    """Numbers the rows of each shard from 0 by id: rows are numbered by ranges over all shards, less those of earlier shards."""
+    numbered = number_rows(rows, ["shard", "id", "crc", "size"], "row")
+    firsts = stored(numbered.groupBy("shard").agg(F.min("row").alias("first")), "firsts")
+    return numbered.join(firsts, "shard").select("id", "size", "crc", "shard", (F.col("row") - F.col("first")).cast("long").alias("slot"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
