@@ -162,3 +162,19 @@ def test_resolve_section_among_names_with_one_beginning(spark, monkeypatch):
     assert got["no road"] is None and got["Great Northern Ring Road"] is None
     places = sum(map(len, texts))
     assert sum(f.count() for f in seen[1:]) < places and seen[-1].select(F.max(F.size("_lengths"))).head()[0] <= 4
+
+
+@pytest.mark.parametrize("ratio", [0.0005, 0.25, 0.5, 0.8, 1.0])
+def test_rank_cut_counts_instead_of_sorting(spark, ratio):
+    """A third of the rows share one key, some keys are NULL; few keys are drawn, so there are several rounds."""
+    draw = random.Random(5)
+    rows = [(None if i % 50 == 0 else 500 if i % 3 == 0 else draw.randrange(1000), draw.choice("abc")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, s string").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))[int(4000 * ratio) - 1]
+    got = spark.range(1).select(O.rank_cut(df, ["k", "s"], ratio, drawn=100).alias("c")).first()["c"]
+    assert tuple(got) == want
+
+
+def test_rank_cut_of_nothing(spark):
+    assert spark.range(1).select(O.rank_cut(spark.range(0), ["id"], 0.8).alias("c")).first()["c"] is None
+    assert spark.range(1).select(O.rank_cut(spark.range(1), ["id"], 0.8).alias("c")).first()["c"] is None

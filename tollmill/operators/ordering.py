@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,15 +52,49 @@ def cumulative_weight(df: DataFrame, order: list, w: str) -> DataFrame:
     return running_sum(df, order, w).withColumn("upper", F.col("cumulative") / total)
 
 
-def rank_cut(df: DataFrame, keys: list[str], ratio: float) -> Column:
-    """The key at position ``floor(n * ratio)`` as a struct, NULL when that is position 0."""
-    numbered = number_rows(df.select(*keys), keys)
-    at = int(numbered.count() * ratio)
-    return numbered.filter(F.col("_row") == at).select(F.struct(*keys)).scalar()
+def rank_cut(df: DataFrame, keys: list[str], ratio: float, drawn: int = 10_000) -> Column:
+    """The key at position ``floor(n * ratio)`` as a struct, NULL when that is position 0. Nothing is sorted but samples.
+
+    About ``drawn`` keys are drawn in each round; two of them enclose the position but for bad luck. Counts of the keys below
+    and up to each say where it lies, and only the keys in that part are looked at again. They no longer hold
+    the two, so a key shared by any share of the rows ends the search or leaves it.
+    """
+    key = F.struct(*keys)
+    rest = df.select(*keys)
+    n = rest.count()
+    at = int(n * ratio)
+    if at == 0:
+        return rest.filter(F.lit(False)).select(key).scalar()
+    seed = 0
+    while n > drawn:
+        seed += 1
+        sample = freeze(rest.sample(drawn / n, seed).select(key.alias("k")))
+        m = sample.count()
+        if m == 0:
+            continue
+        place, reach = at * m / n, 2 * m**0.5  # four standard deviations at least
+        ends = [max(1, math.floor(place - reach)), min(m, math.ceil(place + reach))]
+        ranked = sample.withColumn("r", F.row_number().over(W.orderBy("k"))).filter(F.col("r").isin(ends))
+        edges = freeze(ranked.agg(F.min("k").alias("lo"), F.max("k").alias("hi")))
+        lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+        sides = (key < lo, key <= lo, key < hi, key <= hi)
+        below_lo, upto_lo, below_hi, upto_hi = rest.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(sides)]).first()
+        if below_lo < at <= upto_lo:
+            return lo
+        if below_hi < at <= upto_hi:
+            return hi
+        if at <= below_lo:
+            part, n = key < lo, below_lo
+        elif at <= below_hi:
+            part, at, n = (key > lo) & (key < hi), at - upto_lo, below_hi - upto_lo
+        else:
+            part, at, n = key > hi, at - upto_hi, n - upto_hi
+        rest = freeze(rest.filter(part))
+    return freeze(rest.select(key.alias("k")).orderBy("k").offset(at - 1).limit(1)).scalar()
 
 
 def first_part(df: DataFrame, keys: list[str], ratio: float) -> Column:
-    """Whether a row is among the first ``floor(n * ratio)`` in key order. Only the keys are sorted; the rows stay."""
+    """Whether a row is among the first ``floor(n * ratio)`` in key order. The key at the cut is found by counting; the rows stay."""
     return F.coalesce(F.struct(*keys) <= rank_cut(df, keys, ratio), F.lit(False))
 
 
@@ -121,8 +157,10 @@ def top_k(df: DataFrame, col: str, k: int = 10) -> DataFrame:
 def top_fraction(df: DataFrame, order: list, part: int = 5, cap: int | None = None) -> DataFrame:
     """The best ``n // part`` rows, or ``cap`` of them where the report has a largest size."""
     size = df.count() // part
+    if cap is not None:
+        return df.orderBy(*order).limit(min(size, cap))
     numbered = number_rows(df, order)
-    return numbered.filter(F.col("_row") <= (size if cap is None else min(size, cap))).drop("_row")
+    return numbered.filter(F.col("_row") <= size).drop("_row")
 
 
 def chunk_of(df: DataFrame, order: list, size: int, name: str = "chunk") -> DataFrame:

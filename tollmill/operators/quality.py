@@ -219,7 +219,7 @@ def iterative_weights(
 ) -> DataFrame:
     """Re-weights the first part of the rows by class share and score; the rest keeps weight 1.
 
-    Only the order columns are sorted, to find the key at the cut; all rows are compared with it where they are.
+    The key at the cut is found by counting the order columns; all rows are compared with it where they are.
     Rows that are equal in the order columns are on one side.
     """
     scored = df if "n_issues" in df.columns else check_rules(df)

@@ -9,13 +9,15 @@ from tollmill.operators.filters import trucks_only
 from tollmill.plans.registry import TRUCKS, query, sql_noisy, sql_uniform
 
 K = 5
-_CLASSED = f"""
+_OWN = f"""
     o as (select *, cast(right(regexp_replace(section_id, '[^0-9]', '', 'g'), 10) as bigint) as code,
                  hour(exit_time) + minute(exit_time) / 60.0::double as tod
-          from v_exit where vehicle_class in {TRUCKS}),
+          from v_exit where vehicle_class in {TRUCKS})"""
+_CHUNKS = f"""{_OWN},
     n as (select *, row_number() over (order by code, tod, exit_transaction_id) as rn, count(*) over () as total from o),
     b as (select *, cast(least(floor((rn - 1) / {K}), greatest(floor(total / {K}) - 1, 0)) as bigint) as bucket,
-                 left(regexp_replace(section_id, '[^0-9]', '', 'g'), 3) as prefix from n),
+                 left(regexp_replace(section_id, '[^0-9]', '', 'g'), 3) as prefix from n)"""
+_LABELS = """
     pc as (select bucket, prefix, count(*) as c from b group by 1, 2),
     pr as (select *, row_number() over (partition by bucket order by c desc, prefix) as r, count(*) over (partition by bucket) as np from pc),
     h as (select bucket, cast(min(hour(exit_time)) as int) as lo, cast(max(hour(exit_time)) as int) as hi, count(*) as class_size from b group by 1),
@@ -24,6 +26,32 @@ _CLASSED = f"""
                                                   when lo < 18 then '下午时段(12-18)' else '晚上时段(18-24)' end
                       else '时段(' || lpad(cast(lo as varchar), 2, '0') || '-' || lpad(cast(hi as varchar), 2, '0') || ')' end as time_period
           from h join pr on h.bucket = pr.bucket and r = 1)"""
+_CLASSED = f"{_CHUNKS}, {_LABELS}"
+
+
+def _split_sql(k: int) -> str:
+    """The classes of recursive splits: points (code, tod) with their way, a letter a round."""
+    off = "abs(2 * {0}_upto - total)"
+    fits = f"{{0}}_upto >= {k} and total - {{0}}_upto >= {k}"
+    best = f"min(case when {fits} then row({off}, {{0}}) end) over (partition by way)"
+    return f"""{_OWN},
+    p0 as (select coalesce(code, 0)::double as code, coalesce(tod, 0)::double as tod, count(*) as n from o group by 1, 2),
+    spans as (select max(code) - min(code) as code_span, max(tod) - min(tod) as tod_span from p0),
+    ways as (
+      select code, tod, n, '' as way from p0
+      union all
+      select code, tod, n, way || case when along_code and code > code_cut or not along_code and tod > tod_cut then '1' else '0' end
+      from (select *, code_best[2] as code_cut, tod_best[2] as tod_cut,
+                   code_best is not null and (tod_best is null or coalesce(code_wide / nullif(code_span, 0), 0) >= coalesce(tod_wide / nullif(tod_span, 0), 0)) as along_code
+            from (select *, {best.format('code')} as code_best, {best.format('tod')} as tod_best
+                  from (select *, sum(n) over (partition by way order by code) as code_upto, sum(n) over (partition by way order by tod) as tod_upto,
+                               sum(n) over (partition by way) as total, max(code) over (partition by way) - min(code) over (partition by way) as code_wide,
+                               max(tod) over (partition by way) - min(tod) over (partition by way) as tod_wide from ways)), spans)
+      where code_best is not null or tod_best is not null),
+    last as (select code, tod, max_by(way, length(way)) as bucket from ways group by 1, 2),
+    b as (select o.*, bucket, left(regexp_replace(section_id, '[^0-9]', '', 'g'), 3) as prefix
+          from o join last on coalesce(o.code, 0) = last.code and coalesce(o.tod, 0) = last.tod),
+    {_LABELS}"""
 
 
 def _trucks(v):
@@ -47,6 +75,15 @@ def pv4(v):
     return P.k_anonymize(_trucks(v), k=K)
 
 
+@query("pv4_k_anonymize_split", f"""
+    with {_split_sql(K)}
+    select b.bucket, section_region, time_period, vehicle_class, axis_count, total_limit, total_weight,
+           cast(toll_money as double) as toll_money, cast(real_money as double) as real_money, discount_type, true as k_anonymized
+    from b join g on b.bucket = g.bucket""", recursive=True)
+def pv4_split(v):
+    return P.k_anonymize_split(_trucks(v), k=K)
+
+
 @query("pv5_generalize_region", f"with {_CLASSED} select bucket, section_region from g")
 def pv5(v):
     classed = P.chunk_classes(_trucks(v), K, "section_id", "exit_time", "exit_transaction_id")

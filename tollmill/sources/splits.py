@@ -21,8 +21,8 @@ def split_random(df: DataFrame, ratio: float = 0.8, seed: int = 42) -> tuple[Dat
 def split_head(df: DataFrame, key: str | list[str], ratio: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """The first ``floor(n * ratio)`` rows in key order, and the rest. The key must be unique.
 
-    Only the key columns are sorted to find the row at the cut; the rows themselves
-    are then divided by a plain comparison and never move.
+    The key at the cut is found by counting (``rank_cut``); the rows themselves are then divided
+    by a plain comparison and never move.
     """
     keys = [key] if isinstance(key, str) else list(key)
     head = first_part(df, keys, ratio)
