@@ -139,3 +139,27 @@ def test_isolation_forest_flags_planted_rows(views):
     assert first == values(marked(ref.repartition(13)), "gantry_transaction_id", "isolation_score", "isolation_anomalous")
     assert abs(sum(r[2] for r in first) / len(first) - 0.1) < 0.01
     assert marked(ref.limit(0)).count() == 0 and not I.isolation_anomaly(odd, ref.limit(0), columns, "gantry_transaction_id").filter("isolation_anomalous").count()
+
+
+def test_isolation_forest_walks_like_its_rows(spark):
+    """The summed way of each row is that of a walk from node to node; list functions are not on the row path."""
+    from tollmill.operators import forest as I
+
+    draw = random.Random(7)
+    rows = [(f"k{i}", draw.choice([0.0, 1.0, float(i), 1e300]), draw.gauss(0, 1), 5.0) for i in range(700)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, c double").repartition(3)
+    nodes = I.grow(I.draw_samples(df, "k", ["a", "b", "c"], 6, 40), 3, 40)
+    walked = I.with_way(df, I.as_arrays(nodes, 40), [F.col(c) for c in "abc"], "way")
+    assert "lambda" not in walked._jdf.queryExecution().executedPlan().toString() and walked.columns == [*df.columns, "way"]
+    trees = {(r["tree"], r["node"]): r for r in nodes.collect()}
+
+    def way(x):
+        total = 0
+        for tree in range(6):
+            node = 1
+            while (tree, node) in trees and trees[tree, node]["feature"] >= 0:
+                node = node * 2 + (x[trees[tree, node]["feature"]] >= trees[tree, node]["cut"])
+            total += trees[tree, node]["way"] if (tree, node) in trees else (node.bit_length() - 1) * I.UNIT
+        return total
+
+    assert values(walked, "k", "way") == sorted([(k, way(x)) for k, *x in rows], key=repr)

@@ -6,15 +6,19 @@ log2(size) levels; all trees grow together, a level a round. A node takes the fi
 beginning with one drawn by digest, and cuts it at a drawn share of its range. Nothing depends on how rows are partitioned.
 
 The length of a row's way to its leaf, plus the mean way that would be left among the leaf's rows, is kept in millionths, so
-sums over trees are exact. Short ways mean odd rows.
+sums over trees are exact. Short ways mean odd rows. Rows walk through the trees in numpy, batch by batch where they are:
+as list functions the same steps are interpreted one by one.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tollmill.operators.profiling import exact_percentiles, unpivot
@@ -22,6 +26,7 @@ from tollmill.functions.cleaning import stable_uniform
 from tollmill.session import freeze
 
 TREES, SIZE, UNIT = 100, 256, 1_000_000
+_CHUNK = 500  # rows that walk together, so that their nodes stay in the processor's cache
 
 
 def mean_way(n: int) -> int:
@@ -69,36 +74,59 @@ def grow(samples: DataFrame, width: int, size: int = SIZE, seed: int = 42) -> Da
     return done
 
 
-def as_arrays(nodes: DataFrame, size: int = SIZE) -> Column:
-    """The forest as one value: per tree its features, cuts and ways by node. A node that no sample reached is a leaf."""
-    places = 1 << (max(1, math.ceil(math.log2(size))) + 1)
-    every = F.sequence(F.lit(0), F.lit(places - 1))
-    by_tree = nodes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("feature", "cut", "way")))).alias("m"))
-    level = lambda i: F.floor(F.log2(F.greatest(i, F.lit(1)).cast("double"))).cast("long")
-    tree = F.struct(
-        F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i)["feature"], F.lit(-1))).alias("feature"),
-        F.transform(every, lambda i: F.try_element_at("m", i)["cut"]).alias("cut"),
-        F.transform(every, lambda i: F.coalesce(F.try_element_at("m", i)["way"], level(i) * UNIT)).alias("way"),
-    )
-    return freeze(by_tree.select("tree", tree.alias("t"))).agg(F.array_sort(F.collect_list(F.struct("tree", "t"))).alias("trees")).select("trees").scalar()
+def as_arrays(nodes: DataFrame, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forest as tables of tree and node: features, cuts and, for the deepest level, ways.
 
-
-def with_way(df: DataFrame, forest: Column, features: list[Column], name: str, size: int = SIZE) -> DataFrame:
-    """Adds the summed length of each row's ways through all trees."""
-    steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(size)))))
-
-    def way(x):
-        def below(node, tree):
-            feature = tree["t"]["feature"][node]
-            right = F.when(x[feature] >= tree["t"]["cut"][node], 1).otherwise(0)
-            return F.when(feature < 0, node).otherwise(node * 2 + right)
-
-        leaf = lambda tree: F.aggregate(steps, F.lit(1), lambda node, _: below(node, tree))
-        return F.aggregate("_trees", F.lit(0).cast("long"), lambda total, tree: total + tree["t"]["way"][leaf(tree)])
-
-    # the features are bound once a row, not computed anew at every step
-    x = F.array(F.array(*[f.cast("double") for f in features]))
-    return df.withColumn("_trees", forest).withColumn(name, F.transform(x, way)[0]).drop("_trees")
+    It holds ``2 * trees * size`` nodes at most, whatever the table's size. Every way is led down to the deepest level: both
+    sides of a leaf have its way, so a walk has the same steps for every row and tree. A node that no sample reached is a leaf.
+    """
+    found = nodes.collect()
+    deepest = max(1, math.ceil(math.log2(size)))
+    shape = (max((r["tree"] for r in found), default=-1) + 1, 2 << deepest)
+    feature, cut, way = np.zeros(shape, np.int64), np.zeros(shape), np.zeros(shape, np.int64)
+    known, leaf = np.zeros(shape, bool), np.ones(shape, bool)
+    for r in found:
+        at = r["tree"], r["node"]
+        known[at], way[at], leaf[at] = True, r["way"], r["feature"] < 0
+        if r["feature"] >= 0:
+            feature[at], cut[at] = r["feature"], r["cut"]
+    for node in range(2, shape[1]):
+        above, level = node // 2, node.bit_length() - 1
+        way[:, node] = np.where(leaf[:, above], way[:, above], np.where(known[:, node], way[:, node], level * UNIT))
+    return feature, cut, way[:, shape[1] // 2:]
+
+
+def with_way(df: DataFrame, forest: tuple[np.ndarray, np.ndarray, np.ndarray], features: list[Column], name: str) -> DataFrame:
+    """Adds the summed length of each row's ways through all trees. Batches of rows take one step in all trees at a time."""
+    feature, cut, way = forest
+    trees, leaves = way.shape
+    width, steps = len(features), leaves.bit_length() - 1
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        """The ways of rows whose features are the columns of x; nodes are numbered through all trees."""
+        n = x.shape[1]
+        column = (np.arange(trees) * (2 * leaves))[:, None]
+        features, cuts, ways, values, row = feature.ravel() * n, cut.ravel(), way.ravel(), x.ravel(), np.arange(n)
+        node = np.ones((trees, n), np.int64)
+        for _ in range(steps):
+            at = node + column
+            place = features.take(at)
+            place += row
+            node *= 2
+            node += values.take(place) >= cuts.take(at)
+        node += (np.arange(trees) * leaves - leaves)[:, None]
+        return ways.take(node).sum(axis=0)
+
+    def walk(batches):
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)])
+            sums = [summed(np.ascontiguousarray(x[:, i : i + _CHUNK])) for i in range(0, x.shape[1], _CHUNK)]
+            total = pa.array(np.concatenate([np.zeros(0, np.int64), *sums]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[width:], total], names=names)
+
+    names = [*df.columns, name]
+    rows = df.select(*[f.cast("double").alias(f"_x{i}") for i, f in enumerate(features)], *df.columns)
+    return rows.mapInArrow(walk, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def isolation_anomaly(
@@ -114,9 +142,9 @@ def isolation_anomaly(
     numbers = ref.select(F.col(key).alias("_key"), *[c.alias(n) for n, c in sound.items()])
     samples = draw_samples(numbers, "_key", list(sound), trees, size, seed)
     forest = as_arrays(grow(samples, len(sound), size, seed), size)
-    known = freeze(with_way(numbers, forest, [F.col(n) for n in sound], "_way", size).select("_way"))
+    known = freeze(with_way(numbers, forest, [F.col(n) for n in sound], "_way").select("_way"))
     limit = exact_percentiles(unpivot(known, {"way": F.col("_way").cast("double")}, "double"), [contamination]).select("percentile").scalar()
-    scored = with_way(df, forest, list(sound.values()), "_way", size).withColumn("_limit", limit)
+    scored = with_way(df, forest, list(sound.values()), "_way").withColumn("_limit", limit)
     mean = F.lit(float(max(1, mean_way(size)) * trees))
     kept = scored.withColumn(way, F.col("_way")) if way else scored
     return kept.withColumns({
