@@ -142,6 +142,21 @@ def test_trace_tree_keeps_calls_below_a_shared_id(spark):
     assert {i for i, _, _ in got} == {1, 2, 3, 4, 5, 6} and len(got) == 8
 
 
+def test_trace_ways_lists_every_way(spark):
+    """Two ways of one length to a call, a longer one, a circle below a root, one beside it, and an own parent."""
+    rows = [(1, "p", None), (2, "x", "p"), (3, "y", "p"), (4, "t", "x"), (5, "t", "y"), (6, "end", "t"), (7, "end", "p"), (8, "p", "x")]
+    rows += [(20, "a", "b"), (21, "b", "a"), (30, "own", "own"), (31, "own", "lost"), (32, None, "p")]
+    got = values(U.trace_ways(spark.createDataFrame(rows, LOG)), "id", "root", "depth", "path")
+    again = ["p>x", "p>y", "p>x>t", "p>y>t", "p>x>t>end", "p>y>t>end", "p>end"]
+    assert (6, "p", 3, "p>x>t>end") in got and (6, "p", 3, "p>y>t>end") in got and (7, "p", 1, "p>end") in got
+    assert {p for _, r, _, p in got if r == "p"} >= set(again) | {"p", "p>x>p", "p>x>p>y>t>end"}
+    assert [r for r in got if r[0] == 8] == [(8, "p", 2, "p>x>p")]
+    assert [r[1:] for r in got if r[0] in (20, 21)] == [(None, None, None)] * 2
+    assert [r[1:] for r in got if r[0] in (30, 31)] == [("own", 0, "own")] * 2 and not [r for r in got if r[0] == 32]
+    kept = values(U.trace_tree(spark.createDataFrame(rows, LOG)), "id", "root", "depth")
+    assert {r[:2] for r in kept} == {r[:2] for r in got} and len(got) > len(kept)
+
+
 def test_match_tags_default(spark):
     queries = spark.createDataFrame([("查询超载情况",), ("hello",)], "query string")
     got = values(J.match_tags(queries), "query", "tag")

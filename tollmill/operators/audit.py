@@ -138,6 +138,47 @@ def _reach(pairs: DataFrame, with_path: bool) -> DataFrame:
         near = near.unionByName(fresh)
 
 
+def _every_way(pairs: DataFrame) -> DataFrame:
+    """(node, up, top, depth, path): all ways from the roots down to each pair (node, up), a step a round.
+
+    A way takes no pair twice, so circles end; it may come to an id again by another pair. The number of ways is that of
+    the result: ids that many calls share multiply it at each level.
+    """
+    step = F.struct("node", "up")
+    level = pairs.filter(F.col("up").isNull()).select("node", "up", F.col("node").alias("top"), F.array("node").alias("path"), F.array(step).alias("taken"))
+    edges, every = pairs.filter(F.col("up").isNotNull()), level
+    while True:
+        above = level.select(F.col("node").alias("up"), "top", "path", "taken")
+        grown = edges.join(above, "up").filter(~F.array_contains("taken", step))
+        level = freeze(grown.select("node", "up", "top", F.concat("path", F.array("node")).alias("path"), F.concat("taken", F.array(step)).alias("taken")))
+        if level.isEmpty():
+            return every.select("node", "up", "top", (F.size("path") - 1).alias("depth"), "path")
+        every = every.unionByName(level)
+
+
+def trace_ways(log: DataFrame) -> DataFrame:
+    """Every call with all its ways from its roots: one row per call and way, with root, depth and path (of ids, from the root).
+
+    Roots, circles and calls without an id are as in ``trace_tree``, which keeps the shortest of these ways for each root
+    and does not list the others; calls that only circles reach come once, with root NULL.
+    """
+    calls = _with_up(log)
+    pairs = freeze(calls.select(F.col("trace_id").alias("node"), F.col("_up").alias("up")).distinct())
+    ways = _every_way(pairs).select(
+        F.col("node").alias("_node"), F.col("up").alias("_above"), F.col("top").alias("root"), "depth", F.array_join("path", ">").alias("path")
+    )
+    placed = calls.join(ways, (F.col("trace_id") == F.col("_node")) & F.col("_up").eqNullSafe(F.col("_above")), "left")
+    return placed.select(*log.columns, "root", "depth", "path")
+
+
+def _with_up(log: DataFrame) -> DataFrame:
+    """The calls that have an id, with ``_up``: their parent's id, NULL where that is not in the log or is their own."""
+    calls = log.filter(F.col("trace_id").isNotNull())
+    known = calls.select(F.col("trace_id").alias("_known")).distinct()
+    calls = calls.join(known, F.col("parent_trace_id") == F.col("_known"), "left")
+    return calls.withColumn("_up", F.when(F.col("_known") != F.col("trace_id"), F.col("_known"))).drop("_known")
+
+
 def trace_tree(log: DataFrame, trace_id: str | None = None, with_path: bool = True) -> DataFrame:
     """Every call with its roots: one row per call and root, with depth and path (of ids, from the root) of the shortest way.
 
@@ -145,15 +186,11 @@ def trace_tree(log: DataFrame, trace_id: str | None = None, with_path: bool = Tr
     calls share can be a root and a child at once, and a call can lie below another call of its own id. Of ways of one length the first in path order counts. Calls that only
     circles reach have no root: they come once, with root NULL. A requested trace starts its own tree wherever it hangs,
     and only that tree comes back. Sorted by path, the rows are the nested tree in reading order. Calls without an id
-    are left out; without ``with_path`` the path is NULL.
+    are left out; without ``with_path`` the path is NULL. ``trace_ways`` lists all ways.
     """
-    calls = log.filter(F.col("trace_id").isNotNull())
-    known = calls.select(F.col("trace_id").alias("_known")).distinct()
-    calls = calls.join(known, F.col("parent_trace_id") == F.col("_known"), "left")
-    up = F.when(F.col("_known") != F.col("trace_id"), F.col("_known"))
+    calls = _with_up(log)
     if trace_id is not None:
-        up = F.when(F.col("trace_id") != trace_id, up)
-    calls = calls.withColumn("_up", up).drop("_known")
+        calls = calls.withColumn("_up", F.when(F.col("trace_id") != trace_id, F.col("_up")))
     pairs = freeze(calls.select(F.col("trace_id").alias("node"), F.col("_up").alias("up")).distinct())
     if trace_id is not None:
         pairs = pairs.filter(F.col("up").isNotNull() | (F.col("node") == trace_id))

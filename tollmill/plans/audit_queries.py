@@ -117,9 +117,10 @@ def _shared(v):
     )
 
 
-@query("a43_trace_tree_shared", _SHARED_TREE + " select * from rows", recursive=True)
+@query("a43_trace_tree_shared", _SHARED_TREE + """
+    select c.id, c.trace_id, root, depth, path from c left join tree on c.trace_id = tree.node and c.up is not distinct from tree.up""", recursive=True)
 def a43_shared(v):
-    return U.trace_tree(_shared(v)).select("id", "trace_id", "root", "depth", "path")
+    return U.trace_ways(_shared(v)).select("id", "trace_id", "root", "depth", "path")
 
 
 @query("a43_trace_summary_shared", _SHARED_TREE + """
