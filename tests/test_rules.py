@@ -133,3 +133,11 @@ def test_identical_tables_are_fully_similar(frame):
 def test_fee_task_falls_back_to_the_usual_ratio(frame):
     got = E.task_fee(frame([sample(pay_fee=1100, fee_mileage="10000")], SAMPLE_SCHEMA)).head()
     assert got["accuracy"] == 1.0 and got["samples_evaluated"] == 1
+
+
+def test_appended_scores_go_through_the_rules_once(spark, views):
+    """Both parts of s2_append_recovered read the stored numbers; neither is a filter over the rules."""
+    from tollmill.plans import quality_queries
+
+    plan = quality_queries.s2(views)._jdf.queryExecution().executedPlan().toString()
+    assert "timestampdiff" not in plan and plan.count("lineitem") == 0
