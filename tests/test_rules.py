@@ -135,6 +135,19 @@ def test_fee_task_falls_back_to_the_usual_ratio(frame):
     assert got["accuracy"] == 1.0 and got["samples_evaluated"] == 1
 
 
+def test_by_weight_spreads_rows_of_one_weight(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") < 5, 2.0).otherwise(1.0).alias("_quality_weight"), F.create_map(F.lit("a"), "id").alias("m"))
+    ranked = Q.by_weight(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = ranked.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranked.columns == rows.columns and max(r["count"] for r in parts) < 2000
+    got = [(r["id"], r["_quality_weight"]) for r in ranked.collect()]
+    assert {i for i, _ in got[:5]} == set(range(5)) and sorted(i for i, _ in got) == list(range(4000))
+
+
 def test_appended_scores_go_through_the_rules_once(spark, views):
     """Both parts of s2_append_recovered read the stored numbers; neither is a filter over the rules."""
     from tollmill.plans import quality_queries

@@ -232,8 +232,9 @@ def iterative_weights(
 
 
 def by_weight(df: DataFrame) -> DataFrame:
-    """All rows, the heaviest first."""
-    return df.orderBy(F.desc("_quality_weight"))
+    """All rows, the heaviest first. Rows of one weight, which are many, are ordered by a hash, so that no task gets them all."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.withColumn("_spread", F.xxhash64(*plain)).orderBy(F.desc("_quality_weight"), "_spread").drop("_spread")
 
 
 def quality_tier(df: DataFrame) -> DataFrame:
