@@ -1,6 +1,7 @@
 """Row numbers, percentiles and traces on skewed and awkward data."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -193,3 +194,13 @@ def test_rank_cut_counts_instead_of_sorting(spark, ratio):
 def test_rank_cut_of_nothing(spark):
     assert spark.range(1).select(O.rank_cut(spark.range(0), ["id"], 0.8).alias("c")).first()["c"] is None
     assert spark.range(1).select(O.rank_cut(spark.range(1), ["id"], 0.8).alias("c")).first()["c"] is None
+
+
+def test_rank_cut_of_a_wide_key(spark):
+    """A key of sixteen columns that are worked out: the plan's inferred conditions must not double with each of them."""
+    df = spark.range(3000).select(*[((F.col("id") * 7919) % 3001 + i).alias(f"c{i}") for i in range(16)])
+    names = df.columns
+    want = sorted(tuple((x * 7919) % 3001 + i for i in range(16)) for x in range(3000))[1499]
+    begun = time.monotonic()
+    assert tuple(spark.range(1).select(O.rank_cut(df, names, 0.5, drawn=1000).alias("c")).first()["c"]) == want
+    assert time.monotonic() - begun < 100

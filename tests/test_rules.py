@@ -148,6 +148,25 @@ def test_by_weight_spreads_rows_of_one_weight(spark):
     assert {i for i, _ in got[:5]} == set(range(5)) and sorted(i for i, _ in got) == list(range(4000))
 
 
+def test_iterative_weights_of_each_class_and_score(frame):
+    """Weights by hand for both classes and four numbers of issues, and for a head without trucks."""
+    bad = [{}, {"axle_count": "3"}, {"axle_count": "3", "discount_fee": 9999}, {"axle_count": "3", "discount_fee": 9999, "entrance_time": None}]
+    truck = [{}, {"discount_fee": 9999}, {"discount_fee": 9999, "entrance_time": None}, {"discount_fee": 9999, "entrance_time": None, "total_weight": "99999"}]
+    rows = [sample(gantry_transaction_id=f"P{i}", **c) for i, c in enumerate(bad * 3)] + [sample(gantry_transaction_id=f"T{i}", vehicle_type="12", **c) for i, c in enumerate(truck)]
+
+    def want(start, n):
+        for _ in range(5):
+            start = min(3.0, max(0.1, start * (1.1 if n <= 1 else 0.9 if n >= 3 else 1.0)))
+        return round(start, 9)
+
+    got = Q.iterative_weights(frame(rows, SAMPLE_SCHEMA), order=["gantry_transaction_id"], head=1.0)
+    for r in got.collect():
+        start = min(3.0, 0.6 / (4 / 16)) if r["vehicle_type"] == "12" else 0.4 / (12 / 16)
+        assert round(r["_quality_weight"], 9) == want(start, r["n_issues"])
+    alone = Q.iterative_weights(frame(rows[:4], SAMPLE_SCHEMA), order=["gantry_transaction_id"], head=1.0)
+    assert [round(r["_quality_weight"], 9) for r in alone.orderBy("gantry_transaction_id").collect()] == [want(0.4, n) for n in range(4)]
+
+
 def test_appended_scores_go_through_the_rules_once(spark, views):
     """Both parts of s2_append_recovered read the stored numbers; neither is a filter over the rules."""
     from tollmill.plans import quality_queries

@@ -17,6 +17,7 @@ from tollmill.functions.cleaning import (
 from tollmill.functions.vehicles import axle_limit, expected_axles, freight_class, lookup, passenger_code, truck_code
 from tollmill.operators.ordering import first_part, top_k
 from tollmill.operators.relational import repair_section
+from tollmill.session import freeze
 
 
 def field(df: DataFrame, name: str, default=None) -> Column:
@@ -187,22 +188,22 @@ def recover(df: DataFrame, gantry_map: DataFrame | None = None, media_text: bool
     return kept.withColumn("_recovered", F.col("_n_before") > 2).drop("_n_before")
 
 
-def class_weight(counts: Column, targets: dict) -> Column:
-    """min(3, target share / current share) from a struct of truck and total row counts."""
-    kind = freight_class(F.col("vehicle_type"))
+def class_weight(counts: Column, targets: dict, kind: Column) -> Column:
+    """min(3, target share / current share) from a struct of truck and total row counts; a class without rows has no share."""
     mine = F.when(kind == K.TRUCK, counts["trucks"]).otherwise(counts["total"] - counts["trucks"])
     target = F.coalesce(lookup(targets, kind), F.lit(0.5))
-    return F.least(target / (mine / counts["total"]), F.lit(3.0))
+    return F.least(target / F.nullif(mine / F.nullif(counts["total"], F.lit(0)), F.lit(0.0)), F.lit(3.0))
 
 
-def class_counts(df: DataFrame) -> Column:
+def class_counts(df: DataFrame) -> DataFrame:
+    """One row with the struct ``_counts``: truck and total row counts."""
     truck = F.when(freight_class(F.col("vehicle_type")) == K.TRUCK, 1)
-    return df.agg(F.struct(F.count(truck).alias("trucks"), F.count(F.lit(1)).alias("total"))).scalar()
+    return df.agg(F.struct(F.count(truck).alias("trucks"), F.count(F.lit(1)).alias("total")).alias("_counts"))
 
 
 def static_weights(df: DataFrame, targets: dict | None = None) -> DataFrame:
-    weight = class_weight(F.col("_counts"), targets or K.CLASS_TARGET)
-    return df.withColumn("_counts", class_counts(df)).withColumn("_quality_weight", weight).drop("_counts")
+    weight = class_weight(F.col("_counts"), targets or K.CLASS_TARGET, freight_class(F.col("vehicle_type")))
+    return df.withColumn("_counts", class_counts(df).scalar()).withColumn("_quality_weight", weight).drop("_counts")
 
 
 def reinforced(weight: Column, n_issues: Column, rounds: int = 5, lr: float = 0.1) -> Column:
@@ -224,11 +225,17 @@ def iterative_weights(
     """
     scored = df if "n_issues" in df.columns else check_rules(df)
     scored = scored.withColumn("_first", first_part(scored, order or df.columns, head))
-    first = F.col("_first")
-    start = class_weight(F.col("_counts"), targets or K.CLASS_TARGET)
-    weighted = scored.withColumn("_counts", class_counts(scored.filter(first))).withColumn("_start", start)
-    weight = reinforced(F.col("_start"), F.col("n_issues"), rounds, lr)
-    return weighted.withColumn("_quality_weight", F.when(first, weight).otherwise(1.0)).drop("_first", "_counts", "_start")
+    first, n, kind = F.col("_first"), F.col("n_issues"), freight_class(F.col("vehicle_type"))
+    # a weight follows from the class and one of three ranges of issues, so the rounds are gone through once for each
+    kinds, issues = (K.TRUCK, K.PASSENGER), (1, 2, 3)
+    counted = freeze(class_counts(scored.filter(first)))
+    cells = [
+        reinforced(class_weight(F.col("_counts"), targets or K.CLASS_TARGET, F.lit(k)), F.lit(i), rounds, lr)
+        for k in kinds for i in issues
+    ]
+    cell = F.when(kind == K.TRUCK, 0).otherwise(len(issues)) + F.when(n <= 1, 0).when(n >= 3, 2).otherwise(1)
+    weights = counted.select(F.array(*cells)).scalar()
+    return scored.withColumn("_quality_weight", F.when(first, F.get(weights, cell)).otherwise(1.0)).drop("_first")
 
 
 def by_weight(df: DataFrame) -> DataFrame:
