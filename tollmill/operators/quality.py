@@ -251,7 +251,8 @@ def quality_tier(df: DataFrame) -> DataFrame:
 
 def tier_summary(df: DataFrame) -> DataFrame:
     """Rows and per cent of each tier."""
-    counts = quality_tier(df).groupBy("tier").agg(F.count(F.lit(1)).alias("cnt"))
+    # a row per tier, which the total reads again
+    counts = freeze(quality_tier(df).groupBy("tier").agg(F.count(F.lit(1)).alias("cnt")))
     total = counts.agg(F.sum("cnt")).scalar()
     return counts.withColumn("percentage", F.col("cnt") * 100.0 / total)
 
