@@ -94,6 +94,39 @@ def test_sets_too_small_to_link_are_no_candidates(documents):
     assert jaccard.candidates(documents(small), 4, 85, bits, 8).count() == 0
 
 
+def test_sets_are_searched_only_where_rare_grams_meet(documents, monkeypatch):
+    """Each text shares a phrase with one other, but its rarest n-grams are its own: none is sent in full."""
+    texts = [" ".join([f"p{i // 2}x{k}" for k in range(8)] + [f"w{i}y{k}" for k in range(60)]) for i in range(200)]
+    searched, tasks = [], jaccard._tasks
+    monkeypatch.setattr(jaccard, "_tasks", lambda rows, parts, *a: (searched.append(parts.count()), tasks(rows, parts, *a))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(documents(texts)).collect()}
+    assert got == brute(dict(enumerate(texts))) and searched == [0]
+
+
+def test_levels_follow_counts(documents):
+    texts = [f"once {i} {i + 1} {i + 2}" for i in range(20)] + ["both a b c"] * 2 + ["four a b c"] * 4 + ["many a b c"] * 17
+    texts = documents([f"{t} own{i}" for i, t in enumerate(texts)]).select("text")
+    maps = jaccard.level_maps(texts, 4, 100, 8)
+    told = {
+        t: jaccard.levels_of(jaccard.gram_sets([f"{t}".encode()], 4)[0], maps).tolist()
+        for t in ("once 3 4 5", "both a b c", "four a b c", "many a b c", "a b c own20", "not in any text")
+    }
+    assert list(told.values()) == [[0], [1], [2], [3], [0], [0]]
+
+
+def test_keys_grow_with_the_number_of_grams():
+    """Chance alone must not make n-grams of large corpora look frequent: 64 keys for each."""
+    assert all(jaccard._key_bits(g) >= np.log2(g) + 6 for g in (10**6, 10**8, 15 * 10**8, 10**11))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_full_maps_change_no_result(documents, monkeypatch, percent):
+    texts = corpus(7)
+    plain = sorted(jaccard.join_components(documents(texts), percent=percent).collect())
+    monkeypatch.setattr(jaccard, "level_maps", lambda *a: [np.full(8192, 255, np.uint8)] * 5)
+    assert sorted(jaccard.join_components(documents(texts), percent=percent).collect()) == plain
+
+
 def test_query_returns_its_columns(spark):
     from tests.conftest import DATA
 

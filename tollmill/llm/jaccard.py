@@ -5,10 +5,13 @@ members shares at least T = ceil(percent * n / 100) of them. DivideSkip sets asi
 long ones, and merges the short ones; a partner occurs in at least T - L of them. With L = T - 1 the n - T + 1 shortest lists
 have to show a partner once. So:
 
-1. n-grams are counted over all documents; those in at least ``LONG`` sets are long (their bits go into a bit map of bounded
-   size; n-grams that share such a bit are treated as long too, which changes costs, not results);
-2. each distinct set that some different set could link with (a smaller one than 100 n >= percent (n + 1) can not) sends its n - T + 1 first n-grams, short lists before long ones, to the index; sets that meet in a list
-   and whose sizes allow a link are candidates, joined by stars, not by pairs;
+1. n-grams are counted over all documents, by keys that grow with their number, so that few share one by chance. Bit maps of bounded
+   size tell the level of an n-gram: 0 if one set has it, 1 if two have, and so on. n-grams that share a bit with one of a higher level
+   count as that level, which changes costs, not results;
+2. the front of a distinct set are its first n - T + 1 n-grams in the order of (level, hash). Two sets that link share an n-gram in their
+   fronts, and it has level 1 or more; so only those go to the index, and only from sets that some different set could link with (a smaller
+   one than 100 n >= percent (n + 1) can not). The smaller of two sets that link shares at least 2 percent n / (100 + percent), so it has the
+   n-gram in a still shorter, inner front. Sets that meet in a list and whose sizes allow a link are candidates, joined by a chain, not by pairs;
 3. candidates come together in groups (connected parts). In a group the full inverted lists are at hand, and each set is searched
    by DivideSkip: the short lists are merged into counts, what reached T - L is probed in the long lists by binary search.
    Sets already known to be connected need no search among each other; so a group of near copies costs a few searches;
@@ -36,7 +39,13 @@ from pyspark.sql import functions as F
 from tollmill.llm.common import bit_map, chunks, gram_sets, in_bit_map, keyed, mix, stored, table
 from tollmill.llm.components import components
 
-LONG = 3
+#: N-grams in two sets or more have level 1, those in ``LONG`` sets level 2, and each further level takes four times as many.
+LONG = 4
+#: By how many powers of two the bit map of each level is smaller than the first one, which has a bit for four n-grams.
+SMALLER = (0, 3, 5, 7, 9)
+MAP_BITS = 1 << 28
+#: Largest bit map of the sets that are searched.
+NODE_BITS = 1 << 26
 BLOCK = 4_000_000
 #: N-grams a bucket of the index holds about, with copies.
 BUCKET = 8_000_000
@@ -107,25 +116,66 @@ def _by_bucket(keys: np.ndarray, bits: int, buckets: int) -> Iterator[tuple[int,
             yield int(bucket[a]), slice(a, b)
 
 
-def long_lists(texts: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
-    """(gram): the low 32 bits of the hashes of n-grams that occur in at least ``least`` sets."""
+def _key_bits(grams: int) -> int:
+    """Bits of a hash by which n-grams are counted: of so many grams, one in 64 shares its key with another by chance."""
+    return min(64, max(32, grams.bit_length() + 6))
+
+
+def levels_of(grams: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+    """In how many of the maps, one after the other, each n-gram has its bit; 0 if it occurs in one set only."""
+    out = np.zeros(len(grams), dtype=np.uint8)
+    at = np.arange(len(grams))
+    for bits in maps:
+        place = grams[at] >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+        at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        out[at] += 1
+    return out
+
+
+def level_maps(texts: DataFrame, n: int, grams: int, buckets: int, most_bits: int = MAP_BITS) -> list[np.ndarray]:
+    """For each level a bit map of the n-grams that reach it, addressed by the first bits of their hash.
+
+    A bucket is a range of hashes, so its task has a piece of each map; the driver gets the pieces, which ``most_bits`` bounds.
+    """
+    key_bits = _key_bits(grams)
+    first = min(most_bits, max(1 << 16, 1 << (grams // 4).bit_length()))
+    sizes = [max(1 << 16, first >> less) for less in SMALLER]
+    least = [2, *(LONG << 2 * i for i in range(len(SMALLER) - 1))]
 
     def send(batches):
         for block in chunks(batches, most=_CHUNK):
             sets = [g for part in chunks([block], most=_SLICE) for _, g in _sets(part, n)]
             if not sets:
                 continue
-            low = np.sort(np.concatenate(sets) & np.uint64(0xFFFFFFFF))
-            rows = [(b, _pack_sorted(low[s])) for b, s in _by_bucket(low, 32, buckets)]
+            keys = np.sort(np.concatenate(sets) >> np.uint64(64 - key_bits))
+            rows = [(b, _pack_sorted(keys[s])) for b, s in _by_bucket(keys, key_bits, buckets)]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["bucket", "grams"])
 
     def count(pdf):
         import pandas as pd
+        import zstandard
 
-        grams, times = np.unique(np.concatenate([_unpack_sorted(d) for d in pdf["grams"]]), return_counts=True)
-        return pd.DataFrame({"gram": grams[times >= least].astype(np.int64)})
+        keys, times = np.unique(np.concatenate([_unpack_sorted(d) for d in pdf["grams"]]), return_counts=True)
+        out = []
+        for level, bits in enumerate(sizes):
+            keys, times = keys[times >= least[level]], times[times >= least[level]]
+            if len(keys):
+                at = (keys >> np.uint64(key_bits - bits.bit_length() + 1)).astype(np.int64)
+                begin = int(at[0]) >> 3
+                piece = np.zeros(((int(at[-1]) >> 3) - begin + 1) * 8, dtype=bool)
+                piece[at - begin * 8] = True
+                out.append((level, begin, zstandard.ZstdCompressor(level=1).compress(np.packbits(piece, bitorder="little").tobytes())))
+        return pd.DataFrame(out, columns=["level", "begin", "bits"])
+
+    import zstandard
 
-    return texts.mapInArrow(send, "bucket int, grams binary").groupBy("bucket").applyInPandas(count, "gram long")
+    maps = [np.zeros(bits // 8, dtype=np.uint8) for bits in sizes]
+    found = texts.mapInArrow(send, "bucket int, grams binary").groupBy("bucket").applyInPandas(count, "level int, begin long, bits binary").toArrow()
+    for level, begin, piece in zip(*(found.column(c) for c in ("level", "begin", "bits"))):
+        piece = np.frombuffer(zstandard.ZstdDecompressor().decompress(piece.as_py()), dtype=np.uint8)
+        begin = begin.as_py()
+        maps[level.as_py()][begin : begin + len(piece)] |= piece
+    return maps
 
 
 def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -145,20 +195,32 @@ def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
     return np.fromiter(map(find, range(n)), dtype=np.int64, count=n)
 
 
-def candidates(texts: DataFrame, n: int, percent: int, long_bits, buckets: int) -> DataFrame:
-    """(u, v): edges between the names of sets that meet in an inverted list of the index; a forest for each part of the index."""
+def candidates(texts: DataFrame, n: int, percent: int, maps, buckets: int) -> DataFrame:
+    """(u, v): edges between the names of sets that meet in an inverted list of the index, each to the next smaller set that can link."""
 
     def send(batches):
         for block in chunks(batches, most=_CHUNK):
             grams, names, sizes = [], [], []
-            for name, g in (x for part in chunks([block], most=_SLICE) for x in _sets(part, n)):
-                if 100 * len(g) < percent * (len(g) + 1):
+            for part in chunks([block], most=_SLICE):
+                flat, at, called = _grams(part, n)
+                size = np.diff(at)
+                can = (size > 0) & (100 * size >= percent * (size + 1))
+                if not can.any():
                     continue
-                is_long = in_bit_map(long_bits.value, g & np.uint64(0xFFFFFFFF))
-                first = np.concatenate([g[~is_long], g[is_long]])[: len(g) - (percent * len(g) + 99) // 100 + 1]
-                grams.append(first)
-                names.append(np.full(len(first), name, np.uint64))
-                sizes.append(np.full(len(first), len(g), np.uint64))
+                levels = levels_of(flat, maps.value)
+                alone = np.concatenate([[0], np.cumsum(levels == 0)])
+                front = size - (percent * size + 99) // 100 + 1
+                # a partner shares one of the front n-grams; no other set has those of level 0
+                ok = can & (alone[at[1:]] - alone[at[:-1]] < front)
+                _, first = np.unique(called, return_index=True)
+                for i in first[ok[first]].tolist():
+                    own = np.argsort(levels[at[i] : at[i + 1]], kind="stable")[: front[i]] + at[i]
+                    place = np.flatnonzero(levels[own])
+                    # a partner of the same size or a larger one shares one of the inner ones
+                    inner = place < size[i] - (2 * percent * size[i] + 99 + percent) // (100 + percent) + 1
+                    grams.append(flat[own[place]])
+                    names.append(np.full(len(place), called[i], np.uint64))
+                    sizes.append(np.uint64(2 * size[i]) + inner.astype(np.uint64))
             if not grams:
                 continue
             grams = np.concatenate(grams)
@@ -176,15 +238,13 @@ def candidates(texts: DataFrame, n: int, percent: int, long_bits, buckets: int)
         grams = np.concatenate([_unpack_sorted(d) for d in pdf["grams"]])
         names = np.concatenate([np.frombuffer(d, dtype=np.uint64) for d in pdf["names"]])
         sizes = np.concatenate([_unpack(d) for d in pdf["sizes"]]).astype(np.int64)
-        order = np.lexsort((names, sizes, grams))
-        grams, names, sizes = grams[order], names[order], sizes[order]
-        # in a list sorted by size, whoever can link lies in one run of neighbours that can
-        near = (grams[1:] == grams[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:]) & (names[1:] != names[:-1])
-        same = (grams[1:] == grams[:-1]) & (names[1:] == names[:-1])
-        start = np.concatenate([[True], ~(near | same)])
-        head = names[np.maximum.accumulate(np.where(start, np.arange(len(grams)), 0))]
-        other = head != names
-        ends = np.unique(np.column_stack([head[other], names[other]]), axis=0)
+        order = np.lexsort((names, sizes >> 1, grams))
+        grams, names, sizes, inner = grams[order], names[order], sizes[order] >> 1, sizes[order] & 1 == 1
+        # in a list sorted by size, each set is led by the last one before it that has the n-gram among its inner ones
+        lead = np.maximum.accumulate(np.where(inner, np.arange(len(grams)), -1))
+        lead = np.concatenate([[-1], lead[:-1]])
+        fits = (lead >= 0) & (grams[lead] == grams) & (100 * sizes[lead] >= percent * sizes) & (names[lead] != names)
+        ends = np.unique(np.column_stack([names[lead[fits]], names[fits]]), axis=0)
         nodes, at = np.unique(ends, return_inverse=True)
         root = roots_of(len(nodes), at.reshape(-1, 2))
         moved = root != np.arange(len(nodes))
@@ -305,12 +365,13 @@ def links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id"
     rows = stored(texts.mapInArrow(names, f"id {kind}, h long, node long, size long"), "rows")
     # a bucket of n-grams is met in one task: its size is fixed, their number follows the input
     grams = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(grams / BUCKET))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(math.ceil(grams / BUCKET), min(4 * partitions, max(partitions, grams >> 20)))
     texts = texts.select("text")
-    long_bits = spark.sparkContext.broadcast(bit_map(stored(long_lists(texts, n, LONG, buckets), "long"), "gram"))
-    parts = stored(components(candidates(texts, n, percent, long_bits, buckets)), "parts")
+    maps = spark.sparkContext.broadcast(level_maps(texts, n, grams, buckets))
+    parts = stored(components(candidates(texts, n, percent, maps, buckets)), "parts")
     tasks = stored(_tasks(rows, parts, percent, BLOCK, buckets), "tasks")
-    wanted = spark.sparkContext.broadcast(bit_map(parts, "node"))
+    wanted = spark.sparkContext.broadcast(bit_map(parts, "node", most_bits=NODE_BITS))
 
     def send(batches):
         for part in chunks(batches, most=_SLICE):
