@@ -44,11 +44,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10 at 5 words and 80 %: of each group of linked documents the row with the smallest id stays (null ids last), and of repeated rows one."""
-    first = stored(jaccard.first_rows(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).select(F.col("id").alias("_first"), F.col("h").alias("_of")), "first")
-    of = fresh_name(docs, "hash")
-    rows = docs.withColumn(of, F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["_first"]) & (rows[of] == first["_of"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", of]).select(*docs.columns)
+    # a struct of the id is equal where both are null: both steps need the rows dealt by the same two columns, so texts move once
+    first = jaccard.first_rows(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    first = stored(first.select(F.struct("id").alias("_first"), F.col("h").alias("_of")), "first")
+    of, key = fresh_name(docs, "hash"), fresh_name(docs, "key")
+    rows = docs.withColumns({of: F.xxhash64(F.coalesce("text", F.lit(""))), key: F.struct(F.col("doc_id").alias("id"))})
+    rows = rows.dropDuplicates([key, of])
+    return rows.join(first, (rows[key] == first["_first"]) & (rows[of] == first["_of"]), "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,16 @@ def test_near_duplicates_with_repeated_and_null_ids(spark, documents):
     # of the two null rows of one group either may stand for it
     pair = {(None, long[2]), (None, near[2])}
     assert len(got) == len(set(got)) and set(got) - pair == want - pair and len(set(got) & pair) == 1
+
+
+def test_near_duplicates_moves_texts_once(spark, documents):
+    """One exchange for the documents and one for the keys that stay; rows that repeat an id and its text are dealt by the same columns."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = pipeline.drop_near_duplicates(spark, documents([*near_copies(3), None, None], [*range(len(near_copies(3))), None, None]), DATA)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2
+        assert sum(r["doc_id"] is None for r in out.collect()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
